@@ -48,6 +48,23 @@ def keyed_position(
     return out.drop("_band", "_before", "_size", "_b", *[f"_k{i}" for i in range(len(keys))])
 
 
+def running_before(
+    df: DataFrame, keys: Sequence[str], order: str, band: Column, value: Column, name: str = "before"
+) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the key; ``order`` is unique inside a key."""
+    keys = list(keys)
+    banded = df.withColumn("_band", band).withColumn("_value", value)
+    totals = banded.groupBy(*keys, "_band").agg(F.sum("_value").alias("_sum"))
+    along = W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = totals.select(*keys, "_band", (F.sum("_sum").over(along) - F.col("_sum")).alias("_earlier"))
+    inside = W.partitionBy(*keys, "_band").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        banded.join(earlier, [*keys, "_band"])
+        .withColumn(name, F.col("_earlier") + F.sum("_value").over(inside) - F.col("_value"))
+        .drop("_band", "_value", "_earlier")
+    )
+
+
 def gaps_to_previous(
     df: DataFrame, keys: Sequence[str], start: str, end: str, band: Column, gap: str = "gap_us"
 ) -> DataFrame:

@@ -15,7 +15,7 @@ from basketry.functions.scalars import (
     with_event_weight,
 )
 from basketry.operators.distributed import exact_quantiles, most_frequent
-from basketry.operators.lookups import small
+from basketry.operators.lookups import broadcast_if_small
 from basketry.runtime import count_of, days, scalar, union_all
 
 
@@ -205,7 +205,7 @@ def attach_affinity(cand: DataFrame, users: DataFrame, items: DataFrame) -> Data
         return F.coalesce((F.col(a) == F.col(b)).cast("int"), F.lit(0))
 
     return (
-        cand.join(small(items), "item_id", "left")
+        cand.join(items, "item_id", "left")
         .join(users, "user_id", "left")
         .withColumn("brand_match", match("user_top_brand", "item_brand"))
         .withColumn("category_match", match("user_top_category", "item_category"))
@@ -234,7 +234,7 @@ def candidate_features(
     item_side = item_popularity(train).join(item_affinity, "item_id", "left")
     flags = users.select("user_id").distinct().withColumn("is_eval_user", F.lit(1))
     user_side = user_activity(train).join(user_affinity, "user_id", "left")
-    out = by_pair.join(small(item_side), "item_id", "left").join(user_side, "user_id", "left").join(
+    out = by_pair.join(broadcast_if_small(item_side), "item_id", "left").join(user_side, "user_id", "left").join(
         flags, "user_id", "left"
     )
     match = {

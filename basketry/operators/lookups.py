@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.runtime import require_columns
+from basketry.runtime import cut, require_columns
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only if the optimizer's own size estimate stays below ``limit``; otherwise leave it to Spark."""
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(estimate.toString()) <= limit else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a table only after counting it; a larger one is joined by shuffle.
+
+    The table is cut first, so counting and joining read the same files and its aggregate runs once.
+    """
+    stored = cut(df)
+    # Text is counted with 64 bytes per value, other types with their fixed width.
+    width = sum(64 if f.dataType.typeName() == "string" else 16 for f in stored.schema.fields)
+    return F.broadcast(stored) if stored.count() * width <= limit else stored
 
 
 def add_idx_columns(df: DataFrame, user_map: DataFrame, item_map: DataFrame) -> DataFrame:
     """Map user and item ids to integers. The job fails on the first id that a map does not know."""
     require_columns(df, "user_id", "item_id")
-    joined = df.join(small(item_map), "item_id", "left").join(user_map, "user_id", "left")
+    joined = df.join(item_map, "item_id", "left").join(user_map, "user_id", "left")
     for key in ("user", "item"):
         unknown = F.raise_error(F.format_string(f"{key}_id without index: %s", F.col(f"{key}_id").cast("string")))
         joined = joined.withColumn(
@@ -39,11 +44,11 @@ def unknown_ids(df: DataFrame, user_map: DataFrame, item_map: DataFrame) -> Data
 
 def attach_item_meta(df: DataFrame, meta: DataFrame) -> DataFrame:
     """Category, brand and price of each item; items without metadata keep nulls."""
-    return df.join(small(meta.select("item_id", "category_code", "brand", "price")), "item_id", "left")
+    return df.join(meta.select("item_id", "category_code", "brand", "price"), "item_id", "left")
 
 
 def attach_aliases(df: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Readable alias of user and item."""
-    return df.join(small(items.select("item_id", "item_alias")), "item_id", "left").join(
+    return df.join(items.select("item_id", "item_alias"), "item_id", "left").join(
         users.select("user_id", "user_alias"), "user_id", "left"
     )

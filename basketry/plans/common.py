@@ -41,3 +41,23 @@ def r6(name: str, column: Column | None = None) -> Column:
 
 def day(column: Column) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
+
+
+def rounded(df: DataFrame, *keep: str) -> DataFrame:
+    """All double columns to six places, dates as text; ``keep`` limits the columns."""
+    out = []
+    for field in df.schema.fields:
+        if keep and field.name not in keep:
+            continue
+        kind = field.dataType.typeName()
+        column = F.col(field.name)
+        if kind == "double":
+            column = F.round(column, 6)
+        elif kind == "date":
+            column = day(column)
+        out.append(column.alias(field.name))
+    return df.select(*out)
+
+
+def shop(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.shopping(fixtures.activity_log(spark, sf))

@@ -49,3 +49,32 @@ def on_split(body: str, *ctes: str) -> str:
 
 def on_preds(body: str, *ctes: str) -> str:
     return f"WITH {LOG}{SPLIT}{PREDS}{''.join(', ' + c for c in ctes)} {body}"
+
+
+SHOP = "shop AS (SELECT * FROM log WHERE event_type IN ('view','cart','purchase'))"
+
+
+def on_shop(body: str, *ctes: str) -> str:
+    return on_log(body, SHOP, *ctes)
+
+
+def mode_of(table: str, key: str, column: str, expr: str | None = None) -> str:
+    """Subquery: most frequent non-null value per key, ties to the smallest."""
+    expr = expr or column
+    return (
+        f"(SELECT {key}, {column} FROM (SELECT {key}, {expr} AS {column}, row_number() OVER (PARTITION BY {key} "
+        f"ORDER BY count(*) DESC, {expr}) AS r FROM {table} WHERE {expr} IS NOT NULL GROUP BY {key}, {expr}) WHERE r=1)"
+    )
+
+
+def cnt(event_type: str) -> str:
+    return f"count(*) FILTER (WHERE event_type='{event_type}')"
+
+
+L2PATH = "split_part(category_code,'.',1)||'.'||split_part(category_code,'.',2)"
+L2TOKEN = "split_part(category_code,'.',2)"
+DESCRIBE = (
+    "count({v}) AS n, round(avg({v}),6) AS mean, round(stddev_samp({v}),6) AS std, round(min({v}),6) AS min, round(max({v}),6) AS max, "
+    "round(quantile_cont({v},0.25),6) AS p25, round(quantile_cont({v},0.5),6) AS p50, round(quantile_cont({v},0.75),6) AS p75, "
+    "round(quantile_cont({v},0.9),6) AS p90, round(quantile_cont({v},0.95),6) AS p95, round(quantile_cont({v},0.99),6) AS p99"
+)
