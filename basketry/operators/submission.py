@@ -75,13 +75,16 @@ def validate_submission(df: DataFrame, expected_users: int, k: int = 10) -> Data
         F.count_if(F.col("_rows") != k).alias("wrong_count"),
         F.count_if(F.col("_most") > 1).alias("duplicates"),
     )
+    def outcome(name: str, passed, found):
+        return F.struct(F.lit(name).alias("check"), passed.alias("passed"), found.cast("long").alias("found"))
+
     checks = F.array(
-        F.struct(F.lit("columns").alias("check"), F.lit(columns_ok).alias("passed"), F.lit(0 if columns_ok else 1).cast("long").alias("found")),
-        F.struct(F.lit("row count"), F.col("rows") == expected_users * k, F.col("rows")),
-        F.struct(F.lit("user count"), F.col("users") == expected_users, F.col("users")),
-        F.struct(F.lit("items per user"), F.col("wrong_count") == 0, F.col("wrong_count")),
-        F.struct(F.lit("duplicates"), F.col("duplicates") == 0, F.col("duplicates")),
-    )
+        outcome("columns", F.lit(columns_ok), F.lit(0 if columns_ok else 1)),
+        outcome("row count", F.col("rows") == expected_users * k, F.col("rows")),
+        outcome("user count", F.col("users") == expected_users, F.col("users")),
+        outcome("items per user", F.col("wrong_count") == 0, F.col("wrong_count")),
+        outcome("duplicates", F.col("duplicates") == 0, F.col("duplicates")),
+    )
     return totals.select(F.inline(checks))
 
 

@@ -52,7 +52,7 @@ def daily_event_counts(spark, sf):
 @query(
     "daily_purchase_price",
     on_orders("""SELECT strftime(event_time,'%Y-%m-%d') AS date, count(*) AS n_purch, round(avg(price),6) AS avg_price, round(median(price),6) AS median_price,
-      min(price) AS min_price, max(price) AS max_price FROM log WHERE event_type='purchase' GROUP BY 1"""),
+      round(min(price),6) AS min_price, round(max(price),6) AS max_price FROM log WHERE event_type='purchase' GROUP BY 1"""),
 )
 def daily_purchase_price(spark, sf):
     return rounded(B.daily_purchase_price(fixtures.order_log(spark, sf)))
@@ -196,7 +196,7 @@ def price_by_category(spark, sf):
 
 @query(
     "price_by_type",
-    on_orders("""SELECT event_type, count(price) AS n, round(avg(price),6) AS mean, round(stddev_samp(price),6) AS std, min(price) AS min, max(price) AS max, round(median(price),6) AS median,
+    on_orders("""SELECT event_type, count(price) AS n, round(avg(price),6) AS mean, round(stddev_samp(price),6) AS std, round(min(price),6) AS min, round(max(price),6) AS max, round(median(price),6) AS median,
       round(quantile_cont(price,0.9),6) AS p90 FROM log GROUP BY 1"""),
 )
 def price_by_type(spark, sf):

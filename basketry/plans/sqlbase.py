@@ -15,7 +15,7 @@ LOG = f"""log AS (
 ORDERLOG = f"""log AS (
  SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(l_orderkey AS VARCHAR) AS user_session,
   CAST(o_orderdate AS TIMESTAMP) AS event_time, {CATEGORY} AS category_code, p_brand AS brand,
-  round(l_extendedprice/l_quantity,2) AS price,
+  l_extendedprice/l_quantity AS price,
   CASE l_returnflag WHEN 'N' THEN 'view' WHEN 'A' THEN 'cart' ELSE 'purchase' END AS event_type
  FROM lineitem JOIN orders ON l_orderkey=o_orderkey LEFT JOIN part ON l_partkey=p_partkey)"""
 

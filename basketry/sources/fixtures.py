@@ -60,7 +60,7 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_orderdate").cast("timestamp_ntz").alias("event_time"),
             F.col("p_category").alias("category_code"),
             F.col("p_brand").alias("brand"),
-            F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"),
+            (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.when(F.col("l_returnflag") == "N", "view")
             .when(F.col("l_returnflag") == "A", "cart")
             .otherwise("purchase")
