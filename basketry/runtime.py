@@ -39,6 +39,7 @@ def local_session(app: str = "basketry", cores: int | str = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.codegen.wholeStage", "true")
     )
     for key, value in SQL_SETTINGS.items():
