@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from basketry.operators import fusion
-from basketry.plans.common import parts, preds, rounded
+from basketry.plans.common import MODELS, parts, preds, rounded
 from basketry.plans.ranking import DCG
 from basketry.plans.registry import query
 from basketry.plans.sqlbase import on_preds
+from basketry.runtime import cut
 
 RANKED = "SELECT user_id, item_id, round(score,6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r FROM ({0})) WHERE r<=50"
 WEIGHTS = {"freq": 3.0, "recency": 1.0, "spend": 2.0}
@@ -84,3 +85,57 @@ def best_config(spark, sf):
 )
 def ranked_results(spark, sf):
     return rounded(fusion.ranked_results(sweep(spark, sf), SINGLES))
+
+
+def tables_of(spark, sf):
+    from basketry.operators import features, rerank
+
+    p = parts(spark, sf)
+    lists = preds(p.train)
+    table, names = rerank.training_table(features.candidate_features(lists, MODELS, p.train, p.truth, p.users), folds=3)
+    return p, lists, table, names
+
+
+@query("rerank_binary")
+def rerank_binary(spark, sf):
+    from basketry.operators import rerank
+
+    _, _, table, _ = tables_of(spark, sf)
+    oof, _ = rerank.rerank_binary(table, 3, trees=5, depth=3)
+    return rerank.ranked(oof)
+
+
+@query("rerank_pairwise")
+def rerank_pairwise(spark, sf):
+    from basketry.operators import rerank
+
+    _, _, table, _ = tables_of(spark, sf)
+    oof, _ = rerank.rerank_pairwise(table, 3)
+    return rerank.ranked(oof)
+
+
+@query("score_fold_average")
+def score_fold_average(spark, sf):
+    from basketry.operators import rerank
+
+    _, _, table, _ = tables_of(spark, sf)
+    _, models = rerank.rerank_binary(table, 3, trees=5, depth=3)
+    return rerank.score_fold_average(table, models)
+
+
+@query("oof_report")
+def oof_report(spark, sf):
+    from basketry.operators import rerank
+
+    p, lists, table, _ = tables_of(spark, sf)
+    oof, _ = rerank.rerank_binary(table, 3, trees=5, depth=3)
+    return rerank.oof_report(cut(oof), lists.filter("model = 'freq'").drop("model"), p.gt)
+
+
+@query("feature_gain")
+def feature_gain(spark, sf):
+    from basketry.operators import rerank
+
+    _, _, table, names = tables_of(spark, sf)
+    _, models = rerank.rerank_binary(table, 3, trees=5, depth=3)
+    return rerank.feature_gain(models, names, spark)
