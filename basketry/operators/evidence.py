@@ -69,6 +69,12 @@ def item_evidence(
     for name, kind in REVISIT_FIELDS.items():
         missing = F.lit(False) if kind == "boolean" else F.lit(None).cast(kind)
         joined = joined.withColumn(name, F.coalesce(F.col(name), missing) if name in recs.columns else missing)
+    if model_ranks is not None and "revisit_score" in recs.columns:
+        # Items to revisit come from the user's own history, whatever the models say about them.
+        again = F.col("revisit_score").isNotNull()
+        joined = joined.withColumns(
+            {n: F.when(again, default).otherwise(F.col(n)) for n, default in extra.items() if n in model_ranks.columns}
+        )
     joined = joined.join(base, "item_id", "left").join(user_context, "user_id", "left")
     liked = F.array_union(F.array_union("top_brands", "carted_brands"), "purchased_brands")
     in_band, distance = price_fit(F.col("price"), F.col("price_median"), F.col("price_iqr"))
@@ -120,11 +126,10 @@ def evidence_rows(
     base = features.item_signals_base(log)
     about = context.user_context(log)
     history = context.profile_items(log)
-    rows = item_evidence(wanted, base, about, history, model_ranks)
-    if not with_revisit:
-        return rows
-    shopping = log.filter(F.col("event_type").isin("view", "cart", "purchase"))
-    return rows.unionByName(item_evidence(evidence_revisit(wanted, shopping, longest=longest), base, about, history))
+    if with_revisit:
+        shopping = log.filter(F.col("event_type").isin("view", "cart", "purchase"))
+        wanted = wanted.unionByName(evidence_revisit(wanted, shopping, longest=longest), allowMissingColumns=True)
+    return item_evidence(wanted, base, about, history, model_ranks)
 
 
 def evidence_pack(rows: DataFrame) -> DataFrame:

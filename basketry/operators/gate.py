@@ -62,42 +62,49 @@ def hard_gate(responses: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def reference_shares(samples: DataFrame) -> DataFrame:
-    """For each key cited by the first sample, the share of the other samples that cite it too.
+def consistency(samples: DataFrame) -> DataFrame:
+    """Per response: number of samples, and for each key the first sample cites the share of the others citing it too.
 
-    ``samples``: ``response_id, sample`` (0 is the first) and ``claims``.
+    ``samples``: ``response_id, sample`` (numbered from 0, the first) and ``claims``. One pass over the samples; the
+    shares of a response are a small map, as a response has few keys.
     """
-    totals = samples.groupBy("response_id").agg((F.countDistinct("sample") - 1).alias("_others"))
     cited = (
-        samples.select("response_id", "sample", F.explode("claims.evidence_ref").alias("evidence_ref")).distinct()
-        .groupBy("response_id", "evidence_ref")
-        .agg(F.bool_or(F.col("sample") == 0).alias("_first"), F.count_if(F.col("sample") > 0).alias("_n"))
+        samples.select("response_id", "sample", F.explode_outer("claims.evidence_ref").alias("ref")).distinct()
+        .groupBy("response_id", "ref")
+        .agg(
+            F.bool_or(F.col("sample") == 0).alias("_first"),
+            F.count_if(F.col("sample") > 0).alias("_n"),
+            F.max("sample").alias("_last"),
+        )
     )
-    return (
-        cited.filter("_first")
-        .join(totals, "response_id")
-        .filter(F.col("_others") > 0)
-        .select("response_id", "evidence_ref", (F.col("_n") / F.col("_others")).alias("share"))
+    wanted = F.when(F.col("_first") & F.col("ref").isNotNull(), F.struct("ref", "_n"))
+    per_response = cited.groupBy("response_id").agg(
+        (F.max("_last") + 1).alias("n_samples"), F.sort_array(F.collect_list(wanted)).alias("_refs")
     )
+    others = F.col("n_samples") - 1
+    shares = F.when(others > 0, F.map_from_entries(F.transform("_refs", lambda r: F.struct(r["ref"], r["_n"] / others))))
+    return per_response.select("response_id", "n_samples", shares.alias("shares"))
 
 
 def self_check(samples: DataFrame) -> DataFrame:
     """Consistency of a response: mean of these shares; 1 for a single sample, 0 if the first cites nothing."""
-    sizes = samples.groupBy("response_id").agg(F.countDistinct("sample").alias("n_samples"))
-    means = reference_shares(samples).groupBy("response_id").agg(F.avg("share").alias("_mean"))
-    score = F.when(F.col("n_samples") == 1, F.lit(1.0)).otherwise(F.coalesce(F.col("_mean"), F.lit(0.0)))
-    return sizes.join(means, "response_id", "left").select("response_id", "n_samples", score.alias("score"))
+    return _scored(consistency(samples)).select("response_id", "n_samples", "score")
+
+
+def _scored(checked: DataFrame) -> DataFrame:
+    total = F.aggregate(F.map_values("shares"), F.lit(0.0), lambda a, x: a + x)
+    mean = F.coalesce(total / F.nullif(F.size("shares"), F.lit(0)), F.lit(0.0))
+    return checked.withColumn("score", F.when(F.col("n_samples") == 1, F.lit(1.0)).otherwise(mean))
 
 
 def self_check_flags(samples: DataFrame, threshold: float = 0.5) -> DataFrame:
     """First samples with their consistency (3 places) and a flag for each claim key below the threshold.
 
-    The shares of a response fit one small map, as a response has few keys; flags follow the order of its claims.
+    Flags follow the order of the claims.
     """
-    shares = reference_shares(samples).groupBy("response_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("evidence_ref", "share"))).alias("_shares")
+    checked = _scored(consistency(samples)).select(
+        "response_id", F.round("score", 3).alias("self_check_score"), F.col("shares").alias("_shares")
     )
-    scores = self_check(samples).select("response_id", F.round("score", 3).alias("self_check_score"))
 
     def flag(claim: Column) -> Column:
         share = F.coalesce(F.try_element_at("_shares", claim["evidence_ref"]), F.lit(1.0))
@@ -105,7 +112,7 @@ def self_check_flags(samples: DataFrame, threshold: float = 0.5) -> DataFrame:
         text = F.concat(F.lit("⚠ wobbly: "), claim["evidence_ref"], F.lit(" ("), percent, F.lit("% 일관)"))
         return F.when(share < threshold, text)
 
-    first = samples.filter(F.col("sample") == 0).join(scores, "response_id").join(shares, "response_id", "left")
+    first = samples.filter(F.col("sample") == 0).join(checked, "response_id")
     before = F.col("flags") if "flags" in samples.columns else F.array().cast("array<string>")
     return first.withColumn("flags", F.concat(before, F.array_compact(F.transform("claims", flag)))).drop("_shares")
 

@@ -52,8 +52,8 @@ def history_text(df: DataFrame, meta: DataFrame, n: int = 15, tie: str = "event_
         F.lit("["), F.col("event_type"), F.lit("] "), _or_unknown(F.col("category_code")), F.lit(" / "),
         _or_unknown(F.col("brand")), F.lit(" / "), _dollars(F.col("price")), F.lit(" ("), when, F.lit(")"),
     )
-    lines = F.array_sort(F.collect_list(F.struct((-F.col("recency")).alias("o"), line.alias("t"))))
-    return known.groupBy("user_id").agg(
+    lines = F.array_sort(F.collect_list(F.struct((-F.col("recency")).alias("o"), F.col("_line").alias("t"))))
+    return known.withColumn("_line", line).groupBy("user_id").agg(
         F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("history_text")
     )
 

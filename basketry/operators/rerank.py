@@ -34,7 +34,7 @@ def training_table(features: DataFrame, folds: int = 5, seed: int = 42) -> tuple
 
 
 def _score(model: Model, df: DataFrame) -> DataFrame:
-    raw = vector_to_array(model.transform(df)["rawPrediction"])[1]
+    raw = vector_to_array("rawPrediction")[1]
     return model.transform(df).select("user_id", "item_id", "label", "fold", F.round(raw, PLACES).alias("score"))
 
 
