@@ -259,13 +259,13 @@ LOW, HIGH = 0.05, 10.0
 
 
 def _best_temperature(counted: DataFrame, temperatures: list[Column]) -> Column:
-    """The temperature of a list with the lowest log loss, found in one aggregate over all of them."""
-    losses = []
-    for t in temperatures:
-        p = F.least(F.greatest(apply_temperature(F.col("confidence"), t), F.lit(1e-7)), F.lit(1 - 1e-7))
-        loss = -(F.col("label") * F.ln(p) + (1 - F.col("label")) * F.ln(1 - p))
-        losses.append(F.struct((F.sum(F.col("_n") * loss) / F.sum("_n")).alias("loss"), F.max(t).alias("t")))
-    return counted.agg(F.array_min(F.array(*losses))["t"].alias("t")).scalar()
+    """The temperature of a list with the lowest log loss. Losses are combined on the map side, one row per temperature."""
+    tried = counted.select("confidence", "label", "_n", F.explode(F.array(*temperatures)).alias("t"))
+    p = F.least(F.greatest(apply_temperature(F.col("confidence"), F.col("t")), F.lit(1e-7)), F.lit(1 - 1e-7))
+    loss = -(F.col("label") * F.ln(p) + (1 - F.col("label")) * F.ln(1 - p))
+    return tried.groupBy("t").agg((F.sum(F.col("_n") * loss) / F.sum("_n")).alias("loss")).agg(
+        F.min(F.struct("loss", "t"))["t"].alias("t")
+    ).scalar()
 
 
 def fit_temperature(df: DataFrame, steps: int = 40) -> DataFrame:

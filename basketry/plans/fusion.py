@@ -9,19 +9,19 @@ from basketry.plans.registry import query
 from basketry.plans.sqlbase import on_preds
 from basketry.runtime import cut
 
-RANKED = "SELECT user_id, item_id, round(score,6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r FROM ({0})) WHERE r<=50"
+RANKED = "SELECT user_id, item_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS r FROM ({0})) WHERE r<=50"
 WEIGHTS = {"freq": 3.0, "recency": 1.0, "spend": 2.0}
 W_SQL = "CASE model WHEN 'freq' THEN 3.0 WHEN 'recency' THEN 1.0 ELSE 2.0 END::DOUBLE"
 
 
 @query("rrf", on_preds(RANKED.format(f"SELECT user_id, item_id, round(sum({W_SQL}/(60+rank)),9) AS score FROM preds GROUP BY 1,2")))
 def rrf(spark, sf):
-    return rounded(fusion.rrf(preds(parts(spark, sf).train), weights=WEIGHTS))
+    return fusion.rrf(preds(parts(spark, sf).train), weights=WEIGHTS)
 
 
 @query("rrf_equal", on_preds(RANKED.format("SELECT user_id, item_id, round(sum(1.0::DOUBLE/(60+rank)),9) AS score FROM preds GROUP BY 1,2")))
 def rrf_equal(spark, sf):
-    return rounded(fusion.rrf(preds(parts(spark, sf).train)))
+    return fusion.rrf(preds(parts(spark, sf).train))
 
 
 @query(
@@ -29,7 +29,7 @@ def rrf_equal(spark, sf):
     on_preds(RANKED.format(f"SELECT user_id, item_id, round(sum({W_SQL}*ns),9) AS score FROM (SELECT *, CASE WHEN hi>lo THEN (score-lo)/(hi-lo) ELSE 1.0 END AS ns FROM (SELECT *, max(score) OVER (PARTITION BY model,user_id) AS hi, min(score) OVER (PARTITION BY model,user_id) AS lo FROM preds)) GROUP BY 1,2")),
 )
 def weighted_minmax(spark, sf):
-    return rounded(fusion.weighted_minmax(preds(parts(spark, sf).train), WEIGHTS))
+    return fusion.weighted_minmax(preds(parts(spark, sf).train), WEIGHTS)
 
 
 @query(
@@ -37,7 +37,7 @@ def weighted_minmax(spark, sf):
     on_preds(RANKED.format(f"SELECT user_id, item_id, round(sum({W_SQL}*(score-m)/s),9) AS score FROM preds JOIN (SELECT model, avg(score) AS m, stddev_samp(score) AS s FROM preds GROUP BY 1) USING (model) GROUP BY 1,2")),
 )
 def weighted_zscore(spark, sf):
-    return rounded(fusion.weighted_zscore(preds(parts(spark, sf).train), WEIGHTS))
+    return fusion.weighted_zscore(preds(parts(spark, sf).train), WEIGHTS)
 
 
 # Single models and the mixes that are compared.

@@ -35,17 +35,17 @@ def knn_ctes(k: int) -> str:
 def score_cte(k: int) -> str:
     return f"""sc AS (SELECT user_id, item_id, round(sum(p),9) AS score FROM (SELECT user_id, item_id, 0.7*weight AS p FROM vec
    UNION ALL SELECT k.user_id, v.item_id, sum(v.weight)*(0.3/{k}) FROM knn k JOIN vec v ON v.user_id=k.neighbor GROUP BY 1,2) GROUP BY 1,2),
- ranked AS (SELECT user_id, item_id, round(score,6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC,item_id) AS r FROM sc WHERE score>0) WHERE r<=50)"""
+ ranked AS (SELECT user_id, item_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC,item_id) AS r FROM sc WHERE score>0) WHERE r<=50)"""
 
 
-@query("tifu_vectors", on_split("SELECT user_id, item_id, round(weight,6) AS weight FROM vec", tifu_ctes()))
+@query("tifu_vectors", on_split("SELECT user_id, item_id, weight FROM vec", tifu_ctes()))
 def tifu_vectors(spark, sf):
-    return rounded(tifu.tifu_vectors(parts(spark, sf).train))
+    return tifu.tifu_vectors(parts(spark, sf).train)
 
 
-@query("tifu_multi_behavior", on_split("SELECT user_id, item_id, round(weight,6) AS weight FROM vec", tifu_ctes(weight=MB)))
+@query("tifu_multi_behavior", on_split("SELECT user_id, item_id, weight FROM vec", tifu_ctes(weight=MB)))
 def tifu_multi_behavior(spark, sf):
-    return rounded(tifu.tifu_vectors(parts(spark, sf).train, weights=BEHAVIOR_WEIGHTS))
+    return tifu.tifu_vectors(parts(spark, sf).train, weights=BEHAVIOR_WEIGHTS)
 
 
 @query(
@@ -62,15 +62,15 @@ def knn_of(train, k=K):
     return vec, neighbors.user_knn(vec, k)
 
 
-@query("user_knn", on_split("SELECT user_id, neighbor, round(sim,6) AS sim, rank FROM knn", tifu_ctes(), knn_ctes(K)))
+@query("user_knn", on_split("SELECT user_id, neighbor, sim, rank FROM knn", tifu_ctes(), knn_ctes(K)))
 def user_knn(spark, sf):
-    return rounded(knn_of(parts(spark, sf).train)[1])
+    return knn_of(parts(spark, sf).train)[1]
 
 
 @query("tifu_scores", on_split("SELECT * FROM ranked", tifu_ctes(), knn_ctes(K), score_cte(K)))
 def tifu_scores(spark, sf):
     vec, knn = knn_of(parts(spark, sf).train)
-    return rounded(tifu.tifu_scores(vec, knn, k=K))
+    return tifu.tifu_scores(vec, knn, k=K)
 
 
 SEEN = f"seen AS (SELECT user_id, item_id, {cnt('cart')}>0 AS carted, {cnt('purchase')}>0 AS purchased FROM log GROUP BY 1,2)"
@@ -153,7 +153,7 @@ def profile_vectors(spark, sf):
     return rounded(vectors.profile_vectors(log, features.item_catalog(log)))
 
 
-@query("profile_knn", on_log("SELECT user_id, neighbor, round(sim,6) AS sim, rank FROM knn", PROFILE, knn_ctes(20)))
+@query("profile_knn", on_log("SELECT user_id, neighbor, sim, rank FROM knn", PROFILE, knn_ctes(20)))
 def profile_knn(spark, sf):
     log = fixtures.activity_log(spark, sf)
-    return rounded(vectors.profile_knn(vectors.profile_vectors(log, features.item_catalog(log))))
+    return (vectors.profile_knn(vectors.profile_vectors(log, features.item_catalog(log))))
