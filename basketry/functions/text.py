@@ -41,6 +41,19 @@ SEARCH_WORDS = {
     "blouse": "blouse women fashion",
     "apparel": "apparel clothing fashion",
 }
+# Labels shown under a recommendation, in order.
+CHIPS = {
+    "popular": "📈 인기↑",
+    "agreed": "🤝 모델합의 ",
+    "boosted": "🛒 cart-boost",
+    "revisit": "↩ 재방문",
+    "carted": "🛒 담은적있음",
+    "seen": "👁 본적있음",
+    "bought": "✅ 구매이력",
+    "price": "💵 가격대맞음",
+    "brand": "🏷 브랜드선호",
+    "category": "🧭 카테고리선호",
+}
 
 
 def classify_intent(text: Column, words: Sequence[str] = tuple(SHOPPING_WORDS)) -> Column:
@@ -84,16 +97,18 @@ def hash_pick(key: Column, options: Column) -> Column:
 
 def evidence_chips(s: Column) -> Column:
     """Ordered display labels for the signals of one recommendation."""
-    seen = F.when(s["carted_before"], "🛒 담은적있음").when(s["seen_before"], "👁 본적있음")
-    labels = [
-        F.when(s["item_recent14_pop_log1p"] > 3.0, "📈 인기↑"),
-        F.when(s["model_hit_count"] >= 2, F.concat(F.lit("🤝 모델합의 "), s["model_hit_count"].cast("string"))),
-        F.when(s["cart_boosted"], "🛒 cart-boost"),
-        F.when(s["revisit_score"].isNotNull(), "↩ 재방문"),
-        seen,
-        F.when(s["purchased_before"], "✅ 구매이력"),
-        F.when(s["price_in_user_band"], "💵 가격대맞음"),
-        F.when(s["brand_affinity"], "🏷 브랜드선호"),
-        F.when(s["category_l2_affinity"], "🧭 카테고리선호"),
-    ]
-    return F.array_compact(F.array(*labels))
+    shown = {
+        "popular": s["item_recent14_pop_log1p"] > 3.0,
+        "agreed": s["model_hit_count"] >= 2,
+        "boosted": s["cart_boosted"],
+        "revisit": s["revisit_score"].isNotNull(),
+        "carted": s["carted_before"],
+        "seen": s["seen_before"] & ~s["carted_before"],
+        "bought": s["purchased_before"],
+        "price": s["price_in_user_band"],
+        "brand": s["brand_affinity"],
+        "category": s["category_l2_affinity"],
+    }
+    count = s["model_hit_count"].cast("string")
+    labels = {k: F.concat(F.lit(v), count) if k == "agreed" else F.lit(v) for k, v in CHIPS.items()}
+    return F.array_compact(F.array(*[F.when(condition, labels[k]) for k, condition in shown.items()]))

@@ -2,43 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.scalars import category_token
 from basketry.operators.behaviour import QUARTILES, describe
 from basketry.operators.distributed import exact_quantiles, most_frequent, running_before
-from basketry.runtime import count_of, scalar, union_all
+from basketry.runtime import count_of, scalar
 
 PAIR = ["user_id", "item_id"]
 
 
-def temporal_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Number of (a, b) event pairs of the same user and item with b strictly later, against the number of a events.
+TRANSITIONS = (("view", "cart"), ("view", "purchase"), ("cart", "purchase"))
+
+
+def temporal_pairs(df: DataFrame, transitions: Sequence[tuple[str, str]] = TRANSITIONS) -> DataFrame:
+    """For each (a, b): event pairs of the same user and item with b strictly later, against the number of a events.
 
-    Pairs are counted, not built: each b event adds the number of earlier a events, taken from running counts.
+    Pairs are counted, not built: each b event adds the number of earlier a events, taken from running counts. One
+    pass over the log serves all transitions.
     """
+    types = sorted({t for pair in transitions for t in pair})
     moments = (
-        df.filter(F.col("event_type").isin(a, b))
+        df.filter(F.col("event_type").isin(types))
         .groupBy(*PAIR, "event_time")
-        .agg(count_of(a).alias("_a"), count_of(b).alias("_b"))
+        .agg(*[count_of(t).alias(f"_n_{t}") for t in types])
     )
-    earlier = running_before(moments, PAIR, "event_time", F.to_date("event_time"), F.col("_a"), "_earlier_a")
-    return earlier.agg(
-        F.coalesce(F.sum(F.col("_b") * F.col("_earlier_a")), F.lit(0)).alias("n_pairs"),
-        F.coalesce(F.sum("_a"), F.lit(0)).alias("n_from"),
-    ).select(
-        F.lit(a).alias("from_type"),
-        F.lit(b).alias("to_type"),
-        "n_pairs",
-        "n_from",
-        F.coalesce(F.col("n_pairs") / F.nullif(F.col("n_from"), F.lit(0)) * 100, F.lit(0.0)).alias("rate_pct"),
+    for t in sorted({a for a, _ in transitions}):
+        moments = running_before(moments, PAIR, "event_time", F.to_date("event_time"), F.col(f"_n_{t}"), f"_before_{t}")
+    sums = []
+    for i, (a, b) in enumerate(transitions):
+        sums.append(F.coalesce(F.sum(F.col(f"_n_{b}") * F.col(f"_before_{a}")), F.lit(0)).alias(f"p{i}"))
+        sums.append(F.coalesce(F.sum(f"_n_{a}"), F.lit(0)).alias(f"f{i}"))
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(a).alias("from_type"), F.lit(b).alias("to_type"), F.col(f"p{i}").alias("n_pairs"), F.col(f"f{i}").alias("n_from")
+            )
+            for i, (a, b) in enumerate(transitions)
+        ]
     )
-
-
-def all_temporal_pairs(df: DataFrame) -> DataFrame:
-    """The three transitions of the funnel."""
-    return union_all(temporal_pairs(df, a, b) for a, b in (("view", "cart"), ("view", "purchase"), ("cart", "purchase")))
+    rate = F.coalesce(F.col("n_pairs") / F.nullif(F.col("n_from"), F.lit(0)) * 100, F.lit(0.0))
+    return moments.agg(*sums).select(F.inline(rows)).withColumn("rate_pct", rate)
 
 
 def cart_before_purchase(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A window or a list per key puts the whole key in one task. The functions here first cut a key into ordered bands
 (by hour, by value range, by sorted partition), do the per-row work inside a band, and carry only one small row per
-band across the key. Results are exact.
+band across the key. Results are exact. Keys and bands must not be null.
 """
 
 from __future__ import annotations
@@ -16,6 +16,18 @@ from pyspark.sql import functions as F
 from basketry.runtime import cut
 
 
+def _known(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows without null in the given columns.
+
+    A join drops such rows on both of its sides, but the optimizer cannot push that as far down on one side as on the
+    other. Saying it up front keeps both sides the same plan, so that their common shuffle is run once and reused.
+    """
+    kept = F.lit(True)
+    for name in names:
+        kept = kept & F.col(name).isNotNull()
+    return df.filter(kept)
+
+
 def keyed_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -30,22 +42,21 @@ def keyed_position(
     tasks as it has bands.
     """
     keys = list(keys)
-    banded = df.withColumn("_band", band)
+    banded = _known(df.withColumn("_band", band), [*keys, "_band"])
     per_band = banded.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_rows"))
     along = W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = per_band.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_band").alias("_b"),
+        *keys,
+        "_band",
         (F.sum("_rows").over(along) - F.col("_rows")).alias("_before"),
         F.sum("_rows").over(W.partitionBy(*keys)).alias("_size"),
     )
-    on = [banded[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = banded.join(offsets, on + [banded["_band"].eqNullSafe(F.col("_b"))])
+    joined = banded.join(offsets, [*keys, "_band"])
     inside = W.partitionBy(*keys, "_band").orderBy(*order)
     out = joined.withColumn(position, F.col("_before") + F.row_number().over(inside) - 1)
     if size:
         out = out.withColumn(size, F.col("_size"))
-    return out.drop("_band", "_before", "_size", "_b", *[f"_k{i}" for i in range(len(keys))])
+    return out.drop("_band", "_before", "_size")
 
 
 def running_before(
@@ -53,7 +64,7 @@ def running_before(
 ) -> DataFrame:
     """Sum of ``value`` over the earlier rows of the key; ``order`` is unique inside a key."""
     keys = list(keys)
-    banded = df.withColumn("_band", band).withColumn("_value", value)
+    banded = _known(df.withColumn("_band", band).withColumn("_value", value), [*keys, "_band"])
     totals = banded.groupBy(*keys, "_band").agg(F.sum("_value").alias("_sum"))
     along = W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = totals.select(*keys, "_band", (F.sum("_sum").over(along) - F.col("_sum")).alias("_earlier"))
@@ -115,20 +126,20 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_band", _value_band(F.col("_v")))
     )
+    counted = _known(counted, [*keys, "_band"])
     along = W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, W.currentRow)
     bands = (
         counted.groupBy(*keys, "_band")
         .agg(F.sum("_n").alias("_band_n"))
         .select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-            F.col("_band").alias("_b"),
+            *keys,
+            "_band",
             (F.sum("_band_n").over(along) - F.col("_band_n")).alias("_before"),
             F.sum("_band_n").over(W.partitionBy(*keys)).alias("_total"),
         )
     )
-    on = [counted[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     inside = W.partitionBy(*keys, "_band").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = counted.join(bands, on + [counted["_band"] == F.col("_b")]).withColumn(
+    placed = counted.join(bands, [*keys, "_band"]).withColumn(
         "_to", F.col("_before") + F.sum("_n").over(inside)
     )
     aggregates = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,51 @@ from basketry.functions.scalars import apply_temperature
 from basketry.functions.text import looks_negated
 from basketry.operators.evidence import support_maps
 
-# Words of the rule-based explanations and limits of a response.
+# Limits of a response.
 TEXT_LIMIT, SUMMARY_LIMIT, HINT_LIMIT, MAX_CLAIMS = 200, 300, 200, 6
 
+# Texts of claims by evidence key. Braces are filled from the evidence row.
+CLAIM_TEXTS = {
+    "signals.item_recent14_pop_log1p": "최근 14일 인기가 높습니다",
+    "signals.model_hit_count": "{hits}개 모델({models})이 함께 추천했습니다",
+    "signals.carted_before": "이전에 장바구니에 담은 적이 있습니다",
+    "signals.seen_before": "이전에 본 적이 있는 상품입니다",
+    "signals.price_in_user_band": "평소 보던 가격대 안에 있습니다",
+    "signals.brand_affinity": "평소 관심 브랜드({brand})와 맞습니다",
+    "user_context.carted_brands": "평소 담아두던 브랜드({brand})입니다",
+    "signals.category_l2_affinity": "자주 보던 카테고리({category})와 맞습니다",
+    "recommendation.rank": "앙상블 {rank}위로 추천되었습니다",
+    "signals.cart_without_purchase": "장바구니에 담아두셨던 상품입니다",
+    "signals.last_interaction_days": "최근 관심 가지셨던 상품입니다",
+    "signals.last_event_type": "마지막 상호작용은 {event}였습니다",
+    "signals.revisit_event_count": "여러 번 확인하신 상품입니다",
+    "signals.revisit_score": "과거 행동 기준 재방문 점수가 있습니다",
+}
+REVISIT_ANYWAY = "재방문 이력 기반 후보입니다"
+
+# Summaries by question; two texts are for at least two claims and for fewer.
+SUMMARY_TEXTS = {
+    "why": ["{brand}의 {category} 상품이며, {n}가지 근거가 일치합니다."],
+    "should_buy": ["근거가 충분해 담아두기를 권합니다.", "근거가 약하니 조금 더 살펴보세요."],
+    "cheaper": ["현재 가격은 {price}이며, 더 저렴한 대안 비교에는 추가 정보가 필요합니다."],
+    "fit_preference": ["취향 신호가 일치합니다.", "취향 일치 신호는 약합니다."],
+    "revisit": ["다시 볼 만한 과거 관심 신호가 있습니다.", "재방문 근거는 제한적입니다."],
+    "category_trend": ["{category} 카테고리에서 최근 조회 추세와 전환 근거를 확인했습니다."],
+    "promotion_candidate": ["조회·전환·취향 신호가 있어 프로모션 후보로 적합합니다.", "프로모션 후보로는 근거가 약합니다."],
+    "discontinue_candidate": ["단종 후보로는 부적합합니다.", "추천 합의가 약해 단종 검토 여지가 있습니다."],
+}
+OTHER_SUMMARY = "{brand} — {n}가지 근거 확인."
+NO_BRAND, NO_CATEGORY = "이 상품", "이 카테고리"
+
+# Decision hints by question, for a high and for a low confidence, and the limits between them.
+HINT_TEXTS = {
+    "should_buy": ["담아두고 가격 변동 확인", "추가 조사 권장"],
+    "revisit": ["장바구니 상태와 가격을 다시 확인", "비슷한 상품과 비교"],
+    "promotion_candidate": ["소규모 A/B 실험 권장", "보류"],
+}
+OTHER_HINTS = ["현재 근거로 충분", "추가 정보 필요"]
+SURE, SURE_OTHERWISE = 0.65, 0.7
+
 
 def hard_gate(responses: DataFrame, rows: DataFrame) -> DataFrame:
     """Failures of each response against the evidence it was given for, and the badge.
@@ -117,92 +161,95 @@ def self_check_flags(samples: DataFrame, threshold: float = 0.5) -> DataFrame:
     return first.withColumn("flags", F.concat(before, F.array_compact(F.transform("claims", flag)))).drop("_shares")
 
 
-def _claim(condition: Column, text: Column | str, key: str) -> Column:
-    return F.when(condition, F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(key).alias("evidence_ref")))
+def _fill(template: str, values: dict[str, Column]) -> Column:
+    """A text with named places as one concatenation of columns."""
+    pieces = [
+        values[field] if field is not None else F.lit(text)
+        for before, name, _, _ in Formatter().parse(template)
+        for text, field in ((before, None), ("", name))
+        if field is not None or text
+    ]
+    return F.concat(*pieces)
+
+
+def _claim(condition: Column, key: str, values: dict[str, Column], text: str | None = None) -> Column:
+    """Claim with its key if the condition holds, else null."""
+    return F.when(
+        condition, F.struct(_fill(text or CLAIM_TEXTS[key], values).alias("text"), F.lit(key).alias("evidence_ref"))
+    )
 
 
 def rule_claims(rows: DataFrame, question: str | Column = "why", n: int = 4) -> Column:
     """Claims that the signals of an evidence row justify, in fixed order, at most ``n``; never empty."""
     s = {c: F.col(f"signals.{c}") for c in rows.schema["signals"].dataType.names}
-    models = F.array_join(F.slice(s["models_recommending"], 1, 2), "·")
-    hits = s["model_hit_count"]
-    about = F.array_compact(
-        F.array(
-            _claim(s["item_recent14_pop_log1p"] > 3.0, "최근 14일 인기가 높습니다", "signals.item_recent14_pop_log1p"),
-            _claim(hits >= 2, F.concat(hits.cast("string"), F.lit("개 모델("), models, F.lit(")이 함께 추천했습니다")), "signals.model_hit_count"),
-            _claim(s["carted_before"], "이전에 장바구니에 담은 적이 있습니다", "signals.carted_before"),
-            _claim(~s["carted_before"] & s["seen_before"], "이전에 본 적이 있는 상품입니다", "signals.seen_before"),
-            _claim(s["price_in_user_band"], "평소 보던 가격대 안에 있습니다", "signals.price_in_user_band"),
-            _claim(s["brand_affinity"], F.concat(F.lit("평소 관심 브랜드("), F.col("brand"), F.lit(")와 맞습니다")), "signals.brand_affinity"),
-            _claim(
-                ~s["brand_affinity"] & F.array_contains("user_context.carted_brands", F.col("brand")),
-                F.concat(F.lit("평소 담아두던 브랜드("), F.col("brand"), F.lit(")입니다")), "user_context.carted_brands",
-            ),
-            _claim(
-                s["category_l2_affinity"],
-                F.concat(F.lit("자주 보던 카테고리("), F.coalesce("category_l2", "category_code"), F.lit(")와 맞습니다")),
-                "signals.category_l2_affinity",
-            ),
-        )
-    )
-    recent = F.coalesce(s["last_interaction_days"] <= 7, F.lit(False))
-    again = F.array_compact(
-        F.array(
-            _claim(s["cart_without_purchase"], "장바구니에 담아두셨던 상품입니다", "signals.cart_without_purchase"),
-            _claim(recent, "최근 관심 가지셨던 상품입니다", "signals.last_interaction_days"),
-            _claim(
-                ~recent & s["last_event_type"].isNotNull(),
-                F.concat(F.lit("마지막 상호작용은 "), s["last_event_type"], F.lit("였습니다")), "signals.last_event_type",
-            ),
-            _claim(s["revisit_event_count"] >= 3, "여러 번 확인하신 상품입니다", "signals.revisit_event_count"),
-            _claim(s["revisit_score"].isNotNull(), "과거 행동 기준 재방문 점수가 있습니다", "signals.revisit_score"),
-        )
-    )
+    values = {
+        "hits": s["model_hit_count"].cast("string"),
+        "models": F.array_join(F.slice(s["models_recommending"], 1, 2), "·"),
+        "brand": F.col("brand"),
+        "category": F.coalesce("category_l2", "category_code"),
+        "rank": F.col("rank").cast("string"),
+        "event": s["last_event_type"],
+    }
     always = F.lit(True)
-    ranked = F.concat(F.lit("앙상블 "), F.col("rank").cast("string"), F.lit("위로 추천되었습니다"))
-    about = F.when(F.size(about) > 0, about).otherwise(F.array(_claim(always, ranked, "recommendation.rank")))
-    again = F.when(F.size(again) > 0, again).otherwise(
-        F.array(_claim(always, "재방문 이력 기반 후보입니다", "recommendation.rank"))
+    recent = F.coalesce(s["last_interaction_days"] <= 7, F.lit(False))
+
+    def first_or(conditions: dict[str, Column], text: str | None = None) -> Column:
+        claims = F.array_compact(F.array(*[_claim(c, key, values) for key, c in conditions.items()]))
+        return F.when(F.size(claims) > 0, claims).otherwise(F.array(_claim(always, "recommendation.rank", values, text)))
+
+    about = first_or(
+        {
+            "signals.item_recent14_pop_log1p": s["item_recent14_pop_log1p"] > 3.0,
+            "signals.model_hit_count": s["model_hit_count"] >= 2,
+            "signals.carted_before": s["carted_before"],
+            "signals.seen_before": ~s["carted_before"] & s["seen_before"],
+            "signals.price_in_user_band": s["price_in_user_band"],
+            "signals.brand_affinity": s["brand_affinity"],
+            "user_context.carted_brands": ~s["brand_affinity"] & F.array_contains("user_context.carted_brands", F.col("brand")),
+            "signals.category_l2_affinity": s["category_l2_affinity"],
+        }
+    )
+    again = first_or(
+        {
+            "signals.cart_without_purchase": s["cart_without_purchase"],
+            "signals.last_interaction_days": recent,
+            "signals.last_event_type": ~recent & s["last_event_type"].isNotNull(),
+            "signals.revisit_event_count": s["revisit_event_count"] >= 3,
+            "signals.revisit_score": s["revisit_score"].isNotNull(),
+        },
+        REVISIT_ANYWAY,
     )
     asked = F.lit(question) if isinstance(question, str) else question
     return F.slice(F.when(asked == "revisit", again).otherwise(about), 1, n)
 
 
-def _summary(question: Column, n: Column) -> Column:
-    brand = F.coalesce(F.nullif(F.col("brand"), F.lit("")), F.lit("이 상품"))
-    category = F.coalesce(F.nullif(F.col("category_code"), F.lit("")), F.lit("이 카테고리"))
-    count = n.cast("string")
-
-    def either(strong: str, weak: str) -> Column:
-        return F.when(n >= 2, strong).otherwise(weak)
-
-    texts = {
-        "why": F.concat(brand, F.lit("의 "), category, F.lit(" 상품이며, "), count, F.lit("가지 근거가 일치합니다.")),
-        "should_buy": either("근거가 충분해 담아두기를 권합니다.", "근거가 약하니 조금 더 살펴보세요."),
-        "cheaper": F.concat(
-            F.lit("현재 가격은 "), F.coalesce(F.col("price").cast("string"), F.lit("None")), F.lit("이며, 더 저렴한 대안 비교에는 추가 정보가 필요합니다.")
-        ),
-        "fit_preference": either("취향 신호가 일치합니다.", "취향 일치 신호는 약합니다."),
-        "revisit": either("다시 볼 만한 과거 관심 신호가 있습니다.", "재방문 근거는 제한적입니다."),
-        "category_trend": F.concat(category, F.lit(" 카테고리에서 최근 조회 추세와 전환 근거를 확인했습니다.")),
-        "promotion_candidate": either("조회·전환·취향 신호가 있어 프로모션 후보로 적합합니다.", "프로모션 후보로는 근거가 약합니다."),
-        "discontinue_candidate": either("단종 후보로는 부적합합니다.", "추천 합의가 약해 단종 검토 여지가 있습니다."),
-    }
+def _by_question(question: Column, choices: dict[str, Column], otherwise: Column) -> Column:
     out = None
-    for key, text in texts.items():
-        out = F.when(question == key, text) if out is None else out.when(question == key, text)
-    return out.otherwise(F.concat(brand, F.lit(" — "), count, F.lit("가지 근거 확인.")))
+    for key, choice in choices.items():
+        out = F.when(question == key, choice) if out is None else out.when(question == key, choice)
+    return out.otherwise(otherwise)
+
+
+def _summary(question: Column, n: Column) -> Column:
+    values = {
+        "brand": F.coalesce(F.nullif(F.col("brand"), F.lit("")), F.lit(NO_BRAND)),
+        "category": F.coalesce(F.nullif(F.col("category_code"), F.lit("")), F.lit(NO_CATEGORY)),
+        "price": F.coalesce(F.col("price").cast("string"), F.lit("None")),
+        "n": n.cast("string"),
+    }
+
+    def text(versions: list[str]) -> Column:
+        strong = _fill(versions[0], values)
+        return strong if len(versions) == 1 else F.when(n >= 2, strong).otherwise(_fill(versions[1], values))
+
+    return _by_question(question, {k: text(v) for k, v in SUMMARY_TEXTS.items()}, _fill(OTHER_SUMMARY, values))
 
 
 def _hint(question: Column, confidence: Column) -> Column:
-    sure = confidence > 0.65
-    return (
-        F.when(question == "should_buy", F.when(sure, "담아두고 가격 변동 확인").otherwise("추가 조사 권장"))
-        .when(question == "revisit", F.when(sure, "장바구니 상태와 가격을 다시 확인").otherwise("비슷한 상품과 비교"))
-        .when(question == "promotion_candidate", F.when(sure, "소규모 A/B 실험 권장").otherwise("보류"))
-        .when(confidence > 0.7, "현재 근거로 충분")
-        .otherwise("추가 정보 필요")
-    )
+    def pick(texts: list[str], limit: float) -> Column:
+        return F.when(confidence > limit, texts[0]).otherwise(texts[1])
+
+    return _by_question(question, {k: pick(v, SURE) for k, v in HINT_TEXTS.items()}, pick(OTHER_HINTS, SURE_OTHERWISE))
 
 
 def rule_response(rows: DataFrame, question: str | Column = "why") -> DataFrame:

@@ -57,19 +57,24 @@ def item_ridge(gram: DataFrame, lam: float = 200.0, k_neighbors: int | None = No
 
 
 def _ridge_by_neighbors(gram: DataFrame, lam: float, k: int) -> DataFrame:
-    near = top_rows(
-        gram.filter(F.col("item_i") != F.col("item_j")), ["item_j"], [F.desc("value"), F.asc("item_i")], k
-    ).select(F.col("item_j").alias("target"), F.col("item_i").alias("a"), F.col("value").alias("rhs"))
-    # k rows of G per target, reduced to the columns that are neighbours too: at most k squared rows per target.
-    rows = near.join(gram.select(F.col("item_i").alias("a"), F.col("item_j").alias("b"), "value"), "a")
-    system = rows.join(near.select("target", F.col("a").alias("b")), ["target", "b"])
+    near = cut(
+        top_rows(
+            gram.filter(F.col("item_i") != F.col("item_j")), ["item_j"], [F.desc("value"), F.asc("item_i")], k
+        ).select(F.col("item_j").alias("target"), F.col("item_i").alias("a"), F.col("value").alias("rhs"))
+    )
+    # A target has at most k neighbours, so at most half of k squared cells of G are looked up for it.
+    others = near.select("target", F.col("a").alias("b"))
+    cells = near.join(others, "target").filter(F.col("a") <= F.col("b"))
+    lookup = gram.select(F.col("item_i").alias("a"), F.col("item_j").alias("b"), "value")
+    # Neighbours that never occur together have no cell; the diagonal always exists, so no neighbour gets lost.
+    system = cells.join(lookup, ["a", "b"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(pdf["a"].to_numpy())
+        names = np.unique(pdf["a"].to_numpy())  # every neighbour is an ``a``, if only for its own diagonal cell
         a = np.zeros((len(names), len(names)))
         y = np.zeros(len(names))
-        ia = np.searchsorted(names, pdf["a"].to_numpy())
-        a[ia, np.searchsorted(names, pdf["b"].to_numpy())] = pdf["value"].to_numpy()
+        ia, ib = (np.searchsorted(names, pdf[c].to_numpy()) for c in ("a", "b"))
+        a[ia, ib] = a[ib, ia] = pdf["value"].to_numpy()
         y[ia] = pdf["rhs"].to_numpy()
         a[np.diag_indices(len(names))] += lam
         return pd.DataFrame({"item_i": names, "item_j": pdf["target"].iloc[0], "weight": np.linalg.solve(a, y)})

@@ -373,7 +373,7 @@ def pairs_sql(a: str, b: str) -> str:
     on_log(" UNION ALL ".join(pairs_sql(a, b) for a, b in (("view", "cart"), ("view", "purchase"), ("cart", "purchase")))),
 )
 def temporal_pairs(spark, sf):
-    return rounded(C.all_temporal_pairs(fixtures.activity_log(spark, sf)))
+    return rounded(C.temporal_pairs(fixtures.activity_log(spark, sf)))
 
 
 BYPASS = """mark AS (SELECT p.user_id, p.item_id, p.event_time, coalesce(c.t < p.event_time,false) AS cart_before FROM (SELECT DISTINCT user_id, item_id, event_time FROM log WHERE event_type='purchase') p

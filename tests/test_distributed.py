@@ -77,7 +77,7 @@ def test_pairs_are_counted_like_a_join(log, skewed):
     views, buys = (skewed[skewed.event_type == t] for t in ("view", "purchase"))
     joined = views.merge(buys, on=["user_id", "item_id"])
     want = int((joined.event_time_y > joined.event_time_x).sum())
-    row = conversion.temporal_pairs(log, "view", "purchase").first()
+    row = conversion.temporal_pairs(log, [("view", "purchase")]).first()
     assert (row.n_pairs, row.n_from) == (want, len(views))
 
 
