@@ -13,12 +13,6 @@ from basketry.runtime import days, scalar
 TYPES = ("view", "cart", "purchase")
 
 
-def _ordered_list(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Values of a user in rank order; the caller has bounded how many there are."""
-    pairs = F.array_sort(F.collect_list(F.struct("rank", column)))
-    return df.groupBy("user_id").agg(F.transform(pairs, lambda p: p[column]).alias(name))
-
-
 def top_values_per_user(df: DataFrame, column: str, n: int = 3) -> DataFrame:
     """The ``n`` most frequent values of a column per user with their rank."""
     counts = df.filter(F.col(column).isNotNull()).groupBy("user_id", column).agg(F.count(F.lit(1)).alias("n"))
@@ -34,32 +28,58 @@ def first_values_per_user(df: DataFrame, column: str, n: int | None = 5, tie: st
     return top_rows(firsts, ["user_id"], [F.asc("_first")], n if n is not None else 2**31 - 1)
 
 
+LISTS = ["top_categories", "top_brands", "carted_brands", "purchased_brands"]
+
+
+def _preference_lists(df: DataFrame, brands_limit: int | None, tie: str) -> DataFrame:
+    """The four lists of a user in one pass over the log: each event adds its values to the lists it belongs to."""
+    event_type, brand = F.col("event_type"), F.col("brand")
+    category = category_path(F.col("category_code"))
+    # Preferences come from views; only a log without any view at all falls back to all events.
+    any_view = scalar(df, F.coalesce(F.bool_or(event_type == "view"), F.lit(False)))
+    preferred = (event_type == "view") | ~any_view
+    belongs = {
+        "top_categories": (preferred, category),
+        "top_brands": (preferred, brand),
+        "carted_brands": (event_type == "cart", brand),
+        "purchased_brands": (event_type == "purchase", brand),
+    }
+    entries = [
+        F.when(condition & value.isNotNull(), F.struct(F.lit(name).alias("list"), value.alias("value")))
+        for name, (condition, value) in belongs.items()
+    ]
+    counts = (
+        df.select("user_id", "event_time", tie, F.explode(F.array_compact(F.array(*entries))).alias("_e"))
+        .groupBy("user_id", "_e.list", "_e.value")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("event_time", tie)).alias("_first"))
+    )
+    by_count = F.col("list").startswith("top_")
+    order = [F.asc(F.when(by_count, -F.col("n"))), F.asc(F.when(~by_count, F.col("_first"))), F.asc("value")]
+    # Without a limit a list is as long as the user has distinct brands, which the number of brands bounds.
+    longest = 2**31 - 1 if brands_limit is None else max(3, brands_limit)
+    ranked = top_rows(counts, ["user_id", "list"], order, longest).filter(~by_count | (F.col("rank") <= 3))
+    return ranked.groupBy("user_id").agg(
+        *[
+            F.transform(
+                F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("rank", "value")))), lambda x: x["value"]
+            ).alias(name)
+            for name in LISTS
+        ]
+    )
+
+
 def _preferences(df: DataFrame, brands_limit: int | None, recent_days: int, tie: str) -> DataFrame:
     recent = F.col("event_time") >= scalar(df, F.max("event_time")) - days(recent_days)
     totals = df.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_events"), F.count_if(recent).alias("recent14_events")
     )
-    logged = df.withColumn("category_l2", category_path(F.col("category_code")))
-    # Preferences come from views; only a log without any view at all falls back to all events.
-    any_view = scalar(df, F.coalesce(F.bool_or(F.col("event_type") == "view"), F.lit(False)))
-    preferred = logged.filter((F.col("event_type") == "view") | ~any_view)
     views = df.filter((F.col("event_type") == "view") & F.col("price").isNotNull())
     prices = exact_quantiles(
         views, ["user_id"], "price", {"price_median": 0.5, "price_p25": 0.25, "price_p75": 0.75}
     ).withColumn("price_iqr", F.col("price_p75") - F.col("price_p25"))
-    lists = [
-        _ordered_list(top_values_per_user(preferred, "category_l2"), "category_l2", "top_categories"),
-        _ordered_list(top_values_per_user(preferred, "brand"), "brand", "top_brands"),
-    ]
-    for event_type, name in (("cart", "carted_brands"), ("purchase", "purchased_brands")):
-        rows = df.filter(F.col("event_type") == event_type)
-        lists.append(_ordered_list(first_values_per_user(rows, "brand", brands_limit, tie), "brand", name))
-    out = totals
-    for part in [*lists, prices]:
-        out = out.join(part, "user_id", "left")
+    out = totals.join(_preference_lists(df, brands_limit, tie), "user_id", "left").join(prices, "user_id", "left")
     empty = F.array().cast("array<string>")
-    names = ["top_categories", "top_brands", "carted_brands", "purchased_brands"]
-    return out.withColumns({c: F.coalesce(F.col(c), empty) for c in names})
+    return out.withColumns({c: F.coalesce(F.col(c), empty) for c in LISTS})
 
 
 def user_context(df: DataFrame, recent_days: int = 14, tie: str = "event_id") -> DataFrame:

@@ -12,6 +12,7 @@ from basketry.plans.features import CATALOG
 from basketry.plans.registry import query
 from basketry.plans.retrieval import CF, PROFILE, SEEN, knn_ctes
 from basketry.plans.sqlbase import L2PATH, on_log, on_preds, on_shop
+from basketry.runtime import cut
 from basketry.sources import fixtures
 
 PROFILES = f"""tcat AS (SELECT user_id, v FROM (SELECT user_id, {L2PATH} AS v, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, {L2PATH}) AS r FROM log WHERE event_type='view' AND category_code IS NOT NULL GROUP BY 1,2) WHERE r<=3),
@@ -37,10 +38,17 @@ REVISIT = """rev0 AS (SELECT *, CAST(floor((epoch_us((SELECT max(event_time) FRO
 
 
 def inputs(spark, sf):
-    """Log, profiles, seen items, catalog and model lists; the model is trained before the last week."""
+    """Log, profiles, seen items, catalog and model lists; the model is trained before the last week.
+
+    The sections read these tables several times, so each is stored once, as a service would store them.
+    """
     log = fixtures.activity_log(spark, sf)
     train, _ = time_based_split(log)
-    return log, context.user_profile(log), context.profile_items(log), features.item_catalog(log), one_model(train, "freq")
+    stored = [
+        cut(df)
+        for df in (context.user_profile(log), context.profile_items(log), features.item_catalog(log), one_model(train, "freq"))
+    ]
+    return log, *stored
 
 
 @query("model_top", on_preds("SELECT user_id, item_id, rank FROM preds WHERE model='freq' AND rank<=10"))

@@ -63,7 +63,7 @@ SWEEP = [
 
 def sweep(spark, sf):
     p = parts(spark, sf)
-    return rounded(fusion.fusion_sweep(preds(p.train), CONFIGS, p.gt))
+    return rounded(fusion.fusion_sweep(preds(p.train), CONFIGS, cut(p.gt)))
 
 
 @query("fusion_sweep", on_preds("SELECT config, ndcg, recall FROM res", *SWEEP))
@@ -76,7 +76,7 @@ def fusion_sweep(spark, sf):
     on_preds("""SELECT config, ndcg, recall, s AS best_single, round(ndcg-s,6) AS delta, ndcg-s>0 AS improves FROM res, (SELECT max(ndcg) AS s FROM res WHERE config LIKE '%_only') ORDER BY ndcg DESC, length(config) LIMIT 1""", *SWEEP),
 )
 def best_config(spark, sf):
-    return rounded(fusion.best_config(sweep(spark, sf), SINGLES))
+    return rounded(fusion.best_config(cut(sweep(spark, sf)), SINGLES))
 
 
 @query(
@@ -84,7 +84,7 @@ def best_config(spark, sf):
     on_preds("SELECT config, ndcg, recall, round(ndcg-(SELECT max(ndcg) FROM res WHERE config LIKE '%_only'),6) AS delta FROM res", *SWEEP),
 )
 def ranked_results(spark, sf):
-    return rounded(fusion.ranked_results(sweep(spark, sf), SINGLES))
+    return rounded(fusion.ranked_results(cut(sweep(spark, sf)), SINGLES))
 
 
 def tables_of(spark, sf):

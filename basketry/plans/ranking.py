@@ -9,7 +9,8 @@ from basketry.operators.distributed import top_rows
 from basketry.plans.common import one_model, parts, preds, rounded
 from basketry.plans.registry import query
 from basketry.plans.sqlbase import L2PATH, on_log, on_preds, on_split
-from basketry.sources import events, fixtures
+from basketry.runtime import cut
+from basketry.sources import fixtures
 
 
 @query(
@@ -155,7 +156,7 @@ def mrr_hit_at_k(spark, sf):
 @query("evaluate_models", on_preds("SELECT model, round(avg(ndcg),6) AS ndcg, round(avg(recall),6) AS recall FROM usr GROUP BY 1", DCG))
 def evaluate_models(spark, sf):
     p = parts(spark, sf)
-    return rounded(metrics.evaluate_models(preds(p.train), p.gt))
+    return rounded(metrics.evaluate_models(cut(preds(p.train)), p.gt))
 
 
 SLICED = """sl AS (SELECT slice, user_id, item_id FROM (SELECT 'full' AS slice, * FROM truth UNION ALL SELECT 'no_spike', * FROM truth WHERE event_time<'2024-01-28' UNION ALL SELECT 'spike_only', * FROM truth WHERE event_time>='2024-01-28'
@@ -175,7 +176,7 @@ WINDOWS = {**splits.default_windows("2024-01-28"), "later": ("2030-01-01", None)
 def slice_results(spark, sf):
     p = parts(spark, sf)
     sliced = splits.val_slices(splits.restrict(p.truth, p.users), WINDOWS)
-    return metrics.evaluate_slices(preds(p.train), sliced, list(WINDOWS))
+    return metrics.evaluate_slices(cut(preds(p.train)), sliced, list(WINDOWS))
 
 
 @query("evaluate_slices", on_preds("SELECT * FROM res", SLICED))
@@ -200,7 +201,7 @@ PAIRED = DCG + """, served AS (SELECT DISTINCT model, user_id FROM preds),
 
 def paired(spark, sf):
     p = parts(spark, sf)
-    return p, metrics.paired_ndcg(one_model(p.train, "freq"), one_model(p.train, "spend"), p.gt)
+    return p, metrics.paired_ndcg(cut(one_model(p.train, "freq")), cut(one_model(p.train, "spend")), cut(p.gt))
 
 
 @query("per_user_ndcg", on_preds("SELECT user_id, round(a_ndcg,6) AS ndcg FROM ab", PAIRED))

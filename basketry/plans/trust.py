@@ -16,7 +16,7 @@ from basketry.plans.features import CONTEXT, ITEM_ALIAS, SIGNALS
 from basketry.plans.registry import query
 from basketry.plans.retrieval import SEEN
 from basketry.plans.sqlbase import SHOP, cnt, mode_of, on_log, on_preds, on_split
-from basketry.runtime import scratch_path
+from basketry.runtime import cut, scratch_path
 from basketry.sources import fixtures, tables
 
 LIST = 5
@@ -53,11 +53,16 @@ def on_evidence(body: str, *ctes: str) -> str:
 def evidence(spark, sf, with_revisit: bool = True):
     log = fixtures.activity_log(spark, sf)
     train, _ = time_based_split(log)
-    lists = preds(train)
+    lists = cut(preds(train))
     recs = lists.filter((F.col("model") == "freq") & (F.col("rank") <= LIST))
     return E.evidence_rows(recs, log, E.model_rank_maps(lists), with_revisit, LIST)
 
 
+def stored_evidence(spark, sf):
+    """The same, stored: checks read evidence both for the responses and for what they are checked against."""
+    return cut(evidence(spark, sf))
+
+
 def flat(rows):
     out = rows.select("user_id", *E.ITEM_FIELDS, *[F.col(f"signals.{c}").alias(c) for c in E.SIGNAL_FIELDS])
     entries = F.transform(F.map_entries("ranks"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
@@ -250,7 +255,7 @@ GATE = """chk AS (SELECT r.pack_user_id, r.rank, i, c.evidence_ref AS ref, CASE
 
 @query("hard_gate", on_evidence("SELECT * FROM gate", CLAIMS, RESPONSE, FAULTY, support_sql(), GATE))
 def hard_gate(spark, sf):
-    rows = evidence(spark, sf)
+    rows = stored_evidence(spark, sf)
     checked = G.hard_gate(faulty_responses(rows), rows)
     return checked.select("pack_user_id", "rank", "question_key", F.array_join("failures", "|").alias("failures"), "badge", "response_text")
 
@@ -281,7 +286,7 @@ def self_check(spark, sf):
        (SELECT f.response_id, unnest(range(1,len(claims)+1)) AS i, claims[i].evidence_ref AS ref FROM smp f WHERE f.sample=0 AND f.response_id=scr.response_id) x JOIN shr USING (response_id, ref) WHERE share<0.5),'') AS flags FROM scr""", CLAIMS, RESPONSE, SAMPLES),
 )
 def self_check_flags(spark, sf):
-    flagged = G.self_check_flags(samples(evidence(spark, sf)))
+    flagged = G.self_check_flags(samples(stored_evidence(spark, sf)))
     return flagged.select("response_id", "self_check_score", F.array_join("flags", "|").alias("flags"))
 
 
@@ -377,7 +382,7 @@ def prompt_table(spark, sf):
 
 @query("evidence_prompts")
 def evidence_prompts(spark, sf):
-    rows = evidence(spark, sf)
+    rows = stored_evidence(spark, sf)
     targets = rows.select("user_id", "item_id", question().alias("question_key"))
     return P.evidence_prompts(E.evidence_pack(rows), targets, windows.user_aliases(fixtures.activity_log(spark, sf)))
 
