@@ -51,17 +51,16 @@ def rerank_binary(
     return union_all(scored), models
 
 
-def preference_pairs(table: DataFrame, negatives: int = 20, seed: int = 42) -> DataFrame:
-    """Feature differences between a user's bought candidates and some of the others, both ways round.
+def preference_pairs(table: DataFrame, negatives: int | None = None, seed: int = 42) -> DataFrame:
+    """Feature differences between a user's bought candidates and the others, half of them turned round.
 
-    Each positive meets the ``negatives`` others that a seeded hash puts first, so the number of pairs grows with the
-    positives and not with the square of the list.
+    Candidate lists are short by construction (some tens per model), and so is the number of pairs of a user. A number
+    of ``negatives`` makes each positive meet only so many others, those that a seeded hash puts first.
     """
     values = table.select("user_id", "item_id", "label", vector_to_array("features").alias("_x"))
-    losers = top_rows(
-        values.filter("label = 0").withColumn("_h", F.xxhash64("user_id", "item_id", F.lit(seed))),
-        ["user_id"], [F.asc("_h"), F.asc("item_id")], negatives, "_r",
-    )
+    losers = values.filter("label = 0").withColumn("_h", F.xxhash64("user_id", "item_id", F.lit(seed)))
+    if negatives is not None:
+        losers = top_rows(losers, ["user_id"], [F.asc("_h"), F.asc("item_id")], negatives, "_r")
     winners = values.filter("label = 1").select("user_id", F.col("_x").alias("_w"))
     pairs = winners.join(losers.select("user_id", "_x", "_h"), "user_id")
     up = (F.pmod("_h", F.lit(2)) == 0).cast("double")
@@ -71,7 +70,7 @@ def preference_pairs(table: DataFrame, negatives: int = 20, seed: int = 42) -> D
 
 
 def rerank_pairwise(
-    table: DataFrame, folds: int = 5, negatives: int = 20, seed: int = 42, reg: float = 0.01
+    table: DataFrame, folds: int = 5, negatives: int | None = None, seed: int = 42, reg: float = 0.01
 ) -> tuple[DataFrame, list[tuple[Model, Model]]]:
     """Ranking objective: a linear score that puts bought candidates of a user before others.
 

@@ -9,7 +9,7 @@ from basketry.operators import behaviour as B
 from basketry.operators import conversion as C
 from basketry.operators import windows
 from basketry.operators.splits import cutoff_time
-from basketry.plans.common import parts, rounded, shop
+from basketry.plans.common import rounded, shop
 from basketry.plans.registry import query
 from basketry.plans.scalars import PRICE_CASE, PRICE_EDGES, PRICE_LABELS
 from basketry.plans.sqlbase import DESCRIBE, L2PATH, L2TOKEN, cnt, mode_of, on_log, on_orders, on_shop

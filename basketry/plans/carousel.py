@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from basketry.operators import carousel as K
 from basketry.operators import context, features, vectors
 from basketry.operators.splits import time_based_split

@@ -35,10 +35,6 @@ def one_model(train: DataFrame, model: str) -> DataFrame:
     return preds(train).filter(F.col("model") == model).drop("model")
 
 
-def r6(name: str, column: Column | None = None) -> Column:
-    return F.round(F.col(name) if column is None else column, 6).alias(name)
-
-
 def day(column: Column) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketry.operators import context, features, lookups, submission, windows
-from basketry.plans.common import MODELS, one_model, parts, preds, r6, rounded, shop
+from basketry.plans.common import MODELS, one_model, parts, preds, rounded, shop
 from basketry.plans.registry import query
-from basketry.plans.sqlbase import L2PATH, L2TOKEN, cnt, mode_of, on_log, on_orders, on_preds, on_shop, on_split
+from basketry.plans.sqlbase import L2PATH, cnt, mode_of, on_log, on_orders, on_preds, on_shop, on_split
 from basketry.sources import events, fixtures, tables
 from basketry.runtime import scratch_path
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from basketry.functions.scalars import BEHAVIOR_WEIGHTS
 from basketry.operators import als, context, features, linear, neighbors, tifu, vectors
-from basketry.plans.common import MODELS, one_model, parts, preds, rounded
+from basketry.plans.common import parts, rounded
 from basketry.plans.features import CATALOG
 from basketry.plans.registry import query
-from basketry.plans.sqlbase import cnt, on_log, on_preds, on_split
+from basketry.plans.sqlbase import cnt, on_log, on_split
 from basketry.sources import fixtures
 
 K = 30

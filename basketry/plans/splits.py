@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import sets, splits
 from basketry.operators.splits import cutoff_time
-from basketry.plans.common import day, one_model, parts, preds
+from basketry.plans.common import one_model, parts, preds
 from basketry.plans.registry import query
 from basketry.plans.sqlbase import on_log, on_preds, on_split
 from basketry.sources import fixtures

@@ -12,10 +12,9 @@ from basketry.operators import windows
 from basketry.operators.splits import time_based_split
 from basketry.plans.carousel import REVISIT
 from basketry.plans.common import one_model, parts, preds, rounded
-from basketry.plans.features import CONTEXT, ITEM_ALIAS, SIGNALS
+from basketry.plans.features import CONTEXT, SIGNALS
 from basketry.plans.registry import query
-from basketry.plans.retrieval import SEEN
-from basketry.plans.sqlbase import SHOP, cnt, mode_of, on_log, on_preds, on_split
+from basketry.plans.sqlbase import SHOP, cnt, mode_of, on_preds, on_split
 from basketry.runtime import cut, scratch_path
 from basketry.sources import fixtures, tables
 
