@@ -48,12 +48,22 @@ def identical_groups(unit: DataFrame) -> DataFrame:
     return marks.join(reps, key).select("user_id", "rep")
 
 
-def _complete_search(unit: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` vectors for each query when every dimension offers all it has."""
+def _complete_search(unit: DataFrame, queries: DataFrame, k: int, everyone: bool) -> DataFrame:
+    """Best ``k`` vectors for each query when every dimension offers all it has.
+
+    If every vector is a query, similarity is computed for one half of the pairs and mirrored.
+    """
     others = unit.select("dim", F.col("user_id").alias("other"), F.col("w").alias("_w"))
-    sims = queries.join(others, "dim").groupBy("user_id", "other").agg(
-        F.round(F.sum(F.col("w") * F.col("_w")), DIGITS).alias("sim")
-    )
+    met = queries.join(others, "dim")
+    if everyone:
+        met = met.filter(F.col("user_id") <= F.col("other"))
+    sims = met.groupBy("user_id", "other").agg(F.round(F.sum(F.col("w") * F.col("_w")), DIGITS).alias("sim"))
+    if everyone:
+        turned = F.when(
+            F.col("user_id") != F.col("other"), F.struct(F.col("other").alias("user_id"), F.col("user_id").alias("other"))
+        )
+        both = F.array_compact(F.array(F.struct("user_id", "other"), turned))
+        sims = sims.select(F.explode(both).alias("_p"), "sim").select("_p.user_id", "_p.other", "sim")
     return top_rows(sims.filter(F.col("sim") > 0), ["user_id"], [F.desc("sim"), F.asc("other")], k, "place")
 
 
@@ -108,7 +118,7 @@ def similar_vectors(unit: DataFrame, k: int, probe: int = 1024) -> DataFrame:
     queries = unit
     while True:
         if probe >= longest:
-            return union_all([*finished, _complete_search(unit, queries, k)])
+            return union_all([*finished, _complete_search(unit, queries, k, everyone=not finished)])
         best, state = _search(unit, queries, k, probe)
         best, state = cut(best), cut(state)
         finished.append(best.join(state.filter("done"), "user_id", "left_semi"))
