@@ -6,9 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import basketry
+
+# Functions of this package travel to the Python workers whole, so only the driver needs the package.
+cloudpickle.register_pickle_by_value(basketry)
+
 # Settings every job of this library relies on. They are runtime SQL settings, so they can be applied to a session
 # that somebody else built. Partition counts are left to the cluster: adaptive execution coalesces them.
 SQL_SETTINGS = {
