@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.llm.byte_bpe import round_trip
 from basketry.llm.common import table
 from basketry.llm.sharding import consistent_shards
+from basketry.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +31,14 @@ def query(key: str, sql: str | None = None):
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = consistent_shards(table(spark, sf_dir, "documents"), 40)
     return shards.withColumn("law", F.lit("key"))
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
