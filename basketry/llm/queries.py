@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basketry.llm.byte_bpe import round_trip
 from basketry.llm.common import table
 from basketry.llm.packing import pack_documents
+from basketry.llm.quality import judged
 from basketry.llm.sharding import consistent_shards
 from basketry.llm.token_counts import token_counts
 from basketry.llm.token_files import read_token_files, write_documents
@@ -57,3 +58,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     write_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, path=path)
     return read_token_files(spark, path)
+
+
+QUALITY = {"max_class": 0.18, "max_word": 0.5}
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), **QUALITY)
