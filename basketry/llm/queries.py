@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.byte_bpe import round_trip
 from basketry.llm.common import table
+from basketry.llm.jaccard import jaccard_groups
 from basketry.llm.packing import pack_documents
 from basketry.llm.quality import judged
 from basketry.llm.sharding import consistent_shards
@@ -66,3 +67,8 @@ QUALITY = {"max_class": 0.18, "max_word": 0.5}
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), **QUALITY)
+
+
+@query("op2_jaccard_groups")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
