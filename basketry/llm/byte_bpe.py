@@ -22,10 +22,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from basketry.llm.common import slices, texts_of
+from basketry.llm.common import Remembered, slices, texts_of, worker_memory
 
-# Distinct words whose ids a task remembers; the memory starts anew beyond that. Likewise for pairs of tokens.
-REMEMBERED = 300_000
+# Pairs of tokens whose compatibility a worker remembers; the memory starts anew beyond that.
 REMEMBERED_PAIRS = 1_000_000
 NONE = -1
 
@@ -51,7 +50,7 @@ class ByteBpe:
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.find = regex.compile(pattern).findall
         self.shorter = [self._longest_prefix(t) for t in tokens]
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered()
         self.pairs: dict[tuple[int, int], bool] = {}
         # The last merge of each token, and the token that a pair merges into.
         self.halves: list[tuple[int, int]] = []
@@ -154,20 +153,11 @@ class ByteBpe:
                 raise ValueError("the vocabulary lacks single bytes")
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = self.find(text)
-        known = self.known
-        for word in words:
-            if word not in known:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                    return b"".join(self._packed(w) for w in words)
-                known[word] = self._packed(word)
-        return b"".join(map(known.__getitem__, words))
-
-    def _packed(self, word: str) -> bytes:
-        return array("I", self.encode_word(word.encode())).tobytes()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [self.find(t) for t in texts]
+        known = self.known.of(set().union(*split), lambda words: [array("I", self.encode_word(w.encode())).tobytes() for w in words])
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def decode(self, packed: bytes) -> bytes:
         ids = array("I")
@@ -175,15 +165,20 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def byte_bpe(tokens: list[bytes], pattern: str) -> ByteBpe:
+    """The worker's own encoder for a vocabulary."""
+    return worker_memory(("byte bpe", hash(tuple(tokens)), pattern), lambda: ByteBpe(tokens, pattern))
+
+
 def encode_documents(df: DataFrame, rank_file: str, pattern: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, ids binary): ids of every whole text as little-endian unsigned 32-bit integers."""
     tokens = read_ranks(rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(tokens, pattern)
+        bpe = byte_bpe(tokens, pattern)
         for batch in batches:
             for first, end, data, offsets in slices(batch):
-                packed = [bpe.encode(t.decode()) for t in texts_of(data, offsets)]
+                packed = bpe.encode([t.decode() for t in texts_of(data, offsets)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())],
                     ["id", "n_tokens", "ids"],
@@ -221,10 +216,10 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, id_column: str = "do
     tokens = read_ranks(rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(tokens, pattern)
+        bpe = byte_bpe(tokens, pattern)
         for batch in batches:
             for first, end, data, offsets in slices(batch):
-                packed = [bpe.encode(t.decode()) for t in texts_of(data, offsets)]
+                packed = bpe.encode([t.decode() for t in texts_of(data, offsets)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, end - first),

@@ -6,7 +6,10 @@ follows the limit or the longest single text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,9 @@ BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # Bytes of [\x20\x09-\x0D].
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# All but ASCII letters and digits and what lies beyond ASCII.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[48:58] = NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -122,3 +128,33 @@ class Hasher:
 def crc32_remainder(column: str, modulus: int):
     """crc32 of a column's text, modulo ``modulus``; a null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def worker_memory(key: object, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept for the life of the Python worker: Spark reuses workers from task to task."""
+    memory = sys.modules.setdefault("basketry_worker_memory", ModuleType("basketry_worker_memory")).__dict__
+    if key not in memory:
+        memory[key] = make()
+    return memory[key]
+
+
+class Remembered:
+    """Results by word, in two generations of about ``size`` words: those not asked for during a whole generation go."""
+
+    def __init__(self, size: int = 300_000) -> None:
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, words: set, make: Callable[[list], Iterable]) -> dict:
+        """Results of at least ``words``; those not remembered are made together."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        new = words.difference(self.young)
+        again = [w for w in new if w in self.old]
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        new.difference_update(again)
+        if new:
+            missing = list(new)
+            self.young.update(zip(missing, make(missing)))
+        return self.young

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import slices, stored, texts_of
-from basketry.llm.word_ids import WordIds
+from basketry.llm.common import slices, stored
+from basketry.llm.word_ids import word_ids
 
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 PLACED = "sequence int, offset long, fill long, used int, bound int"
@@ -36,12 +36,13 @@ def pieces(df: DataFrame, tokenizer_file: str, end_id: int, capacity: int) -> Da
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocabulary)
+        words = word_ids(vocabulary)
         for batch in batches:
             for first, last, data, offsets in slices(batch):
                 rows, piece, start, length, crc = [], [], [], [], []
-                for row, packed in enumerate(words.encode(texts_of(data, offsets)), first):
-                    packed += end
+                ids, bounds = words.encode(data, offsets)
+                for row in range(first, last):
+                    packed = ids[bounds[row - first] : bounds[row - first + 1]].astype("<u4").tobytes() + end
                     for n, at in enumerate(range(0, len(packed), 4 * capacity)):
                         part = packed[at : at + 4 * capacity]
                         rows.append(row)
@@ -49,9 +50,9 @@ def pieces(df: DataFrame, tokenizer_file: str, end_id: int, capacity: int) -> Da
                         start.append(at // 4)
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
-                ids = batch.column(0).take(pa.array(rows, pa.int64()))
+                owners = batch.column(0).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    [owners, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import IS_SPACE, LOWER, U64, Hasher, mix, slices, word_bounds
+from basketry.llm.common import IS_SPACE, LOWER, NO_LETTER, U64, Hasher, mix, slices, word_bounds
 
 LANGUAGES = 64
 COMMON_WORDS = 64
@@ -47,9 +47,6 @@ CLASS[list(b";:!?'\"()-")] = 6
 CLASS[48:58], CLASS[65:91], CLASS[97:123] = 3, 2, 1
 CLASS[128:192], CLASS[192:] = 0, 8
 CLASSES = 10
-# Words for comparison are runs of letters and digits.
-NO_LETTER = np.ones(256, bool)
-NO_LETTER[48:58] = NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:

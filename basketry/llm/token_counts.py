@@ -23,11 +23,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from basketry.llm.common import slices, texts_of
+from basketry.llm.common import Remembered, slices, texts_of, worker_memory
 
 LONGEST = 1024
-# Distinct pre-tokens whose counts a task remembers; the memory starts anew beyond that.
-REMEMBERED = 300_000
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -181,7 +179,7 @@ def _counter(model: bytes):
     table = MergeTable(processor)
     # Before a run of these marks no merge can start, unless a piece holds one behind another character.
     mark_starts = not ((table.joins & ((1 << 21) - 1) == 0x2581) & (table.joins >> 21 != 0x2581)).any()
-    known: dict[str, int] = {}
+    remembered = Remembered()
 
     def parts(text: str) -> list[str]:
         text = processor.normalize(text)
@@ -192,12 +190,7 @@ def _counter(model: bytes):
 
     def count(texts: list[str]) -> list[int]:
         split = [parts(text) for text in texts]
-        new = set().union(*split).difference(known) if split else set()
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set().union(*split)
-        words = list(new)
-        known.update(zip(words, count_tokens(table, words).tolist()))
+        known = remembered.of(set().union(*split), lambda words: count_tokens(table, words).tolist())
         return [sum(map(known.__getitem__, words)) for words in split]
 
     return count
@@ -212,7 +205,7 @@ def token_counts(df: DataFrame, model_file: str, limit: int, id_column: str = "d
         model = file.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(model)
+        count = worker_memory(("token counts", hash(model)), lambda: _counter(model))
         for batch in batches:
             for first, end, data, offsets in slices(batch):
                 tokens = np.array(count([t.decode() for t in texts_of(data, offsets)]), np.int64)

@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from basketry.llm.common import slices, stored, texts_of
-from basketry.llm.word_ids import WordIds
+from basketry.llm.common import slices, stored
+from basketry.llm.word_ids import word_ids
 
 MAGIC = b"TOK1"
 STRIDE = 128
@@ -37,23 +38,33 @@ TOGETHER = 48
 
 
 def token_ids(df: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids binary): little-endian unsigned 32-bit ids of every whole text, with the end token."""
+    """(doc_id, n_tokens, ids binary): ids of every whole text, with the end token, as little-endian unsigned integers.
+
+    They have 16 bits if the vocabulary allows it, else 32.
+    """
     with open(tokenizer_file, encoding="utf-8") as file:
         vocabulary = file.read()
-    end = np.array([end_id], "<u4").tobytes()
+    kind = "<u2" if max(end_id, Tokenizer.from_str(vocabulary).get_vocab_size() - 1) < 1 << 16 else "<u4"
+    end = np.array([end_id], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocabulary)
+        words = word_ids(vocabulary)
         for batch in batches:
             for first, last, data, offsets in slices(batch):
-                packed = [p + end for p in words.encode(texts_of(data, offsets))]
+                ids, bounds = words.encode(data, offsets)
+                ids = ids.astype(kind)
+                packed = [ids[a:b].tobytes() + end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())],
+                    [batch.column(0).slice(first, last - first), pa.array(np.diff(bounds) + 1), pa.array(packed, pa.binary())],
                     ["doc_id", "n_tokens", "ids"],
                 )
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    key = df.schema["doc_id"].dataType.simpleString()
+    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_tokens long, ids binary")
+
+
+def unpacked(size: int, packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{len(packed) // size}") if size else np.zeros(0, "<u4")
 
 
 def token_totals(ids: DataFrame) -> DataFrame:
@@ -62,15 +73,15 @@ def token_totals(ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for packed in batch.column(0):
-                more = np.bincount(np.frombuffer(packed.as_py(), "<u4"))
+            for size, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                more = np.bincount(unpacked(size, packed.as_py()))
                 if len(more) > len(counts):
                     counts, more = more, counts
                 counts[: len(more)] += more
         token = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(counts[token], pa.int64())], ["token", "total"])
 
-    return ids.select("ids").mapInArrow(run, "token long, total long").groupBy("token").agg(F.sum("total").alias("total"))
+    return ids.select("n_tokens", "ids").mapInArrow(run, "token long, total long").groupBy("token").agg(F.sum("total").alias("total"))
 
 
 def code_lengths(totals: np.ndarray, longest: int) -> np.ndarray:
@@ -181,10 +192,10 @@ def write_token_files(ids: DataFrame, path: str) -> None:
         partition, block, before, held = TaskContext.get().partitionId(), 0, 0, 0
         docs: list = []
         sizes: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            payload = encode_block(np.frombuffer(b"".join(parts), "<u4"), code_of, bits_of)
+            payload = encode_block(np.concatenate(parts), code_of, bits_of)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([partition], pa.int32()), pa.array([block], pa.int64()), pa.array([before], pa.int64()),
@@ -199,7 +210,7 @@ def write_token_files(ids: DataFrame, path: str) -> None:
             for doc, size, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 docs.append(doc)
                 sizes.append(size)
-                parts.append(packed.as_py())
+                parts.append(unpacked(size, packed.as_py()))
                 held += size
                 if held >= BLOCK_TOKENS:
                     yield flush()
