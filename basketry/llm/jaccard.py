@@ -289,3 +289,18 @@ class _Join:
 def jaccard_groups(df: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row, for links at a Jaccard similarity of ``num/den`` or more. Runs jobs."""
     return _Join(df, words, num, den).run()
+
+
+def one_of_each_group(df: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The rows of ``df`` without those that are near copies of one with a smaller doc_id. Runs jobs.
+
+    Of rows that share a doc_id one stays; rows without doc_id all stay.
+    """
+    groups = stored(jaccard_groups(df, words, num, den), "groups")
+    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    kept = df.join(copies, df["doc_id"].cast("long") == F.col("_copy"), "left_anti")
+    again = stored(groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")), "again")
+    if again.isEmpty():
+        return kept
+    same = kept["doc_id"].cast("long") == F.col("_again")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

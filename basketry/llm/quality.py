@@ -17,6 +17,7 @@ table; further columns are kept by ``keep_good`` and not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -203,66 +204,91 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(p.sum(axis=-1) > 0, np.sqrt(np.clip((left + right) / 2, 0, 1)), 0.0)
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, n_common long"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURES = {**dict.fromkeys(COUNTS, "long"), "class_distance": "double", "word_distance": "double", "n_common": "long"}
 
 
-def measures(df: DataFrame, id_column: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The base counts of every whole text and its distances from the reference of its language. Runs a job for those."""
-    known = references(df)
+class Measurer:
+    """Measures of slices of texts against known references."""
 
-    def prepared(hasher: Hasher) -> dict:
-        out = {}
+    def __init__(self, known: dict[str, tuple[np.ndarray, dict[str, float]]]) -> None:
+        self.hasher = Hasher()
+        self.by_lang = {}
         for lang, (classes, words) in known.items():
             names = sorted(words)
-            data = np.frombuffer("".join(names).encode(), np.uint8)
-            ends = np.cumsum([len(w.encode()) for w in names]).astype(np.int64)
-            hasher.prepare(data)
-            hashes = hasher.spans(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if names else np.zeros(0, np.uint64)
+            ends = np.cumsum([0, *(len(w.encode()) for w in names)]).astype(np.int64)
+            self.hasher.prepare(np.frombuffer("".join(names).encode(), np.uint8))
+            hashes = self.hasher.spans(ends[:-1], ends[1:])
             order = np.argsort(hashes)
             shares = np.array([words[names[i]] for i in order])
-            out[lang] = classes, hashes[order], np.append(shares, max(0.0, 1 - shares.sum()))
+            self.by_lang[lang] = classes, hashes[order], np.append(shares, max(0.0, 1 - shares.sum()))
+        self.none = self.by_lang.get("", (np.zeros(CLASSES), np.zeros(0, np.uint64), np.ones(1)))
+
+    def measure(self, langs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+        texts = len(langs)
+        out = base_counts(data, offsets, self.hasher)
+        classes = class_counts(data, offsets)
+        words, owner, *_ = _prose_words(data, offsets, self.hasher)
+        out |= {"class_distance": np.zeros(texts), "word_distance": np.zeros(texts), "n_common": np.zeros(texts, np.int64)}
+        for lang in np.unique(langs):
+            reference, hashes, shares = self.by_lang.get(str(lang), self.none)
+            mine = np.flatnonzero(langs == lang)
+            amount = classes[mine] / np.maximum(1, classes[mine].sum(axis=1, keepdims=True))
+            out["class_distance"][mine] = js_distance(amount, reference)
+            width = len(hashes) + 1
+            place = np.minimum(np.searchsorted(hashes, words), max(0, width - 2))
+            place = np.where(hashes[place] == words, place, width - 1) if width > 1 else np.zeros(len(words), np.int64)
+            table = np.bincount(owner * width + place, minlength=texts * width).reshape(-1, width)[mine]
+            out["n_common"][mine] = table[:, :-1].sum(axis=1)
+            out["word_distance"][mine] = js_distance(table / np.maximum(1, table.sum(axis=1, keepdims=True)), shares)
         return out
 
+
+@dataclass(frozen=True)
+class Limits:
+    """From which distances on a text of ``min_words`` words or more is rejected."""
+
+    max_class: float
+    max_word: float
+    min_words: int = LEAST_WORDS
+
+    def judge(self, m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each text fails the base rules, and whether it is kept."""
+        failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+        far = (m["n_words"] >= self.min_words) & ((m["class_distance"] > self.max_class) | (m["word_distance"] > self.max_word))
+        return failed, ~failed & ~far
+
+
+def judged(df: DataFrame, limits: Limits, id_column: str = "doc_id") -> DataFrame:
+    """(id, base counts, distances, base_failed, kept) of every whole text. Runs a job for the references."""
+    known = references(df)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measurer = Measurer(known)
+        for batch in batches:
+            langs = _arrow_strings(batch, "lang").astype(str)
+            for first, end, data, offsets in slices(batch):
+                measured = measurer.measure(langs[first:end], data, offsets)
+                failed, kept = limits.judge(measured)
+                values = [pa.array(measured[n].astype(np.float64 if kind == "double" else np.int64)) for n, kind in MEASURES.items()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *values, pa.array(failed), pa.array(kept)], names)
+
+    names = ["id", *MEASURES, "base_failed", "kept"]
+    rows = df.select(df[id_column].alias("id"), df["lang"].cast("string").alias("lang"), df["text"].alias("text"))
+    schema = ", ".join([f"id {df.schema[id_column].dataType.simpleString()}", *(f"{n} {k}" for n, k in MEASURES.items()), "base_failed boolean", "kept boolean"])
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+
+
+def keep_good(df: DataFrame, limits: Limits) -> DataFrame:
+    """The rows of ``df`` whose text is kept, with all their columns. Runs a job for the references."""
+    known = references(df)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        by_lang = prepared(hasher)
-        none = by_lang.get("", (np.zeros(CLASSES), np.zeros(0, np.uint64), np.ones(1)))
+        measurer = Measurer(known)
         for batch in batches:
-            langs = _arrow_strings(batch, "_lang")
-            for first, end, data, offsets in slices(batch, "_text"):
-                counts = base_counts(data, offsets, hasher)
-                classes = class_counts(data, offsets)
-                words, owner, *_ = _prose_words(data, offsets, hasher)
-                own = langs[first:end].astype(str)
-                class_distance, word_distance, common = np.zeros(end - first), np.zeros(end - first), np.zeros(end - first, np.int64)
-                for lang in np.unique(own):
-                    reference, hashes, shares = by_lang.get(str(lang), none)
-                    mine = np.flatnonzero(own == lang)
-                    amount = classes[mine] / np.maximum(1, classes[mine].sum(axis=1, keepdims=True))
-                    class_distance[mine] = js_distance(amount, reference)
-                    width = len(hashes) + 1
-                    place = np.minimum(np.searchsorted(hashes, words), max(0, width - 2))
-                    place = np.where(hashes[place] == words, place, width - 1) if width > 1 else np.zeros(len(words), np.int64)
-                    table = np.bincount(owner * width + place, minlength=(end - first) * width).reshape(-1, width)[mine]
-                    common[mine] = table[:, :-1].sum(axis=1)
-                    word_distance[mine] = js_distance(table / np.maximum(1, table.sum(axis=1, keepdims=True)), shares)
-                kept = [batch.column(n).slice(first, end - first) for n in range(len(fields))]
-                values = [pa.array(counts[n].astype(np.int64)) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-                yield pa.RecordBatch.from_arrays(
-                    kept + values + [pa.array(class_distance), pa.array(word_distance), pa.array(common)],
-                    names + [x.split()[0] for x in MEASURES.split(", ")],
-                )
-
-    fields = [df.schema[c] for c in dict.fromkeys([id_column, *keep])]
-    names = [f"_{n}" for n in range(len(fields))]
-    rows = df.select(*(df[f.name].alias(n) for f, n in zip(fields, names)), df["lang"].cast("string").alias("_lang"), df["text"].alias("_text"))
-    schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for f, n in zip(fields, names)), MEASURES])
-    out = rows.mapInArrow(run, schema)
-    return out.withColumnsRenamed(dict(zip(names, (f.name for f in fields))))
-
-
-def judged(df: DataFrame, max_class: float, max_word: float, min_words: int = LEAST_WORDS, **options) -> DataFrame:
-    """``measures`` with base_failed and kept."""
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    far = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class) | (F.col("word_distance") > max_word))
-    return measures(df, **options).withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
+            langs = _arrow_strings(batch, "lang").astype(str)
+            for first, end, data, offsets in slices(batch):
+                _, kept = limits.judge(measurer.measure(langs[first:end], data, offsets))
+                yield batch.slice(first, end - first).filter(pa.array(kept))
+
+    return df.mapInArrow(run, df.schema)

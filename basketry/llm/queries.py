@@ -8,14 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.llm import toxicity, url_filter
 from basketry.llm.byte_bpe import round_trip
-from basketry.llm.common import table
+from basketry.llm.common import crc32_remainder, table
 from basketry.llm.jaccard import jaccard_groups
 from basketry.llm.packing import pack_documents
-from basketry.llm.quality import judged
+from basketry.llm.quality import Limits, judged
 from basketry.llm.sharding import consistent_shards
 from basketry.llm.token_counts import token_counts
 from basketry.llm.token_files import read_token_files, write_documents
+from basketry.llm.topk import exact_top_k
 from basketry.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,14 +63,39 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
-QUALITY = {"max_class": 0.18, "max_word": 0.5}
+QUALITY = Limits(max_class=0.18, max_word=0.5)
 
 
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"), **QUALITY)
+    return judged(table(spark, sf_dir, "documents"), QUALITY)
 
 
 @query("op2_jaccard_groups")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+TOXIC_FROM = 0.7
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc32_remainder("doc_id", 3) == 1
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels").filter(~held_out))
+    scores = toxicity.score(documents, model)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+@query("op4_threshold_top_k")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+@query("op9_url_filter")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), RULES)
