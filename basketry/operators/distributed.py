@@ -200,6 +200,9 @@ def sorted_index(df: DataFrame, order: Sequence[str | Column], index: str = "ind
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First ``n`` rows per key with their 1-based rank. Spark limits each map task to n rows per key before it shuffles."""
+    """First ``n`` rows per key with their 1-based rank.
+
+    With the settings of ``runtime.tuned`` Spark limits each map task to n rows per key before it shuffles, for any n.
+    """
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.operators.blocks import BLOCK, sparse_top
 from basketry.operators.distributed import sorted_index, top_rows
 from basketry.runtime import cut, require_positive
 
@@ -180,12 +181,13 @@ def _ridge_by_inverse(gram: DataFrame, lam: float, block: int) -> DataFrame:
     ).select("item_i", "item_j", "weight")
 
 
-def item_ridge_scores(inter: DataFrame, weights: DataFrame, n: int = 50, filter_seen: bool = False) -> DataFrame:
-    """``X·B``: each user's items vote for others; best ``n`` per user, optionally without what the user has."""
-    votes = inter.join(weights.withColumnRenamed("weight", "_b"), inter["item_id"] == weights["item_i"])
-    scores = votes.groupBy("user_id", F.col("item_j").alias("item_id")).agg(
-        F.round(F.sum(F.col("weight") * F.col("_b")), 9).alias("score")
-    )
-    if filter_seen:
-        scores = scores.join(inter.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return top_rows(scores, ["user_id"], [F.desc("score"), F.asc("item_id")], n)
+def item_ridge_scores(inter: DataFrame, weights: DataFrame, n: int = 50, filter_seen: bool = False, block: int = BLOCK) -> DataFrame:
+    """``X·B``: each user's items vote for others; best ``n`` per user, optionally without what the user has.
+
+    Users meet items block against block, so votes are added up inside a task and only the best of each block are shuffled.
+    """
+    users = cut(inter.select(F.col("user_id").alias("query_id"), F.col("item_id").alias("dim"), F.col("weight").alias("w")))
+    items = cut(weights.select(F.col("item_j").alias("candidate_id"), F.col("item_i").alias("dim"), F.col("weight").alias("w")))
+    seen = inter.select(F.col("user_id").alias("query_id"), F.col("item_id").alias("candidate_id")) if filter_seen else None
+    best = sparse_top(users, items, n, seen, block, least=None)
+    return best.select(F.col("query_id").alias("user_id"), F.col("candidate_id").alias("item_id"), "score", "rank")

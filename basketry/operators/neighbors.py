@@ -1,14 +1,10 @@
-"""Exact nearest neighbours of sparse vectors, without building all pairs that share a dimension.
+"""Exact nearest neighbours of sparse vectors, without shuffling all pairs that share a dimension.
 
 Vectors are long tables ``(user_id, item_id, weight)`` with positive weights. Similarity is the cosine.
 
-Three things keep the work linear in the number of non-zero weights:
-
-* Users with identical vectors are searched once. Only the first k+1 of them (by id) can be anybody's neighbours.
-* Each dimension offers only its first ``probe`` vectors, by weight. A vector that none of the dimensions of a user
-  offers can be no more similar than the sum of the user's weights times the smallest weight offered. When the k-th
-  best similarity found beats that bound, the search of this user is finished and exact.
-* Users that are not finished search again with eight times as many offers, the last time with all of them.
+Users with identical vectors are searched once; only the first k+1 of them (by id) can be anybody's neighbours. Distinct
+vectors meet block against block (see ``blocks``): products are added up inside one task, and each pair of blocks hands on
+no more than the best k+1 of every vector.
 """
 
 from __future__ import annotations
@@ -17,11 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from basketry.operators.blocks import BLOCK, sparse_top
 from basketry.operators.distributed import top_rows
-from basketry.runtime import cut, require_positive, union_all
-
-DIGITS = 9
-MARGIN = 2e-9
+from basketry.runtime import cut, require_positive
 
 
 def unit_vectors(vec: DataFrame, dim: str = "item_id") -> DataFrame:
@@ -48,94 +42,26 @@ def identical_groups(unit: DataFrame) -> DataFrame:
     return marks.join(reps, key).select("user_id", "rep")
 
 
-def _complete_search(unit: DataFrame, queries: DataFrame, k: int, everyone: bool) -> DataFrame:
-    """Best ``k`` vectors for each query when every dimension offers all it has.
-
-    If every vector is a query, similarity is computed for one half of the pairs and mirrored.
-    """
-    others = unit.select("dim", F.col("user_id").alias("other"), F.col("w").alias("_w"))
-    met = queries.join(others, "dim")
-    if everyone:
-        met = met.filter(F.col("user_id") <= F.col("other"))
-    sims = met.groupBy("user_id", "other").agg(F.round(F.sum(F.col("w") * F.col("_w")), DIGITS).alias("sim"))
-    if everyone:
-        turned = F.when(
-            F.col("user_id") != F.col("other"), F.struct(F.col("other").alias("user_id"), F.col("user_id").alias("other"))
-        )
-        both = F.array_compact(F.array(F.struct("user_id", "other"), turned))
-        sims = sims.select(F.explode(both).alias("_p"), "sim").select("_p.user_id", "_p.other", "sim")
-    return top_rows(sims.filter(F.col("sim") > 0), ["user_id"], [F.desc("sim"), F.asc("other")], k, "place")
-
-
-def _search(unit: DataFrame, queries: DataFrame, k: int, probe: int) -> tuple[DataFrame, DataFrame]:
-    """Best ``k`` vectors for each query among the offers, and whether they are certain.
-
-    ``unit`` and ``queries`` are ``(user_id, dim, w)``; returns ``(user_id, other, sim, place)`` and ``(user_id, done)``.
-    """
-    sizes = unit.groupBy("dim").agg(F.count(F.lit(1)).alias("_size"))
-    offers = top_rows(unit, ["dim"], [F.desc("w"), F.asc("user_id")], probe, "_place").join(sizes, "dim")
-    long_dims = offers.filter((F.col("_place") == probe) & (F.col("_size") > probe)).select("dim", F.col("w").alias("_last"))
-    found = queries.join(
-        offers.select("dim", F.col("user_id").alias("other"), F.col("w").alias("_w"), (F.col("_size") <= probe).alias("_short")),
-        "dim",
-    )
-    # Short dimensions are complete, so their part of the similarity is final. Long ones are looked up pair by pair.
-    pairs = found.groupBy("user_id", "other").agg(
-        F.sum(F.when(F.col("_short"), F.col("w") * F.col("_w")).otherwise(0.0)).alias("_part")
-    )
-    long_unit = unit.join(long_dims.select("dim"), "dim", "left_semi")
-    long_queries = queries.join(long_dims, "dim")
-    rest = (
-        pairs.select("user_id", "other")
-        .join(long_unit.select(F.col("user_id").alias("other"), "dim", F.col("w").alias("_w")), "other")
-        .join(long_queries.select("user_id", "dim", "w"), ["user_id", "dim"])
-        .groupBy("user_id", "other")
-        .agg(F.sum(F.col("w") * F.col("_w")).alias("_part"))
-    )
-    sims = pairs.unionByName(rest).groupBy("user_id", "other").agg(F.round(F.sum("_part"), DIGITS).alias("sim"))
-    best = top_rows(sims.filter(F.col("sim") > 0), ["user_id"], [F.desc("sim"), F.asc("other")], k, "place")
-    # Largest similarity a vector not offered can have: limited by the last offers and by the length of the long part.
-    bound = long_queries.groupBy("user_id").agg(
-        F.least(F.sum(F.col("w") * F.col("_last")), F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("_bound")
-    )
-    kth = best.filter(F.col("place") == k).select("user_id", F.col("sim").alias("_kth"))
-    state = (
-        queries.select("user_id").distinct()
-        .join(bound, "user_id", "left")
-        .join(kth, "user_id", "left")
-        .select("user_id", (F.col("_bound").isNull() | (F.coalesce(F.col("_kth"), F.lit(0.0)) > F.col("_bound") + MARGIN)).alias("done"))
-    )
-    return best, state
-
-
-def similar_vectors(unit: DataFrame, k: int, probe: int = 1024) -> DataFrame:
-    """Exact best ``k`` vectors (itself included) for each vector: ``(user_id, other, sim, place)``."""
-    require_positive(k=k, probe=probe)
+def similar_vectors(unit: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """Exact best ``k`` vectors (itself included) for each vector: ``(user_id, other, sim, place)``. Runs jobs."""
+    require_positive(k=k, block=block)
     unit = cut(unit)
-    longest = unit.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    probe = max(probe, k)
-    finished = []
-    queries = unit
-    while True:
-        if probe >= longest:
-            return union_all([*finished, _complete_search(unit, queries, k, everyone=not finished)])
-        best, state = _search(unit, queries, k, probe)
-        best, state = cut(best), cut(state)
-        finished.append(best.join(state.filter("done"), "user_id", "left_semi"))
-        open_users = state.filter(~F.col("done")).select("user_id")
-        left = open_users.count()
-        if left == 0:
-            return union_all(finished)
-        queries = unit.join(open_users, "user_id", "left_semi")
-        probe = probe * 8 if len(finished) < 3 else longest
-
-
-def user_knn(vec: DataFrame, k: int = 300, dim: str = "item_id", probe: int = 1024) -> DataFrame:
+    queries = unit.select(F.col("user_id").alias("query_id"), "dim", "w")
+    best = sparse_top(queries, queries.withColumnRenamed("query_id", "candidate_id"), k, block=block)
+    return best.select(F.col("query_id").alias("user_id"), F.col("candidate_id").alias("other"), F.col("score").alias("sim"), F.col("rank").alias("place"))
+
+
+def user_knn(vec: DataFrame, k: int = 300, dim: str = "item_id", block: int = BLOCK) -> DataFrame:
     """Exact ``k`` most similar other users: ``(user_id, neighbor, sim, rank)``; only positive similarity counts."""
-    unit = unit_vectors(vec, dim)
+    return unit_knn(unit_vectors(vec, dim), k, block)
+
+
+def unit_knn(unit: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The same for unit vectors ``(user_id, dim, w)``."""
+    unit = cut(unit)
     groups = cut(identical_groups(unit))
     distinct = unit.join(groups.select(F.col("rep").alias("user_id")).distinct(), "user_id", "left_semi")
-    return _expand(similar_vectors(distinct, k + 1, probe), groups, k)
+    return _expand(similar_vectors(distinct, k + 1, block), groups, k)
 
 
 def _expand(similar: DataFrame, groups: DataFrame, k: int) -> DataFrame:

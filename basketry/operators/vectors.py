@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.scalars import lookup
-from basketry.operators.distributed import sorted_index, top_rows
+from basketry.operators.blocks import BLOCK, TILE, dense_top
 from basketry.operators.features import vocabularies
-from basketry.operators.neighbors import _expand, identical_groups, unit_vectors
-from basketry.runtime import cut, require_positive
+from basketry.operators.neighbors import unit_knn, unit_vectors
+from basketry.runtime import cut
 
 # Weight of an event in a profile vector.
 PROFILE_WEIGHTS = {"view": 0.05, "cart": 1.0, "purchase": 2.0}
@@ -19,68 +17,18 @@ DIGITS = 9
 
 
 def embedding_topn(
-    queries: DataFrame, items: DataFrame, n: int, block: int = 32768, tile: int = 512, exclude: DataFrame | None = None
+    queries: DataFrame, items: DataFrame, n: int, block: int = BLOCK, tile: int = TILE, exclude: DataFrame | None = None
 ) -> DataFrame:
     """Exact best ``n`` items per query by inner product: ``(query_id, item_id, score, rank)``.
 
-    ``exclude`` lists ``(query_id, item_id)`` pairs that must not come out; a query then keeps as many more candidates
-    as it has excluded items, which is always enough.
-
-    ``queries`` is ``(query_id, vector)``, ``items`` is ``(item_id, vector)``. Both sides are dealt into blocks; each pair
-    of blocks is one task that multiplies matrices and keeps n items per query. Neither side is ever whole in one
-    place, and memory is set by ``block`` and ``tile`` alone.
+    ``queries`` is ``(query_id, vector)``, ``items`` is ``(item_id, vector)``. ``exclude`` lists ``(query_id, item_id)`` pairs that
+    must not come out; each is sent to the pair of blocks it belongs to and hidden there. Both inputs are written first,
+    and their ids are counted.
     """
-    require_positive(n=n, block=block, tile=tile)
-    q_blocks = max(1, -(-queries.count() // block))
-    i_blocks = max(1, -(-items.count() // block))
-
-    extra = F.lit(0)
+    queries, items = cut(queries), cut(items.withColumnRenamed("item_id", "candidate_id"))
     if exclude is not None:
-        sizes = exclude.groupBy("query_id").agg(F.countDistinct("item_id").cast("int").alias("_extra"))
-        queries = queries.join(sizes, "query_id", "left")
-        extra = F.coalesce(F.col("_extra"), F.lit(0))
-
-    def deal(df: DataFrame, key: str, mine: str, mine_n: int, other: str, other_n: int) -> DataFrame:
-        return df.select(
-            F.col(key),
-            F.col("vector").cast("array<double>").alias("vector"),
-            F.pmod(F.xxhash64(key), F.lit(mine_n)).cast("int").alias(mine),
-            (extra if key == "query_id" else F.lit(0)).alias("_more"),
-            F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other),
-        )
-
-    left = deal(queries, "query_id", "_q", q_blocks, "_i", i_blocks)
-    right = deal(items, "item_id", "_i", i_blocks, "_q", q_blocks)
-
-    def multiply(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        if q.empty or i.empty:
-            return empty
-        ids = i["item_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, matrix = ids[order], np.stack(i["vector"].to_numpy()[order]).T
-        out = []
-        for at in range(0, len(q), tile):
-            part = q.iloc[at : at + tile]
-            scores = np.round(np.stack(part["vector"].to_numpy()) @ matrix, DIGITS)
-            # Everything that reaches the last score kept stays; ids are sorted, so a stable sort settles ties.
-            for row, (query, more) in enumerate(zip(part["query_id"].to_numpy(), part["_more"].to_numpy())):
-                keep = min(n + int(more), scores.shape[1])
-                least = np.partition(scores[row], scores.shape[1] - keep)[scores.shape[1] - keep]
-                found = np.flatnonzero(scores[row] >= least)
-                best = found[np.argsort(-scores[row][found], kind="stable")][:keep]
-                out.append(pd.DataFrame({"query_id": query, "item_id": ids[best], "score": scores[row][best]}))
-        return pd.concat(out, ignore_index=True)
-
-    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (items, "item_id"))]
-    partial = (
-        left.groupBy("_q", "_i")
-        .cogroup(right.groupBy("_q", "_i"))
-        .applyInPandas(multiply, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
-    )
-    if exclude is not None:
-        partial = partial.join(exclude.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-    return top_rows(partial, ["query_id"], [F.desc("score"), F.asc("item_id")], n)
+        exclude = exclude.select("query_id", F.col("item_id").alias("candidate_id"))
+    return dense_top(queries, items, n, exclude, block, tile).withColumnRenamed("candidate_id", "item_id")
 
 
 def profile_vectors(events: DataFrame, catalog: DataFrame, top_brands: int = 20) -> DataFrame:
@@ -109,28 +57,6 @@ def profile_vectors(events: DataFrame, catalog: DataFrame, top_brands: int = 20)
     return unit_vectors(summed, "dim")
 
 
-def profile_knn(unit: DataFrame, k: int = 20, block: int = 32768) -> DataFrame:
-    """Exact ``k`` most similar other users by inner product: ``(user_id, neighbor, sim, rank)``.
-
-    There are few dimensions and many users share one vector, so distinct vectors are multiplied block by block.
-    """
-    unit = cut(unit)
-    groups = cut(identical_groups(unit))
-    dims = sorted_index(unit.select("dim").distinct(), ["dim"], "i")
-    size = dims.count()
-    if size == 0:
-        return unit.sparkSession.createDataFrame([], f"user_id {unit.schema['user_id'].dataType.simpleString()}, neighbor {unit.schema['user_id'].dataType.simpleString()}, sim double, rank int")
-    distinct = unit.join(groups.select(F.col("rep").alias("user_id")).distinct(), "user_id", "left_semi")
-    cells = F.map_from_entries(F.collect_list(F.struct(F.col("i"), F.col("w"))))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("_cells", i), F.lit(0.0)))
-    vectors = cut(
-        distinct.join(dims, "dim").groupBy("user_id").agg(cells.alias("_cells")).select("user_id", dense.alias("vector"))
-    )
-    best = embedding_topn(
-        vectors.select(F.col("user_id").alias("query_id"), "vector"),
-        vectors.select(F.col("user_id").alias("item_id"), "vector"),
-        k + 1,
-        block,
-    )
-    similar = best.select(F.col("query_id").alias("user_id"), F.col("item_id").alias("other"), F.col("score").alias("sim"))
-    return _expand(similar.filter(F.col("sim") > 0), groups, k)
+def profile_knn(unit: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
+    """Exact ``k`` most similar other users by inner product: ``(user_id, neighbor, sim, rank)``."""
+    return unit_knn(unit, k, block)

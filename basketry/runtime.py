@@ -25,6 +25,8 @@ SQL_SETTINGS = {
     # Split a hot join partition even when that costs one more shuffle further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Keep only the first n rows of a key on the map side, whatever n is; the limit counts rows and holds none.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000000",
 }
 
 

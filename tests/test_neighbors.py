@@ -39,10 +39,10 @@ def vectors_with_copies():
     return x, ids, pd.DataFrame(rows, columns=["user_id", "item_id", "weight"])
 
 
-@pytest.mark.parametrize("k,probe", [(5, 5), (5, 16), (20, 4096)])
-def test_user_knn_is_exact(spark, vectors_with_copies, k, probe):
+@pytest.mark.parametrize("k,block", [(5, 7), (5, 64), (20, 4096)])
+def test_user_knn_is_exact(spark, vectors_with_copies, k, block):
     x, ids, rows = vectors_with_copies
-    got = collected(neighbors.user_knn(spark.createDataFrame(rows), k, probe=probe))
+    got = collected(neighbors.user_knn(spark.createDataFrame(rows), k, block=block))
     want = brute(x, ids, k)
     for user, expected in want.items():
         assert [n for n, _ in got.get(user, [])] == [n for n, _ in expected], user
