@@ -174,18 +174,22 @@ def with_calendar(df: DataFrame) -> DataFrame:
     )
 
 
+def fill_history_nulls(df: DataFrame) -> DataFrame:
+    """Neutral values for a pair without history; columns of models keep their nulls."""
+    fill = {**dict.fromkeys(("ui_total_events", "ui_view", "ui_cart", "ui_purchase", "label"), 0), "ui_days_since_last": NEVER_DAYS}
+    return df.fillna({name: value for name, value in fill.items() if name in df.columns})
+
+
 def fill_candidate_nulls(df: DataFrame, top_k: int) -> DataFrame:
-    """Neutral values for a candidate a model or the history does not know."""
+    """Neutral values for a candidate that a model does not know: a rank behind its list, and nothing else."""
     fill: dict[str, float | int] = {}
     for name in df.columns:
         if name.endswith("_norm_score"):
             fill[name] = 0.0
         elif name.endswith("_rank"):
             fill[name] = top_k + 10
-        elif name.endswith("_in_top10") or name in ("ui_total_events", "ui_view", "ui_cart", "ui_purchase", "label"):
+        elif name.endswith("_in_top10"):
             fill[name] = 0
-        elif name == "ui_days_since_last":
-            fill[name] = NEVER_DAYS
     return df.fillna(fill)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.scalars import bucketize, category_path, category_token, with_calendar
 from basketry.operators.distributed import exact_quantiles, gaps_to_previous, most_frequent, sorted_index, top_rows
-from basketry.runtime import count_of, scalar
+from basketry.runtime import count_of, cut, scalar
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 TAIL = {**QUARTILES, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -37,21 +37,26 @@ def describe(df: DataFrame, value: str, quantiles: dict[str, float] = TAIL, keys
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
-    """Size, sparsity, nulls, distinct values and time range of the log in one row."""
+    """Size, sparsity, nulls, distinct values and time range of the log in one row.
+
+    Rows are first counted by user, item, session, category, brand and type. Distinct values of each column are counted by a
+    grouping of that smaller table, one column at a time, so that no row is multiplied.
+    """
     nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ("category_code", "brand", "price")]
     counts = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.countDistinct("user_id").alias("n_users"),
-        F.countDistinct("item_id").alias("n_items"),
-        F.countDistinct("user_session").alias("n_sessions"),
-        F.countDistinct("user_id", "item_id").alias("n_pairs"),
-        F.countDistinct("category_code").alias("n_categories"),
-        F.countDistinct("brand").alias("n_brands"),
-        F.countDistinct("event_type").alias("n_event_types"),
         F.min("event_time").alias("first_time"),
         F.max("event_time").alias("last_time"),
         *nulls,
     )
+    grain = cut(df.select("user_id", "item_id", "user_session", "category_code", "brand", "event_type").distinct())
+    distinct = {
+        "n_users": ["user_id"], "n_items": ["item_id"], "n_sessions": ["user_session"], "n_pairs": ["user_id", "item_id"],
+        "n_categories": ["category_code"], "n_brands": ["brand"], "n_event_types": ["event_type"],
+    }
+    for name, columns in distinct.items():
+        known = grain.dropna(subset=columns).select(*columns).distinct()
+        counts = counts.withColumn(name, scalar(known, F.count(F.lit(1))))
     cells = F.col("n_users") * F.col("n_items")
     return counts.select(
         "*",

@@ -205,7 +205,7 @@ def revisit(events: DataFrame, n: int = 3, tie: str = "event_id", latest: Column
         "user_id",
         "item_id",
         "rank",
-        F.round(F.col("_score") / F.col("_max"), 3).alias("revisit_score"),
+        F.bround(F.col("_score") / F.col("_max"), 3).alias("revisit_score"),
         F.col("_last.event_type").alias("last_event_type"),
         F.col("_last.days").alias("last_interaction_days"),
         "revisit_event_count",

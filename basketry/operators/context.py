@@ -31,13 +31,14 @@ def first_values_per_user(df: DataFrame, column: str, n: int | None = 5, tie: st
 LISTS = ["top_categories", "top_brands", "carted_brands", "purchased_brands"]
 
 
-def _preference_lists(df: DataFrame, brands_limit: int | None, tie: str) -> DataFrame:
+def _preference_lists(df: DataFrame, brands_limit: int | None, tie: str, fallback: bool) -> DataFrame:
     """The four lists of a user in one pass over the log: each event adds its values to the lists it belongs to."""
     event_type, brand = F.col("event_type"), F.col("brand")
     category = category_path(F.col("category_code"))
-    # Preferences come from views; only a log without any view at all falls back to all events.
-    any_view = scalar(df, F.coalesce(F.bool_or(event_type == "view"), F.lit(False)))
-    preferred = (event_type == "view") | ~any_view
+    # Preferences come from views; with ``fallback`` a log without any view at all gives them by all events.
+    preferred = event_type == "view"
+    if fallback:
+        preferred = preferred | ~scalar(df, F.coalesce(F.bool_or(event_type == "view"), F.lit(False)))
     belongs = {
         "top_categories": (preferred, category),
         "top_brands": (preferred, brand),
@@ -68,7 +69,7 @@ def _preference_lists(df: DataFrame, brands_limit: int | None, tie: str) -> Data
     )
 
 
-def _preferences(df: DataFrame, brands_limit: int | None, recent_days: int, tie: str) -> DataFrame:
+def _preferences(df: DataFrame, brands_limit: int | None, recent_days: int, tie: str, fallback: bool) -> DataFrame:
     recent = F.col("event_time") >= scalar(df, F.max("event_time")) - days(recent_days)
     totals = df.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_events"), F.count_if(recent).alias("recent14_events")
@@ -77,14 +78,14 @@ def _preferences(df: DataFrame, brands_limit: int | None, recent_days: int, tie:
     prices = exact_quantiles(
         views, ["user_id"], "price", {"price_median": 0.5, "price_p25": 0.25, "price_p75": 0.75}
     ).withColumn("price_iqr", F.col("price_p75") - F.col("price_p25"))
-    out = totals.join(_preference_lists(df, brands_limit, tie), "user_id", "left").join(prices, "user_id", "left")
+    out = totals.join(_preference_lists(df, brands_limit, tie, fallback), "user_id", "left").join(prices, "user_id", "left")
     empty = F.array().cast("array<string>")
     return out.withColumns({c: F.coalesce(F.col(c), empty) for c in LISTS})
 
 
 def user_context(df: DataFrame, recent_days: int = 14, tie: str = "event_id") -> DataFrame:
     """Per user: event counts, three favourite categories and brands, up to five carted and bought brands, prices viewed."""
-    return _preferences(df, 5, recent_days, tie)
+    return _preferences(df, 5, recent_days, tie, fallback=True)
 
 
 def user_profile(df: DataFrame, recent_days: int = 14, tie: str = "event_id") -> DataFrame:
@@ -92,7 +93,7 @@ def user_profile(df: DataFrame, recent_days: int = 14, tie: str = "event_id") ->
 
     With one viewed price the quartiles are that price and their distance is zero, as interpolation gives.
     """
-    return _preferences(df, None, recent_days, tie)
+    return _preferences(df, None, recent_days, tie, fallback=False)
 
 
 def choose_users(df: DataFrame, max_users: int | None = None, active_top: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basketry.functions.scalars import (
     age_in_days,
     category_path,
-    fill_candidate_nulls,
+    fill_candidate_nulls, fill_history_nulls,
     log1p_counts,
     ratio,
     repeat_ratio,
@@ -195,7 +195,7 @@ def attach_model_scores(preds: DataFrame, models: list[str], top_k: int = 50) ->
 
 def attach_history(cand: DataFrame, history: DataFrame) -> DataFrame:
     """Past events of the pair; pairs without history get neutral values."""
-    return fill_candidate_nulls(cand.join(history, ["user_id", "item_id"], "left"), 0)
+    return fill_history_nulls(cand.join(history, ["user_id", "item_id"], "left"))
 
 
 def attach_affinity(cand: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def attach_label_and_history(cand: DataFrame, history: DataFrame, truth: DataFra
     """History and label of the pair; all three sides are hashed by (user, item), so nothing is shuffled twice."""
     positives = truth.select("user_id", "item_id").distinct().withColumn("label", F.lit(1))
     keys = ["user_id", "item_id"]
-    return fill_candidate_nulls(cand.join(history, keys, "left").join(positives, keys, "left"), 0)
+    return fill_history_nulls(cand.join(history, keys, "left").join(positives, keys, "left"))
 
 
 def union_models(preds: dict[str, DataFrame]) -> DataFrame:

@@ -147,12 +147,12 @@ def self_check_flags(samples: DataFrame, threshold: float = 0.5) -> DataFrame:
     Flags follow the order of the claims.
     """
     checked = _scored(consistency(samples)).select(
-        "response_id", F.round("score", 3).alias("self_check_score"), F.col("shares").alias("_shares")
+        "response_id", F.bround("score", 3).alias("self_check_score"), F.col("shares").alias("_shares")
     )
 
     def flag(claim: Column) -> Column:
         share = F.coalesce(F.try_element_at("_shares", claim["evidence_ref"]), F.lit(1.0))
-        percent = F.round(share * 100).cast("int").cast("string")
+        percent = F.bround(share * 100).cast("int").cast("string")
         text = F.concat(F.lit("⚠ wobbly: "), claim["evidence_ref"], F.lit(" ("), percent, F.lit("% 일관)"))
         return F.when(share < threshold, text)
 

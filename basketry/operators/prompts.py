@@ -105,13 +105,13 @@ def evidence_prompts(packs: DataFrame, targets: DataFrame, aliases: DataFrame |
         text = F.when(F.col("question_key") == key, words) if text is None else text.when(F.col("question_key") == key, words)
     alias = F.lit("")
     if aliases is not None:
-        alias = F.coalesce(F.concat(F.lit("사용자 표시 별칭 (참고용 only): "), F.col("user_alias"), F.lit("\n")), F.lit(""))
+        alias = F.coalesce(F.concat(F.lit("User, by name: "), F.col("user_alias"), F.lit("\n")), F.lit(""))
     allowed = "[\n" + ",\n".join(f'  "{k}"' for k in sorted(key_names())) + "\n]"
     prompt = F.concat(
-        F.lit("사용자 ID: "), F.col("user_id").cast("string"), F.lit("\n"), alias,
-        F.lit("대상 아이템: "), F.col("item_id").cast("string"), F.lit("\n질문 키: "), F.col("question_key"),
-        F.lit("\n질문: "), text.otherwise(F.col("question_key")),
-        F.lit(f"\n\n허용된 evidence_ref 키 (이 중에서만 인용 가능):\n{allowed}\n\nEvidence Pack:\n"), F.col("_pack"), F.lit("\n"),
+        F.lit("User: "), F.col("user_id").cast("string"), F.lit("\n"), alias,
+        F.lit("Item in question: "), F.col("item_id").cast("string"), F.lit("\nQuestion ("), F.col("question_key"),
+        F.lit("): "), text.otherwise(F.col("question_key")),
+        F.lit(f"\n\nBase every claim on one of these keys:\n{allowed}\n\nWhat is known:\n"), F.col("_pack"), F.lit("\n"),
     )
     return joined.select("user_id", "item_id", "question_key", prompt.alias("prompt"))
 

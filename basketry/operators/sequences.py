@@ -70,7 +70,8 @@ def augment_sequences(df: DataFrame, kind: str, ratio: float, n_items: int, seed
     """A varied copy of each padded sequence: ``crop``, ``mask``, ``reorder``, or ``random`` (one of them per user).
 
     Crop keeps a run of items, mask replaces items at random, reorder shuffles a run. Short sequences stay as they are.
-    The choice is a hash of seed and user, so it does not depend on partitions.
+    The choice is a hash of seed and user, so it does not depend on partitions. ``n_items`` is one more than the largest item
+    number, so that mask draws known items.
     """
     if kind not in ("crop", "mask", "reorder", "random"):
         raise ValueError(f"unknown augmentation {kind}")

@@ -8,6 +8,7 @@ from basketry.operators import context, metrics, splits, submission, windows
 from basketry.operators.distributed import top_rows
 from basketry.plans.common import one_model, parts, preds, rounded
 from basketry.plans.registry import query
+from basketry.plans.retrieval import K, knn_ctes, score_cte, tifu_ctes
 from basketry.plans.sqlbase import L2PATH, on_log, on_preds, on_split
 from basketry.runtime import cut
 from basketry.sources import fixtures
@@ -103,25 +104,30 @@ def validate_submission(spark, sf):
     return submission.validate_submission(lists.select("user_id", "item_id"), wanted.count())
 
 
-@query(
-    "next_week_top10",
-    on_split("""SELECT user_id, item_id, rank FROM filled""",
-      """pos AS (SELECT user_id, item_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_time,event_id)-1 AS t, count(*) OVER (PARTITION BY user_id) AS l FROM train WHERE event_type IN ('view','cart','purchase'))""",
-      """grp AS (SELECT *, least(7,l) AS g_n, l*1.0::DOUBLE/least(7,l) AS size FROM pos)""",
-      """grp2 AS (SELECT *, least(CAST(floor(t/size) AS BIGINT), g_n-1) AS g FROM grp)""",
-      """grp3 AS (SELECT *, CAST(floor(g*size) AS BIGINT) AS s, CASE WHEN g<g_n-1 THEN CAST(floor((g+1)*size) AS BIGINT) ELSE l END AS e FROM grp2)""",
-      """vec AS (SELECT user_id, item_id, round(sum(pow(0.7,g_n-1-g)*pow(0.9,greatest(1,e-s)-1-(t-s))),9) AS weight FROM grp3 GROUP BY 1,2)""",
-      """want AS (SELECT DISTINCT user_id FROM log)""",
-      """pop AS (SELECT item_id, count(*) AS n FROM train WHERE event_type='purchase' GROUP BY 1 ORDER BY n DESC, item_id LIMIT 50)""",
-      """cand AS (SELECT user_id, item_id, 0 AS src, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, item_id) AS ord FROM vec
+def forecast_ctes(source: str) -> tuple[str, ...]:
+    """Oracle of the flagship job over ``source``, as common table expressions ending in ``filled``."""
+    return (
+        tifu_ctes(source), knn_ctes(K), score_cte(K), "want AS (SELECT DISTINCT user_id FROM log)",
+        f"pop AS (SELECT item_id, count(*) AS n FROM {source} WHERE event_type='purchase' GROUP BY 1 ORDER BY n DESC, item_id LIMIT 50)",
+        """cand AS (SELECT user_id, item_id, 0 AS src, rank AS ord FROM ranked
          UNION ALL SELECT user_id, item_id, 1, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, item_id) FROM want, pop)""",
-      """uniq AS (SELECT user_id, item_id, min(src*1000000+ord) AS k FROM cand GROUP BY 1,2)""",
-      """filled AS (SELECT user_id, item_id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS r FROM uniq) WHERE r<=10)"""),
-)
+        "uniq AS (SELECT user_id, item_id, min(src*1000000+ord) AS k FROM cand WHERE src=1 OR ord<=10 GROUP BY 1,2)",
+        """filled AS (SELECT user_id, item_id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS r FROM uniq) WHERE r<=10)""",
+    )
+
+
+@query("next_week_top10", on_log("SELECT user_id, item_id, rank FROM filled", *forecast_ctes("log")))
 def next_week_top10(spark, sf):
     from basketry.plans.next_week import next_week_top10 as job
 
-    return job(fixtures.activity_log(spark, sf))
+    return job(fixtures.activity_log(spark, sf), near=K)
+
+
+@query("next_week_top10_holdout", on_split("SELECT user_id, item_id, rank FROM filled", *forecast_ctes("train")))
+def next_week_top10_holdout(spark, sf):
+    from basketry.plans.next_week import next_week_top10 as job
+
+    return job(fixtures.activity_log(spark, sf), val_days=7, near=K)
 
 
 DCG = """top AS (SELECT model, user_id, item_id, rank AS pos FROM preds WHERE rank<=10),

@@ -57,5 +57,5 @@ def behavior_sequences(spark, sf):
 @query("augment_sequences")
 def augment_sequences(spark, sf):
     log = fixtures.activity_log(spark, sf)
-    padded = Q.pad_sequences(log, known_items(log))
-    return Q.augment_sequences(padded, "random", 0.4, 100).select("user_id", "length", text("sequence"))
+    known = known_items(log)
+    return Q.augment_sequences(Q.pad_sequences(log, known), "random", 0.4, known.count() + 1).select("user_id", "length", text("sequence"))

@@ -9,20 +9,25 @@ from basketry.sources import events, tables
 
 @pytest.fixture
 def log(spark):
-    start = dt.datetime(2020, 2, 20)
+    """Events by hour; the last 36 hours begin after hour 64."""
+    start = dt.datetime(2031, 5, 3, 7)
     rows = [
-        ("u1", "A", "view", 0), ("u1", "A", "purchase", 8), ("u2", "B", "purchase", 1), ("u2", "C", "view", 2),
-        ("u3", "C", "cart", 3), ("u3", "B", "purchase", 9), ("u4", "D", "purchase", 9), ("u4", "D", "view", 7),
+        (5, "ann", "ink", "purchase"), (12, "dan", "oak", "view"), (40, "ann", "oak", "view"), (55, "ben", "fog", "cart"),
+        (64, "ben", "fog", "purchase"), (65, "ann", "fog", "purchase"), (70, "cat", "ink", "purchase"), (88, "ann", "fog", "view"),
+        (99, "dan", "sea", "purchase"), (100, "ben", "ink", "view"),
     ]
-    data = [(i, u, item, t, start + dt.timedelta(days=d)) for i, (u, item, t, d) in enumerate(rows)]
+    data = [(n, user, item, kind, start + dt.timedelta(hours=h)) for n, (h, user, item, kind) in enumerate(rows)]
     return spark.createDataFrame(data, "event_id long, user_id string, item_id string, event_type string, event_time timestamp_ntz")
 
 
 def test_time_split(log):
+    train, truth = splits.time_based_split(log, 1)
+    assert [r.event_id for r in train.orderBy("event_id").collect()] == list(range(7))
+    assert [(r.user_id, r.item_id) for r in truth.collect()] == [("dan", "sea")]
     train, truth = splits.time_based_split(log, 3)
-    assert train.count() == 4
-    assert sorted(r.item_id for r in truth.collect()) == ["A", "B", "D"]
-    assert sorted(r.user_id for r in splits.eval_users(truth, train).collect()) == ["u1", "u3"]
+    # dan's view at hour 12 is in the training part; cat has nothing before the cutoff.
+    assert train.count() == 2 and truth.count() == 4
+    assert sorted(r.user_id for r in splits.eval_users(truth, train).collect()) == ["ann", "dan"]
     with pytest.raises(ValueError):
         splits.time_based_split(log, 0)
     with pytest.raises(ValueError):
@@ -31,14 +36,14 @@ def test_time_split(log):
 
 def test_leave_one_out(log):
     train, truth = splits.leave_one_out_split(log)
-    assert truth.count() == 4 and train.count() == 4
-    assert truth.groupBy("user_id").count().filter("count <> 1").count() == 0
+    assert {(r.user_id, r.event_id) for r in truth.collect()} == {("ann", 5), ("ben", 4), ("cat", 6), ("dan", 8)}
+    assert train.count() == 6
     train, truth = splits.leave_one_out_split(log, ["refund"])
-    assert truth.count() == 0 and train.count() == 8
+    assert truth.count() == 0 and train.count() == 10
 
 
 def test_empty_slices_are_kept(log):
-    sliced = splits.val_slices(log, {"all": (None, None), "never": ("2031-01-01", None)})
+    sliced = splits.val_slices(log, {"all": (None, None), "never": ("2040-01-01", None)})
     assert {r.slice for r in sliced.select("slice").distinct().collect()} == {"all"}
 
 
@@ -63,9 +68,9 @@ def test_string_times(spark):
 def test_mappings(spark, log, tmp_path):
     path = str(tmp_path / "maps")
     users, items = tables.get_or_build_mappings(log, path)
-    assert sorted((r.user_id, r.user_idx) for r in users.collect()) == [("u1", 0), ("u2", 1), ("u3", 2), ("u4", 3)]
+    assert sorted((r.user_id, r.user_idx) for r in users.collect()) == [("ann", 0), ("ben", 1), ("cat", 2), ("dan", 3)]
     # A second call reads what is there, even for another log; force builds again.
-    other = log.filter("user_id = 'u1'")
+    other = log.filter("user_id = 'cat'")
     assert tables.get_or_build_mappings(other, path)[0].count() == 4
     assert tables.get_or_build_mappings(other, path, force=True)[0].count() == 1
     with pytest.raises(Exception, match="without index"):
