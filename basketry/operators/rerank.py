@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Model
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -33,19 +33,48 @@ def training_table(features: DataFrame, folds: int = 5, seed: int = 42) -> tuple
     return cut(with_fold), names
 
 
+def scoring_table(features: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(user_id, item_id, features)`` of every candidate of every user, in the order of ``names`` that a model was fitted with."""
+    missing = [n for n in names if n not in features.columns]
+    if missing:
+        raise ValueError(f"features missing: {', '.join(missing)}")
+    assembler = VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="error")
+    return assembler.transform(features.fillna(0, list(names))).select("user_id", "item_id", "features")
+
+
 def _score(model: Model, df: DataFrame) -> DataFrame:
     raw = vector_to_array("rawPrediction")[1]
     return model.transform(df).select("user_id", "item_id", "label", "fold", F.round(raw, PLACES).alias("score"))
 
 
 def rerank_binary(
-    table: DataFrame, folds: int = 5, trees: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42
+    table: DataFrame,
+    folds: int = 5,
+    trees: int = 20,
+    depth: int = 5,
+    step: float = 0.1,
+    seed: int = 42,
+    stop_early: bool = False,
+    least_leaf: int = 1,
+    feature_share: float = 1.0,
 ) -> tuple[DataFrame, list[Model]]:
-    """Boosted trees on the label, one model per left-out fold; returns out-of-fold scores and the models."""
+    """Boosted trees on the label, one model per left-out fold; returns out-of-fold scores and the models.
+
+    With ``stop_early`` a tenth of the users of the other folds, by hash, tells when further trees stop helping. A leaf has
+    ``least_leaf`` rows or more, and each split looks at ``feature_share`` of the features.
+    """
     booster = GBTClassifier(
         labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed,
-        subsamplingRate=0.8, checkpointInterval=10,
+        subsamplingRate=0.8, checkpointInterval=10, minInstancesPerNode=least_leaf,
+        featureSubsetStrategy="all" if feature_share >= 1 else str(feature_share),
     )
+    if stop_early:
+        booster = booster.setValidationIndicatorCol("watched")
+        drawn = table.withColumn("_h", F.xxhash64("user_id", F.lit(seed)))
+        # One user of each fold at least, so that there is something to watch; one row per fold is joined.
+        first = drawn.groupBy("fold").agg(F.min("_h").alias("_first"))
+        watched = (F.pmod("_h", F.lit(10)) == 0) | (F.col("_h") == F.col("_first"))
+        table = cut(drawn.join(first, "fold").withColumn("watched", watched).drop("_h", "_first"))
     models = [booster.fit(table.filter(F.col("fold") != fold)) for fold in range(folds)]
     scored = [_score(model, table.filter(F.col("fold") == fold)) for fold, model in enumerate(models)]
     return union_all(scored), models
@@ -98,14 +127,23 @@ def ranked(scored: DataFrame, n: int = 10) -> DataFrame:
     return top_rows(scored.select("user_id", "item_id", "score"), ["user_id"], [F.desc("score"), F.asc("item_id")], n)
 
 
-def score_fold_average(table: DataFrame, models: Sequence[Model], n: int = 50) -> DataFrame:
-    """Mean score of the fold models, best ``n`` per user. ``table`` has ``user_id, item_id, features``.
+FoldModel = Model | tuple[Model, Model]
+
 
-    Each model adds one column to the same rows, so nothing is joined.
+def score_fold_average(table: DataFrame, models: Sequence[FoldModel], n: int = 50) -> DataFrame:
+    """Mean score of the fold models, best ``n`` per user. ``table`` has ``user_id, item_id, features`` (see ``scoring_table``).
+
+    Models are those of ``rerank_binary`` or, each with its scaler, of ``rerank_pairwise``. Each adds one column to the same
+    rows, so nothing is joined.
     """
     rows, total = table.select("user_id", "item_id", "features"), None
     for i, model in enumerate(models):
-        out = model.transform(rows)
+        if isinstance(model, tuple):
+            scale, model = model
+            scaled = scale.transform(rows).withColumnsRenamed({"features": "_plain", "scaled": "features"})
+            out = model.transform(scaled).drop("features").withColumnRenamed("_plain", "features")
+        else:
+            out = model.transform(rows)
         rows = out.withColumn(f"_s{i}", vector_to_array("rawPrediction")[1]).drop(
             "rawPrediction", "probability", "prediction"
         )
@@ -114,6 +152,18 @@ def score_fold_average(table: DataFrame, models: Sequence[Model], n: int = 50) -
     return ranked(rows.withColumn("score", F.round(total / len(models), PLACES)), n)
 
 
+def save_fold_models(models: Sequence[FoldModel], path: str) -> None:
+    """Write the fold models under ``path``; a folder that is there already is not overwritten."""
+    for fold, model in enumerate(models):
+        stages = list(model) if isinstance(model, tuple) else [model]
+        PipelineModel(stages).save(f"{path}/fold={fold}")
+
+
+def load_fold_models(path: str, folds: int = 5) -> list[FoldModel]:
+    stages = [PipelineModel.load(f"{path}/fold={fold}").stages for fold in range(folds)]
+    return [s[0] if len(s) == 1 else tuple(s) for s in stages]
+
+
 def fold_metrics(oof: DataFrame, gt: DataFrame, folds: int = 5, k: int = 10) -> DataFrame:
     """NDCG and recall of each fold's own users."""
     out = []

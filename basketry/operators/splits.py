@@ -98,9 +98,10 @@ def ground_truth(truth: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def user_folds(df: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
-    """Balanced folds: users in the order of a seeded hash, dealt round robin."""
+    """Balanced folds: users in the order of the md5 of ``seed:user_id``, dealt round robin."""
     require_positive(n=n)
-    hashed = df.select("user_id").distinct().withColumn("_h", F.xxhash64(F.col("user_id"), F.lit(seed)))
+    marked = F.md5(F.concat(F.lit(f"{seed}:"), F.col("user_id").cast("string")).cast("binary"))
+    hashed = df.select("user_id").distinct().withColumn("_h", marked)
     dealt = sorted_index(hashed, ["_h", "user_id"], "_position")
     return dealt.select("user_id", F.pmod(F.col("_position"), F.lit(n)).cast("int").alias("fold"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from basketry.operators import fusion
 from basketry.plans.common import MODELS, parts, preds, rounded
 from basketry.plans.ranking import DCG
@@ -87,12 +89,19 @@ def ranked_results(spark, sf):
     return rounded(fusion.ranked_results(cut(sweep(spark, sf)), SINGLES))
 
 
-def tables_of(spark, sf):
-    from basketry.operators import features, rerank
+def candidates_of(spark, sf):
+    from basketry.operators import features
 
     p = parts(spark, sf)
     lists = preds(p.train)
-    table, names = rerank.training_table(features.candidate_features(lists, MODELS, p.train, p.truth, p.users), folds=3)
+    return p, lists, cut(features.candidate_features(lists, MODELS, p.train, p.truth, p.users))
+
+
+def tables_of(spark, sf):
+    from basketry.operators import rerank
+
+    p, lists, candidates = candidates_of(spark, sf)
+    table, names = rerank.training_table(candidates, folds=3)
     return p, lists, table, names
 
 
@@ -118,9 +127,43 @@ def rerank_pairwise(spark, sf):
 def score_fold_average(spark, sf):
     from basketry.operators import rerank
 
-    _, _, table, _ = tables_of(spark, sf)
+    _, _, candidates = candidates_of(spark, sf)
+    table, names = rerank.training_table(candidates, folds=3)
     _, models = rerank.rerank_binary(table, 3, trees=5, depth=3)
-    return rerank.score_fold_average(table, models)
+    return rerank.score_fold_average(rerank.scoring_table(candidates, names), models)
+
+
+# Scores of trained models are beyond SQL, but every user gets each candidate once, up to fifty.
+EVERYONE = on_preds("""SELECT user_id, CAST(least(50, count(*)) AS BIGINT) AS n, CAST(least(50, count(*)) AS INTEGER) AS last_rank
+  FROM (SELECT DISTINCT user_id, item_id FROM preds WHERE rank<=50) GROUP BY 1""")
+
+
+def list_sizes(scores):
+    return scores.groupBy("user_id").agg(F.countDistinct("item_id").alias("n"), F.max("rank").alias("last_rank"))
+
+
+@query("score_everyone", EVERYONE)
+def score_everyone(spark, sf):
+    return list_sizes(score_fold_average(spark, sf))
+
+
+@query("score_everyone_pairwise", EVERYONE)
+def score_everyone_pairwise(spark, sf):
+    from basketry.operators import rerank
+
+    _, _, candidates = candidates_of(spark, sf)
+    table, names = rerank.training_table(candidates, folds=3)
+    _, models = rerank.rerank_pairwise(table, 3)
+    return list_sizes(rerank.score_fold_average(rerank.scoring_table(candidates, names), models))
+
+
+@query("fold_metrics")
+def fold_metrics(spark, sf):
+    from basketry.operators import rerank
+
+    p, _, table, _ = tables_of(spark, sf)
+    oof, _ = rerank.rerank_binary(table, 3, trees=5, depth=3)
+    return rerank.fold_metrics(cut(oof), p.gt, 3)
 
 
 @query("oof_report")

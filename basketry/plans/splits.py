@@ -63,7 +63,10 @@ def restrict_to_eval(spark, sf):
     return splits.restrict(preds(p.train), p.users).select("model", "user_id", "item_id")
 
 
-@query("user_folds")
+@query(
+    "user_folds",
+    on_split("""SELECT user_id, CAST((row_number() OVER (ORDER BY md5('42:'||user_id), user_id)-1) % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT user_id FROM gt)"""),
+)
 def user_folds(spark, sf):
     return splits.user_folds(parts(spark, sf).users)
 

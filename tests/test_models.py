@@ -97,3 +97,38 @@ def test_rerankers_learn(spark, sf):
         assert metrics.ndcg_at_k(rerank.ranked(oof), truth).first()[0] > 0.85
     assert splits.user_folds(table, 2).count() == table.select("user_id").distinct().count()
     assert "hint" in names
+
+
+def test_fold_models_score_everyone_and_survive_storage(spark, sf, tmp_path):
+    p = parts(spark, sf)
+    candidates = features.candidate_features(preds(p.train), MODELS, p.train, p.truth, p.users).cache()
+    table, names = rerank.training_table(candidates, folds=2)
+    everyone = rerank.scoring_table(candidates, names)
+    assert everyone.count() == candidates.count() > table.count()
+    with pytest.raises(ValueError, match="features missing: unheard_of"):
+        rerank.scoring_table(candidates, [*names, "unheard_of"])
+    fits = {
+        "trees": rerank.rerank_binary(table, 2, trees=3, depth=2, stop_early=True, least_leaf=2, feature_share=0.5),
+        "pairs": rerank.rerank_pairwise(table, 2),
+    }
+    for kind, (_, models) in fits.items():
+        rerank.save_fold_models(models, str(tmp_path / kind))
+        again = rerank.load_fold_models(str(tmp_path / kind), 2)
+        scores = rerank.score_fold_average(everyone, models).collect()
+        assert sorted(scores) == sorted(rerank.score_fold_average(everyone, again).collect())
+        assert len({(r.user_id, r.item_id) for r in scores}) == len(scores) == candidates.count()
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """A worker that cannot import the package runs what the driver sends."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from basketry.operators import linear
+
+    path = tmp_path / "function"
+    path.write_bytes(cloudpickle.dumps(linear._square))
+    code = f"import pickle, sys; f = pickle.load(open({str(path)!r}, 'rb')); assert f(bytes(32), 2).shape == (2, 2); assert 'basketry' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
