@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import stored
 
-# A node with very many links is spread over so many keys where its least neighbour is sent to them.
-SALTS = 64
 MOST_ROUNDS = 60
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """(x, y, least) where ``least`` is the least of x and its neighbours y."""
+    """(x, y, least) where ``least`` is the least of x and its neighbours y.
+
+    The least ones are written first: in a join of two plain tables Spark can split a node with very many links.
+    """
     least = edges.groupBy("x").agg(F.min("y").alias("least")).select("x", F.least("x", "least").alias("least"))
-    least = least.select("x", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("int")).join(least, ["x", "salt"]).select("x", "y", "least")
+    return edges.join(stored(least, "least"), "x")
 
 
 def _pairs(left: str, right: str):
@@ -34,7 +34,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MOST_ROUNDS):
         both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         large = _with_least(both).filter("y > x").select(F.col("y").alias("x"), F.col("least").alias("y")).filter("x <> y").distinct()
-        small = _with_least(large)
+        small = _with_least(stored(large, "edges"))
         edges = small.select(F.col("y").alias("x"), F.col("least").alias("y")).union(small.select("x", F.col("least").alias("y")))
         edges = stored(edges.select(*_pairs("x", "y")).filter("x <> y").distinct(), "edges")
         fingerprint = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first())

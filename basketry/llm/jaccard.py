@@ -11,7 +11,9 @@ keys than lists and the comparisons of sets that they call for.
 Sets in the same list are candidates, and every link is checked on the whole sets. Equal sets are one class from the start.
 First each list's classes are compared with its least class; the links found join classes into components. Then only those
 classes of a list are compared that are still in different components. No link between components is lost, and a group of
-thousands of near copies costs a comparison or so for each, not one for each pair.
+thousands of near copies costs a comparison or so for each, not one for each pair. Sets that share a list but differ in too
+much are told by parity sketches before they are compared: the sketches of two sets differ in no more bits than the sets do
+in shingles, so a pair whose sketches differ in more than a link allows is surely none.
 
 Shingles are compared by 64-bit hashes. ``n_shingles`` and links refer to distinct shingles.
 
@@ -35,7 +37,10 @@ from basketry.llm.common import LOWER, U64, Hasher, mix, slices, stored, word_bo
 from basketry.llm.components import components
 
 GROWTH = 1.3
+SKETCH_LONGS = 8
+SKETCH = [f"s{n}" for n in range(SKETCH_LONGS)]
 STEP = U64(0x9E3779B97F4A7C15)
+BITMAP_WORDS = 1 << 21
 # Labels of classes without doc_id lie above this one.
 NO_ID = (1 << 63) - (1 << 41)
 
@@ -120,6 +125,14 @@ def class_keys(shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[end - size]) * STEP + size.astype(np.uint64)).astype(np.int64)
 
 
+def sketches(shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each set the parity of its shingles in each of 64 * SKETCH_LONGS buckets, as numbers of 64 bits."""
+    bits = 64 * SKETCH_LONGS
+    cell = np.repeat(np.arange(len(size)), size) * bits + (mix(shingles ^ U64(0x9FB21C651E98DF25)) % U64(bits)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(size) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(len(size), SKETCH_LONGS)
+
+
 def light_keys(scheme: Scheme, shingles: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, key) for the subsets of light sets."""
     weight = mix(shingles ^ U64(0x14057B7EF767814F))
@@ -180,7 +193,7 @@ def heavy_keys(scheme: Scheme, shingles: np.ndarray, size: np.ndarray) -> tuple[
 
 
 def _marked(df: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, class, keys) of every row."""
+    """(doc_id, n_shingles, class, keys, sketch) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, scheme = Hasher(), Scheme(num, den)
@@ -192,17 +205,19 @@ def _marked(df: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 order = np.argsort(owner, kind="stable")
                 bounds = np.zeros(end - first + 1, np.int32)
                 np.cumsum(np.bincount(owner, minlength=end - first), out=bounds[1:])
+                sketch = sketches(shingles, size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, end - first),
                         pa.array(size.astype(np.int64)),
                         pa.array(class_keys(shingles, size)),
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(key[order].astype(np.int64))),
+                        *(pa.array(sketch[:, n]) for n in range(SKETCH_LONGS)),
                     ],
-                    ["doc_id", "n_shingles", "class", "keys"],
+                    ["doc_id", "n_shingles", "class", "keys", *SKETCH],
                 )
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, keys array<long>")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, keys array<long>" + "".join(f", {s} long" for s in SKETCH))
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
@@ -228,11 +243,17 @@ class _Join:
         self.marked = stored(_marked(df, words, num, den), "marked")
         # Sent by doc_id, so that roots are the smallest ones; classes without any get a label above all of them.
         label = F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1) - F.pmod("class", F.lit(1 << 40)))
-        self.classes = stored(self.marked.filter("n_shingles > 0").groupBy("class").agg(label.alias("label")), "classes")
+        self.classes = stored(self.marked.filter("n_shingles > 0").groupBy("class").agg(label.alias("label"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in SKETCH)), "classes")
 
     def near(self, a: str, b: str):
         return (F.col(a) * self.den >= F.col(b) * self.num) & (F.col(b) * self.den >= F.col(a) * self.num)
 
+    def may_link(self):
+        """Whether the sketches a and b differ in no more bits than linked sets of their sizes may."""
+        bits = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in SKETCH), F.lit(0))
+        both = self.num + self.den
+        return bits <= F.expr(f"n_a + n_b - 2 * (({self.num} * (n_a + n_b) + {both - 1}) div {both})")
+
     def members(self) -> DataFrame:
         """(key, class, n, first): lists with two classes or more, and their least class."""
         lists = self.marked.select(F.explode("keys").alias("key"), "class", F.col("n_shingles").alias("n"))
@@ -242,11 +263,8 @@ class _Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the stored pairs (a, b) of classes that are linked, as labels."""
         needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        ids = stored(self.classes.join(needed, "class"), "needed")
-        # Rows without doc_id come along whenever a class without one is needed.
-        source = self.df.select(F.col("doc_id").cast("long").alias("_id"), "text")
-        wanted = ids.select(F.when(F.col("label") < NO_ID, F.col("label")).alias("_want")).distinct()
-        rows = source.join(wanted, source["_id"].eqNullSafe(wanted["_want"]), "left_semi")
+        ids = stored(self.classes.select("class", "label").join(needed, "class"), "needed")
+        rows = self._rows_of(ids.select(F.when(F.col("label") < NO_ID, F.col("label")).alias("id")))
         sets = stored(_sets(rows, self.words).groupBy("class").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")).join(ids, "class"), "sets")
         side = lambda x: sets.select(*(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "shingles", "label")))
         both = pairs.join(side("a"), F.col("a") == F.col("class_a")).join(side("b"), F.col("b") == F.col("class_b")).filter(self.near("n_a", "n_b"))
@@ -254,22 +272,44 @@ class _Join:
         linked = both.withColumn("common", common).filter(F.col("common") * self.den >= self.num * (F.col("n_a") + F.col("n_b") - F.col("common")))
         return stored(linked.select("a", "b", "label_a", "label_b"), "links")
 
+    def _rows_of(self, ids: DataFrame) -> DataFrame:
+        """The texts of rows with these ids, and of a few more: their hashes are looked up in a bitmap.
+
+        The bitmap has at most 2**21 words however many ids there are, so it may be sent to every task, and no text is shuffled.
+        """
+        place = lambda column: F.xxhash64(column)
+        word = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP_WORDS - 1).alias("word")
+        bit = lambda h: h.bitwiseAND(63).cast("int").alias("bit")
+        marks = ids.select(place("id").alias("h")).select(word(F.col("h")), bit(F.col("h")))
+        one = F.lit(1).cast("long")
+        bitmap = marks.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", one, F.col("bit"))).alias("bits"))
+        source = self.df.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("h", place("id"))
+        source = source.select("text", word(F.col("h")), bit(F.col("h")))
+        hit = F.call_function("shiftrightunsigned", F.col("bits"), F.col("bit")).bitwiseAND(one) == 1
+        return source.join(F.broadcast(bitmap), "word").filter(hit).select("text")
+
+    def _sketched(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes that may be linked by their sizes and sketches."""
+        side = lambda x: self.classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", *SKETCH)))
+        both = pairs.join(side("a"), F.col("a") == F.col("class_a")).join(side("b"), F.col("b") == F.col("class_b"))
+        return both.filter(self.near("n_a", "n_b") & self.may_link()).select("a", "b")
+
     def roots(self, links: DataFrame) -> DataFrame:
         return components(links, "label_a", "label_b")
 
     def run(self) -> DataFrame:
         members = self.members()
         stars = stored(members.filter("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct(), "stars")
-        links = self.links(stars)
+        links = self.links(stored(self._sketched(stars), "likely"))
         roots = stored(self.roots(links), "roots")
         placed = self._placed(roots)
         # Lists whose classes are not all in one component yet.
         now = stored(members.drop("first").join(placed, "class"), "placed")
         open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
         rest = stored(now.join(stored(open_keys, "open"), "key"), "rest")
-        left = rest.select("key", *(F.col(c).alias(f"{c}_a") for c in ("class", "n", "root")))
-        right = rest.select("key", *(F.col(c).alias(f"{c}_b") for c in ("class", "n", "root")))
-        pairs = left.join(right, "key").filter((F.col("root_a") > F.col("root_b")) & self.near("n_a", "n_b"))
+        rest = stored(rest.join(self.classes.select("class", *SKETCH), "class"), "sketched")
+        side = lambda x: rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "root", *SKETCH)))
+        pairs = side("a").join(side("b"), "key").filter((F.col("root_a") > F.col("root_b")) & self.near("n_a", "n_b") & self.may_link())
         pairs = pairs.select(F.greatest("class_a", "class_b").alias("a"), F.least("class_a", "class_b").alias("b")).distinct()
         pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
@@ -282,7 +322,7 @@ class _Join:
 
     def _placed(self, roots: DataFrame) -> DataFrame:
         """(class, root) of all classes."""
-        by_label = self.classes.join(roots.withColumnRenamed("node", "label"), "label", "left")
+        by_label = self.classes.select("class", "label").join(roots.withColumnRenamed("node", "label"), "label", "left")
         return by_label.select("class", F.coalesce("root", "label").alias("root"))
 
 
