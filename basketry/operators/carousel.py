@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.scalars import age_in_days, lookup
+from basketry.operators.blocks import TILE, best_per_row
 from basketry.operators.distributed import top_rows
 from basketry.operators.neighbors import cf_from_neighbors
-from basketry.runtime import require_positive, scalar
+from basketry.runtime import cut, require_positive, scalar
 
 # Weight of an event for revisiting, decay in days, days after a purchase in which an item is left out.
 REVISIT_WEIGHTS = {"cart": 1.0, "view": 0.2, "purchase": 0.3}
@@ -52,7 +53,7 @@ def content_candidates(
     model_lists: DataFrame,
     n: int = 5,
     user_block: int = 8192,
-    item_block: int = 32768,
+    item_block: int = 8192,
 ) -> DataFrame:
     """Unseen items that fit a user's profile: ``(user_id, item_id, score, rank)``.
 
@@ -60,40 +61,55 @@ def content_candidates(
     model list. Without any fitting item the unseen catalog is listed in item order. (An unseen item of the model list
     always scores, so the model order can never matter there.)
 
-    Users and items are dealt into blocks, and a task scores one block of users against one block of the catalog,
-    keeping for each user as many items as it needs beyond those it has seen. No table of user-item pairs arises, a
-    popular category cannot grow a task, and memory is set by the block sizes.
+    Users and items are dealt into blocks, and a task scores one block of users against one block of the catalog. The items
+    that a user has seen are sent to the block they belong to and hidden there, so every block hands on ``n`` items per user
+    at most. Scores of a tile of users are computed as arrays; memory is set by the block sizes. Runs two counts.
     """
     require_positive(n=n)
-    seen_sizes = seen.groupBy("user_id").agg(F.countDistinct("item_id").cast("int").alias("_more"))
+    profiles, catalog = cut(profiles), cut(catalog)
     lists = _as_list(model_lists, "_listed")
     user_kind = profiles.schema["user_id"].dataType.simpleString()
     item_kind = catalog.schema["item_id"].dataType.simpleString()
     u_blocks = max(1, -(-profiles.count() // user_block))
     i_blocks = max(1, -(-catalog.count() // item_block))
+    item_place = F.pmod(F.xxhash64("item_id"), F.lit(i_blocks)).cast("int").alias("_i")
+    hidden = seen.select("user_id", "item_id", item_place).groupBy("user_id", "_i").agg(F.collect_set("item_id").alias("_hidden"))
+    none = F.array().cast(f"array<{item_kind}>")
     users = (
-        profiles.join(seen_sizes, "user_id", "left")
-        .join(lists, "user_id", "left")
+        profiles.join(lists, "user_id", "left")
         .select(
             "user_id",
             "top_categories",
             F.array_union("top_brands", "carted_brands").alias("brands"),
-            "price_median",
-            "price_iqr",
-            F.coalesce(F.col("_more"), F.lit(0)).alias("more"),
-            F.coalesce(F.col("_listed"), F.array().cast(f"array<{item_kind}>")).alias("listed"),
+            F.col("price_median").cast("double").alias("price_median"),
+            F.col("price_iqr").cast("double").alias("price_iqr"),
+            F.coalesce(F.col("_listed"), none).alias("listed"),
             F.pmod(F.xxhash64("user_id"), F.lit(u_blocks)).cast("int").alias("_u"),
             F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))).alias("_i"),
         )
+        .join(hidden, ["user_id", "_i"], "left")
+        .withColumn("hidden", F.coalesce(F.col("_hidden"), none))
+        .drop("_hidden")
     )
     items = catalog.select(
-        "item_id",
-        "category_l2",
-        "brand",
-        "price",
-        F.pmod(F.xxhash64("item_id"), F.lit(i_blocks)).cast("int").alias("_i"),
+        "item_id", "category_l2", "brand", F.col("price").cast("double").alias("price"), item_place,
         F.explode(F.sequence(F.lit(0), F.lit(u_blocks - 1))).alias("_u"),
-    )
+    )
+
+    def flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and place of every entry of the lists, and the entries."""
+        sizes = np.array([len(x) for x in lists], int)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return rows, places, np.concatenate([np.asarray(x) for x in lists]) if len(rows) else np.zeros(0)
+
+    def points_of(lists: pd.Series, names: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Two points where an item's code is among a user's names; code -1 reads the last column, which stays empty."""
+        table = np.zeros((len(lists), len(names) + 1))
+        rows, _, entries = flat(lists)
+        at = pd.Index(names).get_indexer(entries) if len(rows) else np.zeros(0, int)
+        table[rows[at >= 0], at[at >= 0]] = 2.0
+        return table[:, codes]
 
     def score(u: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if u.empty or i.empty:
@@ -103,25 +119,23 @@ def content_candidates(
         category, categories = pd.factorize(i["category_l2"])
         brand, brands = pd.factorize(i["brand"])
         out = []
-        for r in u.itertuples(index=False):
-            # Code -1 (no category, no brand) reads the extra last element, which is never set.
-            wanted = np.append(np.isin(categories, list(r.top_categories)), False)
-            liked = np.append(np.isin(brands, list(r.brands)), False)
-            points = 2.0 * wanted[category] + 2.0 * liked[brand]
-            if r.price_iqr is not None and r.price_iqr > 0:  # a missing value compares as false
-                points = points + (np.abs(prices - r.price_median) <= 1.5 * r.price_iqr)
-            listed = list(r.listed)
-            if listed:
-                at = np.minimum(np.searchsorted(ids, listed), len(ids) - 1)
-                for place, (item, where) in enumerate(zip(listed, at)):
-                    if ids[where] == item:
-                        points[where] += 1.0 - place / len(listed)
-            points = np.round(points, 9)
-            keep = min(n + r.more, len(ids))
-            least = np.partition(points, len(ids) - keep)[len(ids) - keep]
-            found = np.flatnonzero(points >= least)
-            best = found[np.argsort(-points[found], kind="stable")][:keep]
-            out.append(pd.DataFrame({"user_id": r.user_id, "item_id": ids[best], "score": points[best]}))
+        for low in range(0, len(u), TILE):
+            part = u.iloc[low : low + TILE]
+            points = points_of(part["top_categories"], categories, category) + points_of(part["brands"], brands, brand)
+            median, width = (part[c].to_numpy(dtype=float)[:, None] for c in ("price_median", "price_iqr"))
+            points += (width > 0) & (np.abs(prices - median) <= 1.5 * width)  # a missing value compares as false
+            for column in ("listed", "hidden"):
+                rows, places, entries = flat(part[column])
+                at = pd.Index(ids).get_indexer(entries) if len(rows) else np.zeros(0, int)
+                known = at >= 0
+                sizes = np.bincount(rows, minlength=len(part))[rows]
+                if column == "listed":
+                    np.add.at(points, (rows[known], at[known]), 1.0 - places[known] / sizes[known])
+                    points = np.round(points, 9)
+                else:
+                    points[rows[known], at[known]] = -np.inf
+            rows, columns = best_per_row(points, n, None)
+            out.append(pd.DataFrame({"user_id": part["user_id"].to_numpy()[rows], "item_id": ids[columns], "score": points[rows, columns]}))
         return pd.concat(out, ignore_index=True)
 
     scored = (
@@ -129,9 +143,8 @@ def content_candidates(
         .cogroup(items.groupBy("_u", "_i"))
         .applyInPandas(score, f"user_id {user_kind}, item_id {item_kind}, score double")
     )
-    unseen = scored.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    ranked = top_rows(scored, ["user_id"], [F.desc("score"), F.asc("item_id")], n)
     # Rank 1 has the user's best score: if that is zero nothing fits and the list is the fallback.
-    ranked = top_rows(unseen, ["user_id"], [F.desc("score"), F.asc("item_id")], n)
     fits = ranked.filter(F.col("rank") == 1).select("user_id", (F.col("score") > 0).alias("_fits"))
     return ranked.join(fits, "user_id").filter(~F.col("_fits") | (F.col("score") > 0)).drop("_fits")
 
