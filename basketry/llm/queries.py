@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import toxicity, url_filter
+from basketry.llm import oracles, toxicity, url_filter
 from basketry.llm.byte_bpe import round_trip
 from basketry.llm.common import crc32_remainder, table
 from basketry.llm.jaccard import jaccard_groups
@@ -34,7 +34,7 @@ def query(key: str, sql: str | None = None):
     return register
 
 
-@query("op7_consistent_shards")
+@query("op7_consistent_shards", oracles.consistent_shards(40))
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = consistent_shards(table(spark, sf_dir, "documents"), 40)
     return shards.withColumn("law", F.lit("key"))
@@ -71,7 +71,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), QUALITY)
 
 
-@query("op2_jaccard_groups")
+@query("op2_jaccard_groups", oracles.jaccard_groups(3, 90, 100))
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -88,7 +88,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
-@query("op4_threshold_top_k")
+@query("op4_threshold_top_k", oracles.top_k(5, 50))
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 

@@ -261,3 +261,12 @@ def test_pipeline_against_a_plain_version(spark, sf):
     words = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = corpus_pipeline.run(spark, sf).collect()
     check_packing(rows, [(i, words.encode(texts[i], add_special_tokens=False).ids + [0]) for i in left], 2048)
+
+
+@pytest.mark.parametrize("key", ["op2_jaccard_groups", "op4_threshold_top_k", "op7_consistent_shards"])
+def test_queries_equal_their_sql(spark, sf, key):
+    from basketry.llm.queries import ORACLES
+    from tests.compare import compare, database
+
+    ok, text, _, _ = compare(spark, sf, QUERIES[key], ORACLES[key], database(sf))
+    assert ok, text
