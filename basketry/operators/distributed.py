@@ -158,19 +158,19 @@ def exact_quantiles(
     return found.select(*keys, *out)
 
 
-def most_frequent(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+def most_frequent(df: DataFrame, keys: Sequence[str], values: Sequence[str], times: Column | None = None) -> DataFrame:
     """Most frequent non-null value per key for each column; ties go to the smallest value.
 
-    All columns are counted in one pass, and counts are combined before anything is grouped by key alone.
+    A row counts once, or ``times`` times. All columns are counted in one pass, and counts are combined before anything is grouped by key alone.
     """
     keys, values = list(keys), list(values)
     pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("which"), F.col(v).cast("string").alias("value")) for v in values]))
     counted = (
-        df.select(*keys, pairs.alias("_p"))
-        .select(*keys, "_p.which", "_p.value")
+        df.select(*keys, pairs.alias("_p"), (F.lit(1) if times is None else times).alias("_times"))
+        .select(*keys, "_p.which", "_p.value", "_times")
         .filter(F.col("value").isNotNull())
         .groupBy(*keys, "which", "value")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_times").alias("_n"))
     )
     best = F.struct((-F.col("_n")).alias("n"), F.col("value").alias("value"))
     return counted.groupBy(*keys).agg(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from basketry.functions.scalars import (
     age_in_days,
     category_path,
-    fill_candidate_nulls, fill_history_nulls,
+    fill_candidate_nulls,
+    fill_history_nulls,
     log1p_counts,
     ratio,
     repeat_ratio,
@@ -16,25 +17,50 @@ from basketry.functions.scalars import (
 )
 from basketry.operators.distributed import exact_quantiles, most_frequent
 from basketry.operators.lookups import broadcast_if_small
-from basketry.runtime import count_of, days, scalar, union_all
+from basketry.runtime import count_of, cut, days, scalar, union_all
 
 
 def _latest(df: DataFrame) -> Column:
     return scalar(df, F.max("event_time"))
 
 
+GRAIN = ["user_id", "item_id", "brand", "category_code"]
+
+
+def event_grain(df: DataFrame) -> DataFrame:
+    """The log counted by user, item, brand and category: what the features below are rolled up from.
+
+    Counts are combined before the shuffle; no user or item has more rows than it has partners.
+    """
+    return df.groupBy(*GRAIN).agg(
+        F.count(F.lit(1)).alias("events"),
+        count_of("view").alias("view"),
+        count_of("cart").alias("cart"),
+        count_of("purchase").alias("purchase"),
+        F.min("event_time").alias("first_time"),
+        F.max("event_time").alias("last_time"),
+        F.sum("price").alias("price_sum"),
+        F.count("price").alias("prices"),
+    )
+
+
+def _counts(prefix: str, total: str) -> list[Column]:
+    return [F.sum("events").alias(total), *(F.sum(kind).alias(f"{prefix}_{kind}") for kind in ("view", "cart", "purchase"))]
+
+
 def item_popularity(train: DataFrame) -> DataFrame:
     """Per item: event counts, distinct users, days since first and last event, mean price and logs of the counts."""
-    latest = _latest(train)
-    counts = train.groupBy("item_id").agg(
-        F.count(F.lit(1)).alias("item_total_events"),
-        count_of("view").alias("item_view"),
-        count_of("cart").alias("item_cart"),
-        count_of("purchase").alias("item_purchase"),
+    return _item_popularity(event_grain(train))
+
+
+def _item_popularity(grain: DataFrame) -> DataFrame:
+    latest = scalar(grain, F.max("last_time"))
+    counts = grain.groupBy("item_id").agg(
+        *_counts("item", "item_total_events"),
         F.countDistinct("user_id").alias("item_unique_users"),
-        age_in_days(F.min("event_time"), latest).alias("item_days_since_first"),
-        age_in_days(F.max("event_time"), latest).alias("item_days_since_last"),
-        F.avg("price").alias("item_avg_price"),
+        age_in_days(F.min("first_time"), latest).alias("item_days_since_first"),
+        age_in_days(F.max("last_time"), latest).alias("item_days_since_last"),
+        (F.sum("price_sum") / F.nullif(F.sum("prices"), F.lit(0))).alias("item_avg_price"),
     )
     logged = ["item_total_events", "item_view", "item_cart", "item_purchase", "item_unique_users"]
     return counts.select("*", *log1p_counts(logged))
@@ -42,15 +68,16 @@ def item_popularity(train: DataFrame) -> DataFrame:
 
 def user_activity(train: DataFrame) -> DataFrame:
     """Per user: event counts, distinct items, days since first and last event, ratios and logs of the counts."""
-    latest = _latest(train)
-    counts = train.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("user_total_events"),
+    return _user_activity(event_grain(train))
+
+
+def _user_activity(grain: DataFrame) -> DataFrame:
+    latest = scalar(grain, F.max("last_time"))
+    counts = grain.groupBy("user_id").agg(
+        *_counts("user", "user_total_events"),
         F.countDistinct("item_id").alias("user_distinct_items"),
-        count_of("view").alias("user_view"),
-        count_of("cart").alias("user_cart"),
-        count_of("purchase").alias("user_purchase"),
-        age_in_days(F.min("event_time"), latest).alias("user_days_since_first"),
-        age_in_days(F.max("event_time"), latest).alias("user_days_recency"),
+        age_in_days(F.min("first_time"), latest).alias("user_days_since_first"),
+        age_in_days(F.max("last_time"), latest).alias("user_days_recency"),
     )
     logged = ["user_total_events", "user_distinct_items", "user_view", "user_cart", "user_purchase"]
     return counts.select(
@@ -64,22 +91,26 @@ def user_activity(train: DataFrame) -> DataFrame:
 
 def user_item_history(train: DataFrame) -> DataFrame:
     """Per (user, item): event counts and days since the last event."""
-    latest = _latest(train)
-    return train.groupBy("user_id", "item_id").agg(
-        F.count(F.lit(1)).alias("ui_total_events"),
-        age_in_days(F.max("event_time"), latest).alias("ui_days_since_last"),
-        count_of("view").alias("ui_view"),
-        count_of("cart").alias("ui_cart"),
-        count_of("purchase").alias("ui_purchase"),
+    return _user_item_history(event_grain(train))
+
+
+def _user_item_history(grain: DataFrame) -> DataFrame:
+    latest = scalar(grain, F.max("last_time"))
+    return grain.groupBy("user_id", "item_id").agg(
+        *_counts("ui", "ui_total_events"), age_in_days(F.max("last_time"), latest).alias("ui_days_since_last")
     )
 
 
 def affinity_top1(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Most frequent brand and category per user, and per item."""
-    users = most_frequent(train, ["user_id"], ["brand", "category_code"]).select(
+    return _affinity_top1(event_grain(train))
+
+
+def _affinity_top1(grain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    users = most_frequent(grain, ["user_id"], ["brand", "category_code"], F.col("events")).select(
         "user_id", F.col("brand").alias("user_top_brand"), F.col("category_code").alias("user_top_category")
     )
-    items = most_frequent(train, ["item_id"], ["brand", "category_code"]).select(
+    items = most_frequent(grain, ["item_id"], ["brand", "category_code"], F.col("events")).select(
         "item_id", F.col("brand").alias("item_brand"), F.col("category_code").alias("item_category")
     )
     return users, items
@@ -226,14 +257,16 @@ def candidate_features(
 ) -> DataFrame:
     """Candidates with model, item, user, pair and affinity features and the label.
 
+    The log is read once: it is counted by user, item, brand and category, written, and everything is rolled up from that.
     User-sized tables are merged with each other first, item-sized ones likewise, so the candidate table - the largest
     by far - is shuffled once by pair, once by user and once by item (not at all where the item side is broadcast).
     """
-    user_affinity, item_affinity = affinity_top1(train)
-    by_pair = attach_label_and_history(attach_model_scores(preds, models, top_k), user_item_history(train), truth)
-    item_side = item_popularity(train).join(item_affinity, "item_id", "left")
+    grain = cut(event_grain(train))
+    user_affinity, item_affinity = _affinity_top1(grain)
+    by_pair = attach_label_and_history(attach_model_scores(preds, models, top_k), _user_item_history(grain), truth)
+    item_side = _item_popularity(grain).join(item_affinity, "item_id", "left")
     flags = users.select("user_id").distinct().withColumn("is_eval_user", F.lit(1))
-    user_side = user_activity(train).join(user_affinity, "user_id", "left")
+    user_side = _user_activity(grain).join(user_affinity, "user_id", "left")
     out = by_pair.join(broadcast_if_small(item_side), "item_id", "left").join(user_side, "user_id", "left").join(
         flags, "user_id", "left"
     )
