@@ -103,9 +103,9 @@ def gaps_to_previous(
 
 
 def _value_band(value: Column) -> Column:
-    """Order-preserving coarse code of a double: 64 steps per power of two on both sides of zero."""
+    """Order-preserving code of a double: 16,384 steps per power of two on both sides of zero, so that close values differ."""
     v = value.cast("double")
-    magnitude = (F.floor(F.log2(F.abs(v)) * 64) + 100_000).cast("long")
+    magnitude = (F.floor(F.log2(F.abs(v)) * 16384) + 20_000_000).cast("long")
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, magnitude).otherwise(-magnitude)
 
 

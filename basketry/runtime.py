@@ -68,13 +68,15 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
+    """Write ``df`` as parquet into the shared checkpoint folder and go on from the files.
 
     Used where a table is read several times and must be the same each time (range-partition numbers), and in
-    iterative operators, where lineage would otherwise grow with every round.
+    iterative operators, where lineage would otherwise grow with every round. Files keep statistics, and readers of them
+    prune columns and push filters down.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
