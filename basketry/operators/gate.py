@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from basketry.functions.scalars import apply_temperature
 from basketry.functions.text import looks_negated
 from basketry.operators.evidence import support_maps
+from basketry.runtime import scalar
 
 # Limits of a response.
 TEXT_LIMIT, SUMMARY_LIMIT, HINT_LIMIT, MAX_CLAIMS = 200, 300, 200, 6
@@ -332,3 +333,9 @@ def fit_temperature(df: DataFrame, steps: int = 40) -> DataFrame:
     return counted.agg(total.alias("n")).select(
         "n", F.when(F.col("n") < 3, F.lit(1.0)).otherwise(best).alias("temperature")
     )
+
+
+def calibrated_responses(responses: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Responses with ``confidence_calibrated``, from ``confidence_raw`` and the one row of ``fit_temperature``."""
+    temperature = scalar(fitted, F.max("temperature"))
+    return responses.withColumn("confidence_calibrated", apply_temperature(F.col("confidence_raw"), temperature))

@@ -339,6 +339,26 @@ def fit_temperature(spark, sf):
     return G.fit_temperature(calibration(spark, sf)).withColumn("temperature", F.round("temperature", 4))
 
 
+LEVELS = ", ".join(
+    [
+        CONFIDENCE,
+        _level("l0", "", "SELECT 0.05*pow(200.0,i/40.0) AS t FROM range(0,41) r(i)"),
+        _level("l1", "", "SELECT least(greatest((SELECT t FROM l0)*pow(200.0,(i-10)/400.0),0.05),10) AS t FROM range(0,21) r(i)"),
+        _level("l2", "", "SELECT least(greatest((SELECT t FROM l1)*pow(200.0,(i-10)/4000.0),0.05),10) AS t FROM range(0,21) r(i)"),
+    ]
+)
+
+
+@query(
+    "calibrated_responses",
+    on_evidence("SELECT user_id, item_id, confidence_raw, round(1/(1+exp(-ln(confidence_raw/(1-confidence_raw))/(SELECT t FROM l2))),4) AS confidence_calibrated FROM rp", CLAIMS, RESPONSE, LEVELS),
+)
+def calibrated_responses(spark, sf):
+    responses = G.rule_response(evidence(spark, sf), question())
+    rows = G.calibrated_responses(responses, G.fit_temperature(calibration(spark, sf)))
+    return rows.select("user_id", "item_id", "confidence_raw", F.round("confidence_calibrated", 4).alias("confidence_calibrated"))
+
+
 META = f"""meta AS (SELECT item_id, avg(price) AS price, any_value(c.category_code) AS category_code, any_value(b.brand) AS brand FROM train LEFT JOIN {mode_of('train','item_id','category_code')} c USING (item_id) LEFT JOIN {mode_of('train','item_id','brand')} b USING (item_id) GROUP BY 1)"""
 HISTORY = """hx AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_time DESC, event_id DESC) AS r, (epoch_us((SELECT max(event_time) FROM train))-epoch_us(event_time))/86400e6 AS age FROM train),
  his AS (SELECT user_id, string_agg('['||event_type||'] '||coalesce(m.category_code,'unknown')||' / '||coalesce(m.brand,'unknown')||' / $'||CAST(round_even(hx.price,0) AS BIGINT)||' ('||CASE WHEN age<1 THEN CAST(floor(age*24) AS INTEGER)||'h ago' ELSE CAST(floor(age) AS INTEGER)||'d ago' END||')', chr(10) ORDER BY r DESC) AS history_text

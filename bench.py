@@ -26,12 +26,17 @@ HEADLINE = [
     "user_knn",
     "tifu_scores",
     "item_gram",
+    "item_ridge",
+    "item_ridge_scores",
+    "als_recommend",
     "embedding_topn",
     "profile_knn",
     "rrf",
     "fusion_sweep",
     "evaluate_slices",
     "candidate_features",
+    "rerank_binary",
+    "rerank_pairwise",
     "user_profile",
     "content_candidates",
     "carousel",
