@@ -34,7 +34,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 def small_batches(spark: SparkSession) -> SparkSession:
     """Keep the Arrow batches that go to Python workers small; texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return spark
 
 

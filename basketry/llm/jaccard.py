@@ -30,13 +30,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import LOWER, U64, Hasher, mix, slices, stored, word_bounds
 from basketry.llm.components import components
 
 GROWTH = 1.3
+# Levels fit into six bits of a key; the last number marks keys of light sets.
+LIGHT = 63
 SKETCH_LONGS = 8
 SKETCH = [f"s{n}" for n in range(SKETCH_LONGS)]
 STEP = U64(0x9E3779B97F4A7C15)
@@ -77,16 +79,39 @@ class Scheme:
         return (self.den - self.num) * 2 * n // (self.den + self.num)
 
     def extend(self, most: int) -> None:
-        while self.levels[-3:][0] <= most or len(self.levels) < 4:
+        while (self.levels[-3:][0] <= most or len(self.levels) < 4) and len(self.levels) <= LIGHT:
             last = self.levels[-1]
             self.levels.append(max(last + 1, int(last * GROWTH), self.partner_sizes(last)[1] + 1))
 
     def parts(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Blocks in each level, and how many may be empty before empty ones count."""
-        ends = np.array(self.levels[1:], np.int64)[level]
-        needed = (self.den - self.num) * 2 * (ends - 1) // (self.den + self.num) + 1
+        """Blocks in each level, and how many may be empty before empty ones count.
+
+        Blocks less empty ones less the differences of a pair are the lists that it shares if it is linked: an eighth of
+        the blocks at least. Half of that lets a set leave its longest lists out (see ``left_out``), the other half is asked
+        for of every pair, so that chance does not make many.
+        """
+        needed = self.needed(level)
         spare = 1 + needed // 32
-        return needed + spare, spare
+        return needed + 2 * (needed // 16) + spare, spare
+
+    def needed(self, level: np.ndarray) -> np.ndarray:
+        ends = np.array(self.levels[1:], np.int64)[level]
+        return (self.den - self.num) * 2 * (ends - 1) // (self.den + self.num) + 1
+
+    def left_out(self) -> list[int]:
+        """By level, how many of its keys a set leaves out: those of the longest lists.
+
+        Of the lists that a linked pair shares, the shortest ones stay in both sets, as lists are ordered alike for all sets.
+        """
+        self.extend(1 << 40)
+        return [int(n) for n in self.needed(np.arange(LIGHT)) // 16] + [0]
+
+    def agreeing(self, size: np.ndarray) -> np.ndarray:
+        """For heavy sets the lists left that a linked pair of this larger size shares, and as many as it has differences."""
+        heavy = size > self.boundary
+        level = np.maximum(np.searchsorted(np.array(self.levels, np.int64), size, side="right") - 1, 0)
+        parts, spare = self.parts(level)
+        return np.where(heavy, parts - spare - self.needed(level) // 16, 0)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +170,7 @@ def light_keys(scheme: Scheme, shingles: np.ndarray, size: np.ndarray) -> tuple[
         for c in scheme.subset_sizes(n):
             left_out = np.array(list(combinations(range(n), n - c)), np.int64).reshape(math.comb(n, c), n - c)
             sums = total[:, None] - rows[:, left_out].sum(axis=2, dtype=np.uint64)
-            keys.append(mix(sums ^ mix(np.full(1, c, np.uint64))).ravel())
+            keys.append((mix(sums ^ mix(np.full(1, c, np.uint64))) | U64(LIGHT)).ravel())
             owners.append(np.repeat(texts, len(left_out)))
     return np.concatenate(owners), np.concatenate(keys)
 
@@ -188,7 +213,7 @@ def heavy_keys(scheme: Scheme, shingles: np.ndarray, size: np.ndarray) -> tuple[
         block = (cell - base[texts[owner]]).astype(np.uint64)
         tag = mix(((level[texts[owner]].astype(np.uint64) + U64(1)) << U64(40)) + block)
         owners.append(texts[owner])
-        keys.append(mix(sums ^ tag))
+        keys.append((mix(sums ^ tag) & ~U64(LIGHT)) | level[texts[owner]].astype(np.uint64))
     return np.concatenate(owners), np.concatenate(keys)
 
 
@@ -212,12 +237,13 @@ def _marked(df: DataFrame, words: int, num: int, den: int) -> DataFrame:
                         pa.array(size.astype(np.int64)),
                         pa.array(class_keys(shingles, size)),
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(key[order].astype(np.int64))),
+                        pa.array(scheme.agreeing(size).astype(np.int32)),
                         *(pa.array(sketch[:, n]) for n in range(SKETCH_LONGS)),
                     ],
-                    ["doc_id", "n_shingles", "class", "keys", *SKETCH],
+                    ["doc_id", "n_shingles", "class", "keys", "agreeing", *SKETCH],
                 )
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, keys array<long>" + "".join(f", {s} long" for s in SKETCH))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, keys array<long>, agreeing int" + "".join(f", {s} long" for s in SKETCH))
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
@@ -243,22 +269,37 @@ class _Join:
         self.marked = stored(_marked(df, words, num, den), "marked")
         # Sent by doc_id, so that roots are the smallest ones; classes without any get a label above all of them.
         label = F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1) - F.pmod("class", F.lit(1 << 40)))
-        self.classes = stored(self.marked.filter("n_shingles > 0").groupBy("class").agg(label.alias("label"), F.first("n_shingles").alias("n"), *(F.first(s).alias(s) for s in SKETCH)), "classes")
+        self.classes = stored(self.marked.filter("n_shingles > 0").groupBy("class").agg(label.alias("label"), F.first("n_shingles").alias("n"), F.first("agreeing").alias("agreeing"), *(F.first(s).alias(s) for s in SKETCH)), "classes")
 
     def near(self, a: str, b: str):
         return (F.col(a) * self.den >= F.col(b) * self.num) & (F.col(b) * self.den >= F.col(a) * self.num)
 
+    def differences(self):
+        """How many shingles a linked pair of sizes n_a and n_b may differ in."""
+        both = self.num + self.den
+        return F.expr(f"n_a + n_b - 2 * (({self.num} * (n_a + n_b) + {both - 1}) div {both})")
+
     def may_link(self):
         """Whether the sketches a and b differ in no more bits than linked sets of their sizes may."""
         bits = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in SKETCH), F.lit(0))
-        both = self.num + self.den
-        return bits <= F.expr(f"n_a + n_b - 2 * (({self.num} * (n_a + n_b) + {both - 1}) div {both})")
+        return bits <= self.differences()
+
+    def shares_enough(self):
+        """Whether a pair is together in as many lists as a linked pair is."""
+        agreeing = F.when(F.col("n_a") >= F.col("n_b"), F.col("agreeing_a")).otherwise(F.col("agreeing_b"))
+        return F.col("lists") >= agreeing - self.differences()
 
     def members(self) -> DataFrame:
-        """(key, class, n, first): lists with two classes or more, and their least class."""
+        """(key, class, n, first): lists with two classes or more, and their least class; no set's longest lists."""
         lists = self.marked.select(F.explode("keys").alias("key"), "class", F.col("n_shingles").alias("n"))
-        shared = lists.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first <> last").drop("last")
-        return stored(lists.join(stored(shared, "shared"), "key").distinct(), "members")
+        ends = [F.min("class").alias("first"), F.max("class").alias("last"), F.count("*").alias("length")]
+        shared = stored(lists.groupBy("key").agg(*ends).filter("first <> last").drop("last"), "shared")
+        # As many rows per class and level as a set has blocks.
+        level = F.col("key").bitwiseAND(LIGHT).cast("int")
+        place = F.row_number().over(Window.partitionBy("class", level).orderBy(F.desc("length"), F.desc("key")))
+        left_out = F.element_at(F.array(*map(F.lit, Scheme(self.num, self.den).left_out())), level + 1)
+        members = lists.join(shared, "key").distinct().withColumn("place", place)
+        return stored(members.filter(F.col("place") > left_out).drop("place", "length"), "members")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the stored pairs (a, b) of classes that are linked, as labels."""
@@ -269,7 +310,7 @@ class _Join:
         side = lambda x: sets.select(*(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "shingles", "label")))
         both = pairs.join(side("a"), F.col("a") == F.col("class_a")).join(side("b"), F.col("b") == F.col("class_b")).filter(self.near("n_a", "n_b"))
         common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        linked = both.withColumn("common", common).filter(F.col("common") * self.den >= self.num * (F.col("n_a") + F.col("n_b") - F.col("common")))
+        linked = both.filter(common * (self.den + self.num) >= self.num * (F.col("n_a") + F.col("n_b")))
         return stored(linked.select("a", "b", "label_a", "label_b"), "links")
 
     def _rows_of(self, ids: DataFrame) -> DataFrame:
@@ -289,29 +330,34 @@ class _Join:
         return source.join(F.broadcast(bitmap), "word").filter(hit).select("text")
 
     def _sketched(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of classes that may be linked by their sizes and sketches."""
-        side = lambda x: self.classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", *SKETCH)))
+        """Pairs (a, b, lists) of classes that are likely linked, by their sizes, sketches and, for sets as large as a sketch, lists."""
+        side = lambda x: self.classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "agreeing", *SKETCH)))
         both = pairs.join(side("a"), F.col("a") == F.col("class_a")).join(side("b"), F.col("b") == F.col("class_b"))
-        return both.filter(self.near("n_a", "n_b") & self.may_link()).select("a", "b")
+        return both.filter(self.near("n_a", "n_b") & self.may_link() & (self.shares_enough() | (F.greatest("n_a", "n_b") <= 64 * SKETCH_LONGS))).select("a", "b")
 
     def roots(self, links: DataFrame) -> DataFrame:
         return components(links, "label_a", "label_b")
 
     def run(self) -> DataFrame:
         members = self.members()
-        stars = stored(members.filter("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct(), "stars")
-        links = self.links(stored(self._sketched(stars), "likely"))
+        stars = members.filter("class <> first").groupBy(F.col("class").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("lists"))
+        # A pair's other lists may have other least classes, so that it is left to the comparison below; none is lost.
+        tested = stored(self._sketched(stored(stars, "stars")), "tested")
+        links = self.links(tested)
         roots = stored(self.roots(links), "roots")
         placed = self._placed(roots)
         # Lists whose classes are not all in one component yet.
         now = stored(members.drop("first").join(placed, "class"), "placed")
         open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
         rest = stored(now.join(stored(open_keys, "open"), "key"), "rest")
-        rest = stored(rest.join(self.classes.select("class", *SKETCH), "class"), "sketched")
-        side = lambda x: rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "root", *SKETCH)))
+        rest = stored(rest.join(self.classes.select("class", "agreeing", *SKETCH), "class"), "sketched")
+        side = lambda x: rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "root", "agreeing", *SKETCH)))
         pairs = side("a").join(side("b"), "key").filter((F.col("root_a") > F.col("root_b")) & self.near("n_a", "n_b") & self.may_link())
-        pairs = pairs.select(F.greatest("class_a", "class_b").alias("a"), F.least("class_a", "class_b").alias("b")).distinct()
-        pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+        # Two classes of different components have all their common lists here.
+        pair = [F.greatest("class_a", "class_b").alias("a"), F.least("class_a", "class_b").alias("b")]
+        needed = F.when(F.col("n_a") >= F.col("n_b"), F.col("agreeing_a")).otherwise(F.col("agreeing_b")) - self.differences()
+        pairs = pairs.groupBy(*pair).agg(F.count("*").alias("lists"), F.first(needed).alias("needed")).filter("lists >= needed")
+        pairs = stored(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             more = self.links(pairs)
             if not more.isEmpty():
