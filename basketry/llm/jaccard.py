@@ -104,7 +104,8 @@ class Scheme:
         Of the lists that a linked pair shares, the shortest ones stay in both sets, as lists are ordered alike for all sets.
         """
         self.extend(1 << 40)
-        return [int(n) for n in self.needed(np.arange(LIGHT)) // 16] + [0]
+        by_level = [int(n) for n in self.needed(np.arange(min(LIGHT, len(self.levels) - 1))) // 16]
+        return by_level + by_level[-1:] * (LIGHT - len(by_level)) + [0]
 
     def agreeing(self, size: np.ndarray) -> np.ndarray:
         """For heavy sets the lists left that a linked pair of this larger size shares, and as many as it has differences."""
@@ -263,6 +264,21 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
     return df.select("text").mapInArrow(run, "class long, n long, shingles array<long>")
 
 
+def among(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is among that of ``wanted``, and a few more: hashes are looked up in a bitmap.
+
+    The bitmap has at most BITMAP_WORDS words however many values there are, so it may be sent to every task. With very many
+    values it lets more rows through, and the join that follows drops them.
+    """
+    h = F.xxhash64(column)
+    place = [F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP_WORDS - 1).alias("_word"), h.bitwiseAND(63).cast("int").alias("_bit")]
+    one = F.lit(1).cast("long")
+    marks = F.bit_or(F.call_function("shiftleft", one, F.col("_bit"))).alias("_bits")
+    bitmap = wanted.select(*place).groupBy("_word").agg(marks)
+    hit = F.call_function("shiftrightunsigned", F.col("_bits"), F.col("_bit")).bitwiseAND(one) == 1
+    return rows.select("*", *place).join(F.broadcast(bitmap), "_word").filter(hit).drop("_word", "_bit", "_bits")
+
+
 class _Join:
     def __init__(self, df: DataFrame, words: int, num: int, den: int) -> None:
         self.df, self.words, self.num, self.den = df, words, num, den
@@ -298,7 +314,7 @@ class _Join:
         level = F.col("key").bitwiseAND(LIGHT).cast("int")
         place = F.row_number().over(Window.partitionBy("class", level).orderBy(F.desc("length"), F.desc("key")))
         left_out = F.element_at(F.array(*map(F.lit, Scheme(self.num, self.den).left_out())), level + 1)
-        members = lists.join(shared, "key").distinct().withColumn("place", place)
+        members = among(lists, shared, "key").join(shared, "key").distinct().withColumn("place", place)
         return stored(members.filter(F.col("place") > left_out).drop("place", "length"), "members")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -314,20 +330,9 @@ class _Join:
         return stored(linked.select("a", "b", "label_a", "label_b"), "links")
 
     def _rows_of(self, ids: DataFrame) -> DataFrame:
-        """The texts of rows with these ids, and of a few more: their hashes are looked up in a bitmap.
-
-        The bitmap has at most 2**21 words however many ids there are, so it may be sent to every task, and no text is shuffled.
-        """
-        place = lambda column: F.xxhash64(column)
-        word = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP_WORDS - 1).alias("word")
-        bit = lambda h: h.bitwiseAND(63).cast("int").alias("bit")
-        marks = ids.select(place("id").alias("h")).select(word(F.col("h")), bit(F.col("h")))
-        one = F.lit(1).cast("long")
-        bitmap = marks.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", one, F.col("bit"))).alias("bits"))
-        source = self.df.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("h", place("id"))
-        source = source.select("text", word(F.col("h")), bit(F.col("h")))
-        hit = F.call_function("shiftrightunsigned", F.col("bits"), F.col("bit")).bitwiseAND(one) == 1
-        return source.join(F.broadcast(bitmap), "word").filter(hit).select("text")
+        """The texts of rows with these ids, and of a few more; no text is shuffled."""
+        source = self.df.select(F.col("doc_id").cast("long").alias("id"), "text")
+        return among(source, ids, "id").select("text")
 
     def _sketched(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, lists) of classes that are likely linked, by their sizes, sketches and, for sets as large as a sketch, lists."""
