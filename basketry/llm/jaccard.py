@@ -306,16 +306,26 @@ class _Join:
         return F.col("lists") >= agreeing - self.differences()
 
     def members(self) -> DataFrame:
-        """(key, class, n, first): lists with two classes or more, and their least class; no set's longest lists."""
+        """(key, class, n, first): lists with two classes or more, and their least class.
+
+        No set is in its longest lists, nor in any of a level where it has fewer than a linked pair shares.
+        """
         lists = self.marked.select(F.explode("keys").alias("key"), "class", F.col("n_shingles").alias("n"))
         ends = [F.min("class").alias("first"), F.max("class").alias("last"), F.count("*").alias("length")]
-        shared = stored(lists.groupBy("key").agg(*ends).filter("first <> last").drop("last"), "shared")
+
+        def shared(rows: DataFrame) -> DataFrame:
+            return stored(rows.groupBy("key").agg(*ends).filter("first <> last").drop("last"), "shared")
+
+        both = shared(lists)
         # As many rows per class and level as a set has blocks.
         level = F.col("key").bitwiseAND(LIGHT).cast("int")
-        place = F.row_number().over(Window.partitionBy("class", level).orderBy(F.desc("length"), F.desc("key")))
+        own = Window.partitionBy("class", level)
+        place = F.row_number().over(own.orderBy(F.desc("length"), F.desc("key")))
         left_out = F.element_at(F.array(*map(F.lit, Scheme(self.num, self.den).left_out())), level + 1)
-        members = among(lists, shared, "key").join(shared, "key").distinct().withColumn("place", place)
-        return stored(members.filter(F.col("place") > left_out).drop("place", "length"), "members")
+        placed = among(lists, both, "key").join(both, "key").distinct().withColumns({"place": place, "lists": F.count("*").over(own)})
+        # What a linked pair has in common besides the lists left out is more than these.
+        kept = stored(placed.filter((F.col("place") > left_out) & (F.col("lists") > 2 * left_out)).select("key", "class", "n"), "kept")
+        return stored(kept.join(shared(kept).drop("length"), "key"), "members")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the stored pairs (a, b) of classes that are linked, as labels."""
