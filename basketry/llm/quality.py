@@ -6,11 +6,12 @@ all the rest. A document is compared with the reference of its language by Jense
 Documents under ``min_words`` words are not judged by distance: short texts are far from any reference by chance.
 
 Common words are found by lossy counting: in each megabyte of texts of one language, words under 1/``RARE`` of its words are
-left out, so a total is too low by at most that share. Languages beyond the ``LANGUAGES`` with most words, and null, are
-compared with all documents together.
+left out, so a total is too low by at most that share. References are a table joined by language, which Spark broadcasts while
+it is small, so there may be any number of languages.
 
-Defined results: null and empty texts have zero in every count, fail the base rules and are not kept; rows are judged one by
-one, so repeated rows repeat their verdict; words equally common are taken in text order; an empty table gives an empty
+Defined results: null and empty texts have zero in every count, fail the base rules and are not kept; documents whose
+language is null or empty have no reference, so the base rules alone decide and their distances are null; rows are judged one
+by one, so repeated rows repeat their verdict; words equally common are taken in text order; an empty table gives an empty
 table; further columns are kept by ``keep_good`` and not read.
 """
 
@@ -24,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import IS_SPACE, LOWER, NO_LETTER, U64, Hasher, mix, slices, word_bounds
+from basketry.llm.common import IS_SPACE, LOWER, NO_LETTER, U64, Hasher, mix, slices, stored, word_bounds
 
-LANGUAGES = 64
 COMMON_WORDS = 64
 RARE = 1000
 LEAST_WORDS = 30
@@ -119,12 +119,12 @@ def _prose_words(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple
     return hasher.spans(starts, ends), owner, starts, ends, lowered
 
 
-def _arrow_strings(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return np.array([x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()], object)
+def _column(batch: pa.RecordBatch, name: str) -> list:
+    return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
 def reference_counts(df: DataFrame) -> DataFrame:
-    """(lang, kind, name, total) over all documents.
+    """(lang, kind, name, total) over all documents with a language.
 
     Kind ``class`` counts documents by class and step of its share, named ``class * (BINS + 1) + step``; kind ``word`` counts
     each common word, and kind ``size`` all words.
@@ -133,10 +133,9 @@ def reference_counts(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, totals = Hasher(), {}
         for batch in batches:
-            langs = _arrow_strings(batch, "lang")
+            langs = np.array(_column(batch, "lang"), object)
             for first, end, data, offsets in slices(batch):
-                own = langs[first:end]
-                names, group = np.unique(own.astype(str), return_inverse=True)
+                names, group = np.unique(langs[first:end], return_inverse=True)
                 counts = class_counts(data, offsets)
                 words, owner, starts, ends, lowered = _prose_words(data, offsets, hasher)
                 steps = (np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True))) * BINS).round().astype(np.int64)
@@ -163,36 +162,52 @@ def reference_counts(df: DataFrame) -> DataFrame:
             ["lang", "kind", "name", "total"],
         )
 
-    counted = df.select("lang", "text").mapInArrow(run, "lang string, kind string, name string, total long")
+    spoken = df.select(df["lang"].cast("string").alias("lang"), "text").filter("lang <> ''")
+    counted = spoken.mapInArrow(run, "lang string, kind string, name string, total long")
     return counted.groupBy("lang", "kind", "name").agg(F.sum("total").alias("total"))
 
 
-def references(df: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, float]]]:
-    """By language: shares of character classes, and shares of the most common words; '' stands for all documents."""
-    counts = reference_counts(df).persist()
-    every = counts.groupBy("kind", "name").agg(F.sum("total").alias("total")).select(F.lit("").alias("lang"), "kind", "name", "total")
-    largest = counts.filter("kind = 'size' and lang <> ''").orderBy(F.desc("total"), "lang").limit(LANGUAGES)
-    both = counts.filter("lang <> ''").join(largest.select("lang"), "lang", "left_semi").unionByName(every)
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("total"), "name")))
-    # At most (LANGUAGES + 1) * (CLASSES * (BINS + 1) + COMMON_WORDS + 1) rows.
-    rows = ranked.filter((F.col("kind") != "word") | (F.col("rank") <= COMMON_WORDS)).collect()
-    counts.unpersist()
-    cells: dict = {}
-    words: dict = {}
-    sizes: dict = {}
-    for lang, kind, name, total in (r[:4] for r in rows):
+def _reference(group: pa.Table) -> pa.Table:
+    """One language's row: the shares of its classes, the hashes of its common words in order, and their shares and the rest's."""
+    cells, words, size = np.zeros((CLASSES, BINS + 1)), {}, 0
+    for kind, name, total in zip(*(group.column(c).to_pylist() for c in ("kind", "name", "total"))):
         if kind == "class":
-            cells.setdefault(lang, np.zeros((CLASSES, BINS + 1)))[divmod(int(name), BINS + 1)] = total
+            cells[divmod(int(name), BINS + 1)] = total
         elif kind == "word":
-            words.setdefault(lang, {})[name] = total
+            words[name] = total
         else:
-            sizes[lang] = total
-    out = {}
-    for lang, size in sizes.items():
-        table = np.cumsum(cells.get(lang, np.zeros((CLASSES, BINS + 1))), axis=1)
-        shares = ((table < table[:, -1:] / 2).sum(axis=1) / BINS) ** 2
-        out[lang] = shares / max(shares.sum(), 1e-9), {w: n / max(1, size) for w, n in words.get(lang, {}).items()}
-    return out
+            size = total
+    table = np.cumsum(cells, axis=1)
+    classes = ((table < table[:, -1:] / 2).sum(axis=1) / BINS) ** 2
+    names, hasher = sorted(words), Hasher()
+    ends = np.cumsum([0, *(len(w.encode()) for w in names)]).astype(np.int64)
+    hasher.prepare(np.frombuffer("".join(names).encode(), np.uint8))
+    hashes = hasher.spans(ends[:-1], ends[1:])
+    order = np.argsort(hashes)
+    shares = np.array([words[names[i]] / max(1, size) for i in order])
+    packed = (classes / max(classes.sum(), 1e-9)).tobytes() + hashes[order].tobytes() + np.append(shares, max(0.0, 1 - shares.sum())).tobytes()
+    return pa.table({"_lang": pa.array(group.column("lang").to_pylist()[:1], pa.string()), "_reference": pa.array([packed], pa.binary())})
+
+
+def _unpacked(reference: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words = (len(reference) // 8 - CLASSES - 1) // 2
+    numbers = np.frombuffer(reference, np.float64)
+    return numbers[:CLASSES], np.frombuffer(reference, np.uint64, words, 8 * CLASSES), numbers[CLASSES + words :]
+
+
+def references(df: DataFrame) -> DataFrame:
+    """(_lang, _reference) of every language, see ``_reference``; stored. Runs jobs."""
+    counts = stored(reference_counts(df), "quality-counts")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("total"), "name"))
+    common = counts.filter("kind = 'word'").withColumn("place", place).filter(F.col("place") <= COMMON_WORDS).drop("place")
+    # At most CLASSES * (BINS + 1) + COMMON_WORDS + 1 rows of a language.
+    rows = counts.filter("kind <> 'word'").unionByName(common)
+    return stored(rows.groupBy("lang").applyInArrow(_reference, "_lang string, _reference binary"), "quality-references")
+
+
+def with_references(df: DataFrame) -> DataFrame:
+    """``df`` with ``_reference`` of its language, null where there is none. Runs jobs."""
+    return df.join(references(df), df["lang"].cast("string") == F.col("_lang"), "left").drop("_lang")
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -209,36 +224,38 @@ MEASURES = {**dict.fromkeys(COUNTS, "long"), "class_distance": "double", "word_d
 
 
 class Measurer:
-    """Measures of slices of texts against known references."""
+    """Measures of slices of texts against the reference of each; distances are NaN where that is null."""
 
-    def __init__(self, known: dict[str, tuple[np.ndarray, dict[str, float]]]) -> None:
+    def __init__(self) -> None:
         self.hasher = Hasher()
-        self.by_lang = {}
-        for lang, (classes, words) in known.items():
-            names = sorted(words)
-            ends = np.cumsum([0, *(len(w.encode()) for w in names)]).astype(np.int64)
-            self.hasher.prepare(np.frombuffer("".join(names).encode(), np.uint8))
-            hashes = self.hasher.spans(ends[:-1], ends[1:])
-            order = np.argsort(hashes)
-            shares = np.array([words[names[i]] for i in order])
-            self.by_lang[lang] = classes, hashes[order], np.append(shares, max(0.0, 1 - shares.sum()))
-        self.none = self.by_lang.get("", (np.zeros(CLASSES), np.zeros(0, np.uint64), np.ones(1)))
-
-    def measure(self, langs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-        texts = len(langs)
+
+    def measure(self, references: list[bytes | None], data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+        texts = len(references)
         out = base_counts(data, offsets, self.hasher)
         classes = class_counts(data, offsets)
         words, owner, *_ = _prose_words(data, offsets, self.hasher)
-        out |= {"class_distance": np.zeros(texts), "word_distance": np.zeros(texts), "n_common": np.zeros(texts, np.int64)}
-        for lang in np.unique(langs):
-            reference, hashes, shares = self.by_lang.get(str(lang), self.none)
-            mine = np.flatnonzero(langs == lang)
+        out |= {"class_distance": np.full(texts, np.nan), "word_distance": np.full(texts, np.nan), "n_common": np.zeros(texts, np.int64)}
+        groups: dict = {}
+        for n, reference in enumerate(references):
+            groups.setdefault(reference, []).append(n)
+        group, within = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+        for n, mine in enumerate(groups.values()):
+            group[mine], within[mine] = n, np.arange(len(mine))
+        # Words by group, so that each language looks at its own only.
+        by_group = np.argsort(group[owner], kind="stable")
+        ends = np.cumsum(np.bincount(group[owner], minlength=len(groups)))
+        for n, (packed, mine) in enumerate(groups.items()):
+            if packed is None:
+                continue
+            reference, hashes, shares = _unpacked(packed)
             amount = classes[mine] / np.maximum(1, classes[mine].sum(axis=1, keepdims=True))
             out["class_distance"][mine] = js_distance(amount, reference)
             width = len(hashes) + 1
-            place = np.minimum(np.searchsorted(hashes, words), max(0, width - 2))
-            place = np.where(hashes[place] == words, place, width - 1) if width > 1 else np.zeros(len(words), np.int64)
-            table = np.bincount(owner * width + place, minlength=texts * width).reshape(-1, width)[mine]
+            at = by_group[ends[n - 1] if n else 0 : ends[n]]
+            own = words[at]
+            place = np.minimum(np.searchsorted(hashes, own), max(0, width - 2))
+            place = np.where(hashes[place] == own, place, width - 1) if width > 1 else np.zeros(len(own), np.int64)
+            table = np.bincount(within[owner[at]] * width + place, minlength=len(mine) * width).reshape(-1, width)
             out["n_common"][mine] = table[:, :-1].sum(axis=1)
             out["word_distance"][mine] = js_distance(table / np.maximum(1, table.sum(axis=1, keepdims=True)), shares)
         return out
@@ -260,35 +277,35 @@ class Limits:
 
 
 def judged(df: DataFrame, limits: Limits, id_column: str = "doc_id") -> DataFrame:
-    """(id, base counts, distances, base_failed, kept) of every whole text. Runs a job for the references."""
-    known = references(df)
+    """(id, base counts, distances, base_failed, kept) of every whole text. Runs jobs for the references."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measurer = Measurer(known)
+        measurer = Measurer()
         for batch in batches:
-            langs = _arrow_strings(batch, "lang").astype(str)
+            known = _column(batch, "_reference")
             for first, end, data, offsets in slices(batch):
-                measured = measurer.measure(langs[first:end], data, offsets)
+                measured = measurer.measure(known[first:end], data, offsets)
                 failed, kept = limits.judge(measured)
-                values = [pa.array(measured[n].astype(np.float64 if kind == "double" else np.int64)) for n, kind in MEASURES.items()]
+                values = [pa.array(measured[n].astype(np.float64 if kind == "double" else np.int64), from_pandas=True) for n, kind in MEASURES.items()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *values, pa.array(failed), pa.array(kept)], names)
 
     names = ["id", *MEASURES, "base_failed", "kept"]
-    rows = df.select(df[id_column].alias("id"), df["lang"].cast("string").alias("lang"), df["text"].alias("text"))
+    rows = with_references(df.select(df[id_column].alias("id"), "lang", "text")).drop("lang")
     schema = ", ".join([f"id {df.schema[id_column].dataType.simpleString()}", *(f"{n} {k}" for n, k in MEASURES.items()), "base_failed boolean", "kept boolean"])
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
 def keep_good(df: DataFrame, limits: Limits) -> DataFrame:
-    """The rows of ``df`` whose text is kept, with all their columns. Runs a job for the references."""
-    known = references(df)
+    """The rows of ``df`` whose text is kept, with all their columns. Runs jobs for the references."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measurer = Measurer(known)
+        measurer = Measurer()
         for batch in batches:
-            langs = _arrow_strings(batch, "lang").astype(str)
+            known = _column(batch, "_reference")
+            batch = batch.select(columns)
             for first, end, data, offsets in slices(batch):
-                _, kept = limits.judge(measurer.measure(langs[first:end], data, offsets))
+                _, kept = limits.judge(measurer.measure(known[first:end], data, offsets))
                 yield batch.slice(first, end - first).filter(pa.array(kept))
 
-    return df.mapInArrow(run, df.schema)
+    columns = df.columns
+    return with_references(df).mapInArrow(run, df.schema)

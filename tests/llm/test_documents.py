@@ -103,6 +103,28 @@ def test_distances_tell_shouting_and_symbols_from_prose(spark):
     assert {r.doc_id for r in rows if r.class_distance > 0.18} == set(range(60, 69))
 
 
+def spoken(rng, letters, n):
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(12)]
+    return [" ".join(rng.choice(words) for _ in range(80)) + "." for _ in range(n)]
+
+
+def test_every_language_has_its_own_reference(spark):
+    """Seventy small languages in Cyrillic beside a large one in Latin, and clean texts without language."""
+    rng = random.Random(8)
+    rows = [("en", t) for t in spoken(rng, "abcdefghiklmnorstu", 300)]
+    for n in range(70):
+        rows += [(f"x{n}", t) for t in spoken(rng, "абвгдежзиклмнопрсту", 4)]
+    rows += [(lang, t) for lang in (None, "") for t in spoken(rng, "абвгдежзиклмнопрсту", 4)]
+    rows += [("en", t) for t in spoken(rng, "абвгдежзиклмнопрсту", 3)]
+    docs = spark.createDataFrame([(n, t, lang) for n, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(5)
+    limits = quality.Limits(0.18, 0.75)
+    got = {r.doc_id: r for r in quality.judged(docs, limits).collect()}
+    want = {n for n in range(len(rows) - 3) if not got[n].base_failed}
+    assert len(want) > 500 and {n for n, r in got.items() if r.kept} == want
+    assert {n for n, r in got.items() if r.class_distance is None} == {n for n, (lang, _) in enumerate(rows) if not lang}
+    assert {r.doc_id for r in quality.keep_good(docs, limits).collect()} == want
+
+
 def plain_groups(docs, words, num, den):
     sets = []
     for _, text in docs:
