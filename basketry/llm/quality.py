@@ -5,8 +5,7 @@ of ``LEAST_WORDS`` words or more, so that junk does not move it, and the shares
 all the rest. A document is compared with the reference of its language by Jensen-Shannon distance (base 2, 0 to 1).
 Documents under ``min_words`` words are not judged by distance: short texts are far from any reference by chance.
 
-Common words are found by lossy counting: in each megabyte of texts of one language, words under 1/``RARE`` of its words are
-left out, so a total is too low by at most that share. References are a table joined by language, which Spark broadcasts while
+Every word is counted, so references do not depend on how the rows are dealt into files and batches. They are a table joined by language, which Spark broadcasts while
 it is small, so there may be any number of languages.
 
 Defined results: null and empty texts have zero in every count, fail the base rules and are not kept; documents whose
@@ -28,8 +27,9 @@ from pyspark.sql import functions as F
 from basketry.llm.common import IS_SPACE, LOWER, NO_LETTER, U64, Hasher, mix, slices, stored, word_bounds
 
 COMMON_WORDS = 64
-RARE = 1000
 LEAST_WORDS = 30
+# Distinct words, and bytes of them, that a task counts before it hands the counts on.
+HELD_WORDS, HELD_BYTES = 100_000, 1 << 24
 # Steps of the square root of a share, in which medians are found.
 BINS = 250
 WINDOW = 5
@@ -127,11 +127,11 @@ def reference_counts(df: DataFrame) -> DataFrame:
     """(lang, kind, name, total) over all documents with a language.
 
     Kind ``class`` counts documents by class and step of its share, named ``class * (BINS + 1) + step``; kind ``word`` counts
-    each common word, and kind ``size`` all words.
+    each word, and kind ``size`` all words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, totals = Hasher(), {}
+        hasher, totals, held = Hasher(), {}, 0
         for batch in batches:
             langs = np.array(_column(batch, "lang"), object)
             for first, end, data, offsets in slices(batch):
@@ -140,25 +140,37 @@ def reference_counts(df: DataFrame) -> DataFrame:
                 words, owner, starts, ends, lowered = _prose_words(data, offsets, hasher)
                 steps = (np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True))) * BINS).round().astype(np.int64)
                 long = np.bincount(owner, minlength=end - first) >= LEAST_WORDS
+                # Words by language, and there by hash.
+                order = np.lexsort((words, group[owner]))
+                edges = np.cumsum(np.append(0, np.bincount(group[owner], minlength=len(names))))
+                whole = lowered.tobytes()
                 for n, lang in enumerate(names):
                     cells = np.bincount((steps + np.arange(CLASSES) * (BINS + 1))[(group == n) & long].ravel())
                     for cell in np.flatnonzero(cells).tolist():
-                        totals[lang, "class", str(cell)] = totals.get((lang, "class", str(cell)), 0) + int(cells[cell])
-                    mine = np.flatnonzero(group[owner] == n)
-                    totals[lang, "size", ""] = totals.get((lang, "size", ""), 0) + len(mine)
-                    _, at, number = np.unique(words[mine], return_index=True, return_counts=True)
-                    for i in np.flatnonzero(number * RARE >= len(mine)):
-                        word = lowered[starts[mine[at[i]]] : ends[mine[at[i]]]].tobytes().decode(errors="replace")
-                        totals[lang, "word", word] = totals.get((lang, "word", word), 0) + int(number[i])
-            if len(totals) > 100_000:
-                yield _rows(totals)
-                totals = {}
+                        key = lang, "class", str(cell).encode()
+                        totals[key] = totals.get(key, 0) + int(cells[cell])
+                    mine = order[edges[n] : edges[n + 1]]
+                    key = lang, "size", b""
+                    totals[key] = totals.get(key, 0) + len(mine)
+                    new = np.flatnonzero(np.append(True, words[mine[1:]] != words[mine[:-1]])[: len(mine)])
+                    number = np.diff(np.append(new, len(mine)))
+                    at = mine[new]
+                    for begin, stop, times in zip(starts[at].tolist(), ends[at].tolist(), number.tolist()):
+                        key = lang, "word", whole[begin:stop]
+                        if key in totals:
+                            totals[key] += times
+                        else:
+                            totals[key] = times
+                            held += stop - begin
+                if len(totals) > HELD_WORDS or held > HELD_BYTES:
+                    yield _rows(totals)
+                    totals, held = {}, 0
         yield _rows(totals)
 
     def _rows(totals: dict) -> pa.RecordBatch:
-        keys = list(totals)
+        langs, kinds, names = zip(*totals) if totals else ((), (), ())
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[n] for k in keys], pa.string()) for n in range(3)] + [pa.array(list(totals.values()), pa.int64())],
+            [pa.array(langs, pa.string()), pa.array(kinds, pa.string()), pa.array([x.decode(errors="replace") for x in names], pa.string()), pa.array(totals.values(), pa.int64())],
             ["lang", "kind", "name", "total"],
         )
 

@@ -125,6 +125,23 @@ def test_every_language_has_its_own_reference(spark):
     assert {r.doc_id for r in quality.keep_good(docs, limits).collect()} == want
 
 
+def test_words_are_counted_exactly_in_any_layout(spark):
+    """More than a thousand different words, each rare in every batch."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(400)) for _ in range(60)] + ["Über über ÜBER it's", None, ""]
+    want = Counter(w for t in texts for w in re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    docs = documents(spark, texts)
+    found = []
+    for parts in (1, 7):
+        counts = quality.reference_counts(docs.repartition(parts)).collect()
+        assert {r.name: r.total for r in counts if r.kind == "word"} == want
+        assert [r.total for r in counts if r.kind == "size"] == [want.total()]
+        found.append([tuple(r) for r in quality.references(docs.repartition(parts)).collect()])
+    assert found[0] == found[1] and len(found[0]) == 1
+    _, hashes, shares = quality._unpacked(bytes(found[0][0][1]))
+    assert sorted(shares[:-1]) == sorted(n / want.total() for _, n in want.most_common(64)) and len(hashes) == 64
+
+
 def plain_groups(docs, words, num, den):
     sets = []
     for _, text in docs:
