@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import LOWER, U64, Hasher, mix, slices, stored, word_bounds
 from basketry.llm.components import components
+from basketry.operators.distributed import sorted_index
 
 GROWTH = 1.3
 # Levels fit into six bits of a key; the last number marks keys of light sets.
@@ -395,13 +396,13 @@ def jaccard_groups(df: DataFrame, words: int, num: int, den: int) -> DataFrame:
 def one_of_each_group(df: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The rows of ``df`` without those that are near copies of one with a smaller doc_id. Runs jobs.
 
-    Of rows that share a doc_id one stays; rows without doc_id all stay.
+    Where rows share a doc_id or have none, all rows are written once more, numbered by doc_id (null last) and the hash of
+    their text, and the numbers stand for ids. So a row goes only if one of its own group stays, and rows without words stay.
     """
-    groups = stored(jaccard_groups(df, words, num, den), "groups")
-    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    kept = df.join(copies, df["doc_id"].cast("long") == F.col("_copy"), "left_anti")
-    again = stored(groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")), "again")
-    if again.isEmpty():
-        return kept
-    same = kept["doc_id"].cast("long") == F.col("_again")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    ids = df.groupBy(F.col("doc_id").cast("long").alias("_id")).count()
+    rows, key = df, "doc_id"
+    if not ids.filter("count > 1 or _id is null").isEmpty():
+        rows, key = sorted_index(df, [F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64("text")], "_row"), "_row"
+    groups = stored(jaccard_groups(rows.select(F.col(key).alias("doc_id"), "text"), words, num, den), "groups")
+    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy"))
+    return rows.join(copies, rows[key].cast("long") == F.col("_copy"), "left_anti").select(*df.columns)

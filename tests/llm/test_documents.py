@@ -205,6 +205,17 @@ def test_groups_of_awkward_tables(source, request):
     assert sorted(ids) == sorted({r.doc_id for r in got if r.doc_id is not None and r.component_id in (None, r.doc_id)})
 
 
+def test_rows_that_share_an_id_go_only_as_copies(spark):
+    """Ids numbered per source, and rows without id."""
+    text = lambda n: " ".join(f"w{n}x{m}" for m in range(40))
+    rows = [(1, text(0)), (7, text(0)), (7, text(1)), (7, text(2)), (7, text(2) + " more"), (9, text(3)), (None, text(3)), (None, text(4)), (None, text(4)), (5, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = jaccard.one_of_each_group(docs, 5, 80, 100)
+    assert kept.schema == docs.schema
+    found = Counter((r.doc_id, (r.text or "").replace(" more", "")) for r in kept.collect())
+    assert found == Counter([(1, text(0)), (7, text(1)), (7, text(2)), (9, text(3)), (None, text(4)), (5, ""), (5, "")])
+
+
 def test_one_large_group_of_near_copies(spark):
     words = [f"w{n}" for n in range(200)]
     texts = [" ".join([*words[: n % 190], f"own{n}", *words[n % 190 :]]) for n in range(400)]
