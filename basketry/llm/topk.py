@@ -9,8 +9,8 @@ values at the current depth; when that is below the k-th best score, it stops. D
 Components are floor(scale * x), as integers; scores are exact integers of any size, cut to 64 bits only in the output.
 
 Defined results: rows without id, without vector, or with a null or non-finite component take no part; a vector shorter than
-others has zeros behind its end; rows with a query's own id are no candidates for it; rows of equal id and vector are one
-query, but separate candidates; ties go to the smaller id; fewer candidates than k give fewer rows; empty tables give none.
+others has zeros behind its end; rows with a query's own id are no candidates for it; rows of equal id and quantised
+vector are one query, but separate candidates; ties go to the smaller id; fewer candidates than k give fewer rows; empty tables give none.
 """
 
 from __future__ import annotations
@@ -30,6 +30,14 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def _quantised(vector: Column, scale: int) -> Column:
+    """The components as whole numbers, without zeros at the end."""
+    exact = lambda x: F.when(F.abs(x) < EXACT_FLOAT, F.floor(x).cast("double")).otherwise(x)
+    whole = F.transform(vector, lambda x: exact(x.cast("double") * scale))
+    last = F.array_max(F.transform(whole, lambda x, n: F.when(x != 0, n + 1).otherwise(0)))
+    return F.slice(whole, F.lit(1), F.coalesce(last, F.lit(0)))
+
+
 def _matrix(column: pa.ChunkedArray, width: int, scale: int) -> np.ndarray:
     """Quantised vectors as rows of floats with integer values, padded with zeros."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -86,14 +94,15 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256,
     """(query_id, rank, id, score): for each row that ``is_query`` picks, its ``k`` best among all others. Runs a count."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("vector"), is_query.alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
-    asking = rows.filter("asks").select("id", "vector").distinct()
+    # Equal ids with different vectors are different queries. They are marked here, as each block pads to a length of its own.
+    asking = rows.filter("asks").groupBy("id", F.xxhash64(_quantised(F.col("vector"), scale)).alias("mark")).agg(F.first("vector").alias("vector"))
     every, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
     candidate_blocks, query_blocks = -(-every // CANDIDATES) or 1, -(-asked // QUERIES) or 1
     # The places of rows in blocks are drawn, so that equal rows do not gather.
     deal = lambda n, seed: F.floor(F.rand(seed) * n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    offered = rows.select("id", "vector", F.lit(False).alias("asks"), deal(candidate_blocks, 1).alias("candidate_block"), all_of(query_blocks).alias("query_block"))
-    wanted = asking.select("id", "vector", F.lit(True).alias("asks"), all_of(candidate_blocks).alias("candidate_block"), F.pmod(F.xxhash64("id", "vector"), F.lit(query_blocks)).cast("int").alias("query_block"))
+    offered = rows.select("id", "vector", F.lit(None).cast("long").alias("mark"), F.lit(False).alias("asks"), deal(candidate_blocks, 1).alias("candidate_block"), all_of(query_blocks).alias("query_block"))
+    wanted = asking.select("id", "vector", "mark", F.lit(True).alias("asks"), all_of(candidate_blocks).alias("candidate_block"), F.pmod(F.xxhash64("id", "mark"), F.lit(query_blocks)).cast("int").alias("query_block"))
 
     def run(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy()
@@ -104,8 +113,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256,
         candidate_ids, candidates = ids[~asks][by_id], matrix[~asks][by_id]
         queries, query_ids = matrix[asks], ids[asks]
         found = threshold_top(queries, query_ids, candidates, candidate_ids, k) if len(queries) and len(candidates) else []
-        # Equal ids with different vectors are different queries.
-        marks = [hash(queries[n].tobytes()) for n in range(len(queries))]
+        marks = group.column("mark").filter(group.column("asks")).to_pylist()
         most, least = (1 << 63) - 1, -(1 << 63)
         return pa.table(
             {

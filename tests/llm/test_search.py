@@ -40,6 +40,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch, blocks):
     assert Counter(tuple(r) for r in found) == plain_top(rows, 4, 5)
 
 
+def test_top_k_of_vectors_of_mixed_length_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 20)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    rng = random.Random(2)
+    rows = [(n, [rng.uniform(-1, 1) for _ in range(6)]) for n in range(120)]
+    rows += [(200 + n, [rng.uniform(-1, 1) for _ in range(6 + n)]) for n in range(1, 4)] + [(5, [0.5, 0.25]), (5, [0.5, 0.25]), (5, [0.501, 0.251])]
+    found = topk.exact_top_k(vectors(spark, rows), F.col("vec_id") % 5 == 0, k=4).collect()
+    assert Counter(tuple(r) for r in found) == plain_top(rows, 4, 5)
+
+
 def test_top_k_of_huge_components_and_few_rows(spark):
     rows = [(0, [3e20, 1.0]), (5, [2e20, -1.0]), (7, [-1e20, 3.0])]
     found = topk.exact_top_k(vectors(spark, rows), F.col("vec_id") % 5 == 0, k=4).collect()
