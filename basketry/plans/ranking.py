@@ -118,6 +118,7 @@ def forecast_ctes(source: str) -> tuple[str, ...]:
 
 @query("next_week_top10", on_log("SELECT user_id, item_id, rank FROM filled", *forecast_ctes("log")))
 def next_week_top10(spark, sf):
+    """The job with K neighbours, as its SQL has them; the job's own default is 300."""
     from basketry.plans.next_week import next_week_top10 as job
 
     return job(fixtures.activity_log(spark, sf), near=K)
@@ -125,6 +126,7 @@ def next_week_top10(spark, sf):
 
 @query("next_week_top10_holdout", on_split("SELECT user_id, item_id, rank FROM filled", *forecast_ctes("train")))
 def next_week_top10_holdout(spark, sf):
+    """Likewise with K neighbours."""
     from basketry.plans.next_week import next_week_top10 as job
 
     return job(fixtures.activity_log(spark, sf), val_days=7, near=K)
