@@ -53,3 +53,21 @@ def consistent_shards(shards: int) -> str:
  ends AS (SELECT key, any_value(place) FILTER (WHERE n = {shards}) AS shard, any_value(place) FILTER (WHERE n = {shards + 1}) AS grown FROM jump WHERE following >= n GROUP BY 1)
  SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY key, doc_id, size, crc) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM rows JOIN ends USING (key)"""
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def ranked_search(k: int) -> str:
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')"
+    return f"""WITH words AS (SELECT row_number() OVER () AS d, doc_id, {terms} AS w FROM documents),
+ lengths AS (SELECT d, doc_id, len(w)::BIGINT AS n FROM words WHERE len(w) > 0), totals AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM lengths),
+ tfs AS (SELECT d, t, count(*)::BIGINT AS tf FROM (SELECT d, unnest(w) AS t FROM words) GROUP BY 1, 2),
+ asked AS (SELECT item_id, text, unnest(list_distinct({terms})) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+ dfs AS (SELECT t, count(*)::BIGINT AS df FROM tfs WHERE t IN (SELECT t FROM asked) GROUP BY 1),
+ weights AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM dfs, totals),
+ ms AS (SELECT d, doc_id, 10 + (90 * n * nn) // ll AS m FROM lengths, totals),
+ scored AS (SELECT item_id, text, d, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+   FROM asked JOIN weights USING (t) JOIN tfs USING (t) JOIN ms USING (d) GROUP BY item_id, text, d),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS r FROM scored WHERE score > 0)
+ SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM placed WHERE r <= {k}"""

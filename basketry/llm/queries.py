@@ -12,12 +12,14 @@ from basketry.llm import oracles, toxicity, url_filter
 from basketry.llm.byte_bpe import round_trip
 from basketry.llm.common import crc32_remainder, table
 from basketry.llm.jaccard import jaccard_groups
+from basketry.llm.lexical import ranked_search
 from basketry.llm.packing import pack_documents
 from basketry.llm.quality import Limits, judged
 from basketry.llm.sharding import consistent_shards
 from basketry.llm.token_counts import token_counts
 from basketry.llm.token_files import read_token_files, write_documents
 from basketry.llm.topk import exact_top_k
+from basketry.llm.whitening import whitened
 from basketry.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +101,13 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
 @query("op9_url_filter")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"), components=8)
+
+
+@query("op13_ranked_search", oracles.ranked_search(10))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
