@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import oracles, toxicity, url_filter
+from basketry.llm import oracles, pu_quality, toxicity, url_filter
 from basketry.llm.byte_bpe import round_trip
 from basketry.llm.common import crc32_remainder, table
 from basketry.llm.jaccard import jaccard_groups
@@ -103,6 +103,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), RULES)
 
 
+GOOD_FROM = 0.3
+
+
+@query("op11_pu_quality")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc32_remainder("doc_id", 5) == 0
+    known = table(spark, sf_dir, "labels").filter(~held_out).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    model = pu_quality.fit(documents, known.filter("quality = 1"))
+    scores = pu_quality.score(documents, model)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 @query("op12_embedding_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"), components=8)
