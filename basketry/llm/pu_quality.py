@@ -206,7 +206,7 @@ def fit_linear(positive: Sparse, unlabelled: Sparse, width: int, prior: float |
     return weights
 
 
-def prior_from_counts(positives: np.ndarray, documents: np.ndarray, errors: float = 2.0) -> float:
+def prior_from_counts(positives: np.ndarray, documents: np.ndarray, errors: float = 3.0) -> float:
     """The class prior from how many positives and how many documents score in each range, lowest range first.
 
     The share of documents above a bar over that of positives bounds the prior from above; the bar is the one where that bound is
@@ -222,7 +222,8 @@ def prior_from_counts(positives: np.ndarray, documents: np.ndarray, errors: floa
         return above / n, errors * np.sqrt(smooth * (1 - smooth) / n)
 
     (above_p, error_p), (above_u, error_u) = share(positives, n_p), share(documents, n_u)
-    sure = np.flatnonzero(above_p > 2 * error_p)
+    # Bars above which too few positives are left to tell are passed over.
+    sure = np.flatnonzero(above_p > 4 * error_p)
     if not len(sure):
         return 0.5
     at = sure[((above_u + error_u)[sure] / (above_p - error_p)[sure]).argmin()]
