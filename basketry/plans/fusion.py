@@ -157,6 +157,92 @@ def score_everyone_pairwise(spark, sf):
     return list_sizes(rerank.score_fold_average(rerank.scoring_table(candidates, names), models))
 
 
+def lambda_models(spark, sf):
+    """Candidates, out-of-fold scores and fold models of the ranking trees, with the operator's own settings."""
+    from basketry.operators import ranking_trees, rerank
+
+    p, lists, candidates = candidates_of(spark, sf)
+    table, names = rerank.training_table(candidates)
+    return p, lists, candidates, ranking_trees.rerank_lambda(table, names)
+
+
+@query("rerank_lambda")
+def rerank_lambda(spark, sf):
+    from basketry.operators import rerank
+
+    return rerank.ranked(lambda_models(spark, sf)[3][0])
+
+
+@query("score_everyone_lambda", EVERYONE)
+def score_everyone_lambda(spark, sf):
+    from basketry.operators import ranking_trees, rerank
+
+    _, _, candidates, (_, models) = lambda_models(spark, sf)
+    return list_sizes(ranking_trees.score_ranking_average(rerank.scoring_table(candidates, models[0].names), models))
+
+
+# Every evaluable user's candidates are scored out of fold, each by the model that has not seen the user.
+LEFT_OUT = on_preds(
+    """SELECT fold, count(*) AS n, CAST(sum(bought) AS BIGINT) AS bought FROM (SELECT DISTINCT user_id, item_id FROM preds WHERE rank<=50) c
+  JOIN dealt USING (user_id) LEFT JOIN (SELECT user_id, item_id, 1 AS bought FROM gt) USING (user_id, item_id) GROUP BY 1""",
+    """dealt AS (SELECT user_id, CAST((row_number() OVER (ORDER BY md5('42:' || user_id), user_id) - 1) % 5 AS INTEGER) AS fold
+  FROM (SELECT DISTINCT user_id FROM preds WHERE user_id IN (SELECT user_id FROM gt)))""",
+)
+
+
+@query("lambda_left_out", LEFT_OUT)
+def lambda_left_out(spark, sf):
+    oof = lambda_models(spark, sf)[3][0]
+    return oof.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("bought"))
+
+
+# Metrics of given out-of-fold scores, in folds by md5, so that SQL can compute the same.
+GIVEN = [
+    """dealt AS (SELECT user_id, CAST((row_number() OVER (ORDER BY md5('42:' || user_id), user_id) - 1) % 3 AS INTEGER) AS fold
+  FROM (SELECT DISTINCT user_id FROM preds))""",
+    "oof AS (SELECT user_id, item_id, fold, round(sum(1.0::DOUBLE/(60+rank)),9) AS score FROM preds JOIN dealt USING (user_id) GROUP BY 1,2,3)",
+    "fr AS (SELECT 'oof' AS model, user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC,item_id) AS rank FROM oof UNION ALL SELECT model, user_id, item_id, rank FROM preds WHERE model='freq')",
+    DCG.replace("FROM preds", "FROM fr"),
+]
+
+
+def given_scores(spark, sf):
+    """Fused scores with a fold per user, in the place of a model's."""
+    from basketry.operators.splits import user_folds
+
+    p = parts(spark, sf)
+    lists = preds(p.train)
+    scores = fusion.rrf(lists, n=1000).select("user_id", "item_id", "score").join(user_folds(lists, 3), "user_id")
+    return p, lists, cut(scores)
+
+
+@query(
+    "fold_metrics_given",
+    on_preds("SELECT fold, round(avg(ndcg),6) AS ndcg, round(avg(recall),6) AS recall FROM usr JOIN dealt USING (user_id) WHERE model='oof' GROUP BY 1", *GIVEN),
+)
+def fold_metrics_given(spark, sf):
+    from basketry.operators import rerank
+
+    p, _, scores = given_scores(spark, sf)
+    return rounded(rerank.fold_metrics(scores, p.gt, 3))
+
+
+@query(
+    "oof_report_given",
+    on_preds(
+        """SELECT round(a.ndcg,6) AS ndcg, round(a.recall,6) AS recall, round(b.ndcg,6) AS baseline_ndcg, round(b.recall,6) AS baseline_recall,
+  round(a.ndcg-b.ndcg,6) AS ndcg_delta, round(a.recall-b.recall,6) AS recall_delta
+  FROM (SELECT avg(ndcg) AS ndcg, avg(recall) AS recall FROM usr WHERE model='oof') a, (SELECT avg(ndcg) AS ndcg, avg(recall) AS recall FROM usr WHERE model='freq') b""",
+        *GIVEN,
+    ),
+)
+def oof_report_given(spark, sf):
+    from basketry.operators import rerank
+
+    p, lists, scores = given_scores(spark, sf)
+    return rounded(rerank.oof_report(scores, lists.filter("model = 'freq'").drop("model"), p.gt))
+
+
 @query("fold_metrics")
 def fold_metrics(spark, sf):
     from basketry.operators import rerank
