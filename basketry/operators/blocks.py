@@ -22,11 +22,15 @@ TILE = 256
 # Products that are added up at once.
 CHUNK = 4_000_000
 BLOCK = 8192
+# Vectors may be long: a block of sparse vectors has about so many entries at most.
+ENTRIES = 4_000_000
 QUERY, CANDIDATE, EXCLUDED = 0, 1, 2
 
 
-def block_count(ids: DataFrame, column: str, block: int) -> int:
-    return max(1, -(-ids.select(column).distinct().count() // block))
+def block_count(ids: DataFrame, column: str, block: int, entries: int | None = None) -> int:
+    """How many blocks hold about ``block`` ids and, if given, about ``entries`` rows each."""
+    n, rows = ids.agg(F.countDistinct(column), F.count(F.lit(1))).first()
+    return max(1, -(-n // block), -(-rows // entries) if entries else 1)
 
 
 def best_per_row(scores: np.ndarray, n: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +94,7 @@ def sparse_top(
     pairs. Only pairs with a common dimension and a score above ``least`` count. Runs two counts.
     """
     require_positive(n=n, block=block)
-    q_blocks, c_blocks = block_count(queries, "query_id", block), block_count(candidates, "candidate_id", block)
+    q_blocks, c_blocks = block_count(queries, "query_id", block, ENTRIES), block_count(candidates, "candidate_id", block, ENTRIES)
     q_kind, c_kind = queries.schema["query_id"].dataType, candidates.schema["candidate_id"].dataType
     nothing = {"dim": F.lit(None).cast(queries.schema["dim"].dataType), "w": F.lit(None).cast("double")}
     weights = {"dim": F.col("dim"), "w": F.col("w").cast("double")}

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.operators.block_matrix import BLOCKS, SCHEMA, BlockMatrix, dense, diagonal, inverse, lower_blocks, sparse_times_dense
 from basketry.operators.blocks import BLOCK, sparse_top
 from basketry.operators.distributed import sorted_index, top_rows
 from basketry.runtime import cut, require_positive
@@ -45,7 +48,7 @@ def item_gram(inter: DataFrame, block: int = 256) -> DataFrame:
     )
 
 
-def item_ridge(gram: DataFrame, lam: float = 200.0, k_neighbors: int | None = None, block: int = 1024) -> DataFrame:
+def item_ridge(gram: DataFrame, lam: float = 200.0, k_neighbors: int | None = None, block: int = 512) -> DataFrame:
     """Weights ``B`` of predicting each item from all others, as ``(item_i, item_j, weight)`` with target ``item_j``.
 
     Without ``k_neighbors`` this is the closed form from the inverse of ``G + λI``. With it, each item is regressed on
@@ -53,7 +56,7 @@ def item_ridge(gram: DataFrame, lam: float = 200.0, k_neighbors: int | None = No
     """
     require_positive(lam=lam)
     if k_neighbors is None:
-        return _ridge_by_inverse(gram, lam, block)
+        return closed_form(gram, lam, block).weights()
     return _ridge_by_neighbors(gram, lam, k_neighbors)
 
 
@@ -84,107 +87,91 @@ def _ridge_by_neighbors(gram: DataFrame, lam: float, k: int) -> DataFrame:
     return system.groupBy("target").applyInPandas(solve, f"item_i {kind}, item_j {kind}, weight double")
 
 
-def _square(raw: bytes, rows: int) -> np.ndarray:
-    return np.frombuffer(raw).reshape(rows, -1)
-
-
-BLOCKS = "bi int, bj int, rows int, data binary"
-
-
-def _blocks_of(gram: DataFrame, index: DataFrame, n: int, lam: float, block: int) -> DataFrame:
-    """``G + λI`` as dense square blocks, one row per block, built next to the data."""
-    numbered = gram.join(index.select(F.col("item_id").alias("item_i"), F.col("i")), "item_i").join(
+@dataclass
+class ItemRidge:
+    """Closed-form weights B in dense blocks, and the items' places in them: ``index`` is ``(item_id, i)``."""
+
+    index: DataFrame
+    inverse: BlockMatrix
+
+    def weight_blocks(self) -> DataFrame:
+        """B in square blocks: minus the inverse, each column divided by its diagonal cell; zero on the diagonal."""
+        block = self.inverse.block
+        scale = diagonal(self.inverse).select(F.floor(F.col("i") / block).cast("int").alias("bj"), F.struct("i", "value").alias("cell"))
+        scale = scale.groupBy("bj").agg(F.sort_array(F.collect_list("cell"))["value"].alias("scale"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    by = np.array(r["scale"])
+                    if not (by > 0).all():
+                        raise ValueError("the inverse has a diagonal that is not positive")
+                    out = -dense(r["data"], r["rows"]) / by
+                    if r["bi"] == r["bj"]:
+                        np.fill_diagonal(out, 0.0)
+                    yield pa.RecordBatch.from_pylist([{"bi": r["bi"], "bj": r["bj"], "rows": r["rows"], "data": out.tobytes()}], SCHEMA)
+
+        return self.inverse.full().join(scale, "bj").select("bi", "bj", "rows", "data", "scale").mapInArrow(run, BLOCKS)
+
+    def weights(self) -> DataFrame:
+        """B as ``(item_i, item_j, weight)``, one row per cell that is not zero."""
+        block = self.inverse.block
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    whole = dense(r["data"], r["rows"])
+                    i, j = np.nonzero(whole)
+                    yield pa.RecordBatch.from_arrays([pa.array(i + r["bi"] * block), pa.array(j + r["bj"] * block), pa.array(whole[i, j])], ["i", "j", "weight"])
+
+        found = self.weight_blocks().mapInArrow(cells, "i long, j long, weight double")
+        return found.join(self.index.select("i", F.col("item_id").alias("item_i")), "i").join(
+            self.index.select(F.col("i").alias("j"), F.col("item_id").alias("item_j")), "j"
+        ).select("item_i", "item_j", "weight")
+
+    def scores(self, inter: DataFrame, n: int = 50, filter_seen: bool = False) -> DataFrame:
+        """``X·B``: each user's items vote for others; best ``n`` per user, optionally without what the user has."""
+        users = cut(inter.join(self.index, "item_id").select(F.col("user_id").alias("row_id"), "i", F.col("weight").alias("w")))
+        best = sparse_times_dense(users, self.weight_blocks(), self.inverse.size, self.inverse.block, n, filter_seen)
+        return best.join(self.index.select(F.col("i").alias("j"), "item_id"), "j").select(F.col("row_id").alias("user_id"), "item_id", "score", "rank")
+
+
+def closed_form(gram: DataFrame, lam: float = 200.0, block: int = 512) -> ItemRidge:
+    """The ridge regression of each item on all others, from the inverse of ``G + λI`` in blocks. Runs jobs."""
+    require_positive(lam=lam)
+    items = gram.select(F.col("item_i").alias("item_id")).distinct()
+    # Places follow the order of ids, so that ties between items go to the smaller id.
+    index = cut(sorted_index(items, ["item_id"], "i"))
+    n = index.count()
+    cells = gram.join(index.select(F.col("item_id").alias("item_i"), "i"), "item_i").join(
         index.select(F.col("item_id").alias("item_j"), F.col("i").alias("j")), "item_j"
     )
-    cells = numbered.select(
-        F.floor(F.col("i") / block).cast("int").alias("bi"), F.floor(F.col("j") / block).cast("int").alias("bj"), "i", "j", "value"
-    )
-    count = -(-n // block)
-    grid = gram.sparkSession.range(count * count).select(
-        F.floor(F.col("id") / count).cast("int").alias("bi"), (F.col("id") % count).cast("int").alias("bj")
-    )
-
-    def fill(key: tuple, here: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(key[0]), int(key[1])
-        rows, columns = min(block, n - bi * block), min(block, n - bj * block)
-        dense = np.zeros((rows, columns))
-        dense[part["i"].to_numpy() - bi * block, part["j"].to_numpy() - bj * block] = part["value"].to_numpy()
-        if bi == bj:
-            dense[np.diag_indices(rows)] += lam
-        return pd.DataFrame({"bi": [bi], "bj": [bj], "rows": [rows], "data": [dense.tobytes()]})
+    matrix = lower_blocks(cells.select("i", "j", "value"), n, lam, block)
+    out = ItemRidge(index, inverse(matrix))
+    matrix.delete()
+    return out
 
-    return grid.groupBy("bi", "bj").cogroup(cells.groupBy("bi", "bj")).applyInPandas(fill, BLOCKS)
 
+def normal_equations(gram: DataFrame, weights: DataFrame, lam: float) -> DataFrame:
+    """How far weights are from solving their ridge regressions: ``(item_j, residual)``.
 
-def _pivot(blocks: DataFrame, p: int, count: int) -> DataFrame:
-    """One step of block Gauss-Jordan inversion: eliminate block row and column ``p``.
-
-    The pivot row is divided by the pivot block once per block column. Then every block meets one block of that row
-    and one of the pivot column, so a task holds three blocks at most.
+    The weights of target j solve ``sum_i (G + λI)_ki B_ij = G_kj`` for all k other than j; the residual is the largest difference.
     """
-    everywhere = F.sequence(F.lit(0), F.lit(count - 1))
-    row = blocks.filter(F.col("bi") == p)
-    pivot = row.filter(F.col("bj") == p)
-    with_pivot = row.select("bj", F.lit(0).alias("role"), "rows", "data").unionByName(
-        pivot.select(F.explode(everywhere).alias("bj"), F.lit(1).alias("role"), "rows", "data")
+    ridge = gram.select("item_i", "item_j", F.when(F.col("item_i") == F.col("item_j"), F.col("value") + lam).otherwise(F.col("value")).alias("g"))
+    left = ridge.select(F.col("item_i").alias("k"), F.col("item_j").alias("i"), "g").join(
+        weights.select(F.col("item_i").alias("i"), F.col("item_j").alias("j"), "weight"), "i"
     )
-
-    def divide(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine, centre = (pdf[pdf["role"] == role].iloc[0] for role in (0, 1))
-        inverse = np.linalg.inv(_square(centre["data"], centre["rows"]))
-        at = int(mine["bj"])
-        new = inverse if at == p else inverse @ _square(mine["data"], mine["rows"])
-        return pd.DataFrame({"bi": [p], "bj": [at], "rows": [int(mine["rows"])], "data": [new.tobytes()]})
-
-    divided = cut(with_pivot.groupBy("bj").applyInPandas(divide, BLOCKS))
-    met = (
-        blocks.filter(F.col("bi") != p).select("bi", "bj", F.lit(0).alias("role"), "rows", "data")
-        .unionByName(divided.select(F.explode(everywhere).alias("bi"), "bj", F.lit(1).alias("role"), "rows", "data"))
-        .unionByName(
-            blocks.filter(F.col("bj") == p).select("bi", F.explode(everywhere).alias("bj"), F.lit(2).alias("role"), "rows", "data")
-        )
-        .filter(F.col("bi") != p)
-    )
-
-    def eliminate(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine, above, left = (pdf[pdf["role"] == role].iloc[0] for role in (0, 1, 2))
-        product = _square(left["data"], left["rows"]) @ _square(above["data"], above["rows"])
-        old = 0.0 if int(mine["bj"]) == p else _square(mine["data"], mine["rows"])
-        new = np.ascontiguousarray(old - product)
-        return pd.DataFrame({"bi": [int(mine["bi"])], "bj": [int(mine["bj"])], "rows": [int(mine["rows"])], "data": [new.tobytes()]})
-
-    return divided.unionByName(met.groupBy("bi", "bj").applyInPandas(eliminate, BLOCKS))
-
-
-def _ridge_by_inverse(gram: DataFrame, lam: float, block: int) -> DataFrame:
-    items = gram.select(F.col("item_i").alias("item_id")).distinct()
-    index = sorted_index(items, ["item_id"], "i")
-    n = index.count()
-    blocks = cut(_blocks_of(gram, index, n, lam, block))
-    count = -(-n // block)
-    for p in range(count):
-        blocks = cut(_pivot(blocks, p, count))
-
-    def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for r in pdf.itertuples(index=False):
-                dense = _square(r.data, r.rows)
-                i, j = np.nonzero(dense)
-                yield pd.DataFrame({"i": i + r.bi * block, "j": j + r.bj * block, "p": dense[i, j]})
-
-    inverse = blocks.mapInPandas(cells, "i long, j long, p double")
-    diagonal = inverse.filter(F.col("i") == F.col("j")).select("j", F.col("p").alias("_d"))
-    divisor = F.when(F.col("_d") > 0, F.col("_d")).otherwise(F.raise_error(F.lit("the inverse has a diagonal that is not positive")).cast("double"))
-    scaled = inverse.filter(F.col("i") != F.col("j")).join(diagonal, "j").select("i", "j", (-F.col("p") / divisor).alias("weight"))
-    return scaled.join(index.select("i", F.col("item_id").alias("item_i")), "i").join(
-        index.select(F.col("i").alias("j"), F.col("item_id").alias("item_j")), "j"
-    ).select("item_i", "item_j", "weight")
+    got = left.groupBy("k", "j").agg(F.sum(F.col("g") * F.col("weight")).alias("part"))
+    wanted = gram.select(F.col("item_i").alias("k"), F.col("item_j").alias("j"), (-F.col("value")).alias("part"))
+    off = got.unionByName(wanted).filter(F.col("k") != F.col("j")).groupBy("k", "j").agg(F.sum("part").alias("off"))
+    own = gram.filter("item_i = item_j").select(F.col("item_i").alias("j"), F.lit(0.0).alias("off"))
+    return off.select("j", "off").unionByName(own).groupBy(F.col("j").alias("item_j")).agg(F.max(F.abs("off")).alias("residual"))
 
 
 def item_ridge_scores(inter: DataFrame, weights: DataFrame, n: int = 50, filter_seen: bool = False, block: int = BLOCK) -> DataFrame:
-    """``X·B``: each user's items vote for others; best ``n`` per user, optionally without what the user has.
+    """``X·B`` for weights as rows: each user's items vote for others; best ``n`` per user, optionally without what the user has.
 
-    Users meet items block against block, so votes are added up inside a task and only the best of each block are shuffled.
+    This is for the sparse weights of ``k_neighbors``; dense ones stay in blocks, see ``ItemRidge.scores``. Users meet items block against block, so votes are added up inside a task and only the best of each block are shuffled.
     """
     users = cut(inter.select(F.col("user_id").alias("query_id"), F.col("item_id").alias("dim"), F.col("weight").alias("w")))
     items = cut(weights.select(F.col("item_j").alias("candidate_id"), F.col("item_i").alias("dim"), F.col("weight").alias("w")))

@@ -10,6 +10,7 @@ from basketry.plans.common import parts, rounded
 from basketry.plans.features import CATALOG
 from basketry.plans.registry import query
 from basketry.plans.sqlbase import cnt, on_log, on_split
+from basketry.runtime import cut
 from basketry.sources import fixtures
 
 K = 30
@@ -105,6 +106,19 @@ def item_ridge(spark, sf):
     return linear.item_ridge(linear.item_gram(weights_of(spark, sf)), block=64)
 
 
+# The weights solve their regressions and no item votes for itself.
+RIDGE_SOLVED = on_split("SELECT DISTINCT item_id AS item_j, true AS solved, true AS no_own_vote FROM train WHERE event_type IN ('view','cart','purchase')")
+
+
+@query("item_ridge_residual", RIDGE_SOLVED)
+def item_ridge_residual(spark, sf):
+    gram = cut(linear.item_gram(weights_of(spark, sf)))
+    weights = cut(linear.item_ridge(gram, block=64))
+    own = weights.filter("item_i = item_j").select("item_j").distinct().withColumn("own", F.lit(True))
+    solved = (F.col("residual") < 1e-6).alias("solved")
+    return linear.normal_equations(gram, weights, 200.0).join(own, "item_j", "left").select("item_j", solved, F.col("own").isNull().alias("no_own_vote"))
+
+
 @query("item_ridge_neighbors")
 def item_ridge_neighbors(spark, sf):
     return linear.item_ridge(linear.item_gram(weights_of(spark, sf)), k_neighbors=40)
@@ -113,7 +127,7 @@ def item_ridge_neighbors(spark, sf):
 @query("item_ridge_scores")
 def item_ridge_scores(spark, sf):
     inter = weights_of(spark, sf)
-    return linear.item_ridge_scores(inter, linear.item_ridge(linear.item_gram(inter)))
+    return linear.closed_form(linear.item_gram(inter)).scores(inter)
 
 
 @query("als_recommend")

@@ -126,9 +126,9 @@ def test_functions_travel_without_the_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    from basketry.operators import linear
+    from basketry.operators import block_matrix
 
     path = tmp_path / "function"
-    path.write_bytes(cloudpickle.dumps(linear._square))
+    path.write_bytes(cloudpickle.dumps(block_matrix.dense))
     code = f"import pickle, sys; f = pickle.load(open({str(path)!r}, 'rb')); assert f(bytes(32), 2).shape == (2, 2); assert 'basketry' not in sys.modules"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
