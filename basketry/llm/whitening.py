@@ -2,7 +2,7 @@
 
 The vectors are quantised to whole numbers. One pass sums them, a second sums the products of their entries less the rounded
 means, all as exact whole numbers, so that the covariance does not depend on how rows are dealt out to tasks. The covariance is
-split on the driver: the polar factor of the matrix less a shift, found by QR-based dynamically weighted Halley steps, gives the
+split in one task: the polar factor of the matrix less a shift, found by QR-based dynamically weighted Halley steps, gives the
 projector onto the eigenvectors above the shift; an orthonormal basis of its range and one of its complement make two smaller
 problems, and so on. Only the side that holds wanted components is split further. A third pass measures how far the covariance
 of the whitened rows is from the identity, a fourth gives the rows.
@@ -24,7 +24,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm.topk import usable
@@ -133,6 +133,23 @@ def principal_components(a: np.ndarray, wanted: int) -> tuple[np.ndarray, np.nda
     return values[order], vectors * np.where(signs == 0, 1.0, signs)
 
 
+def _components_in_task(spark: SparkSession, covariance: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
+    """``principal_components`` of one matrix, in a task, where numpy keeps to the task's cores."""
+    width = len(covariance)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                values, basis = principal_components(np.frombuffer(raw).reshape(width, width), components)
+                columns = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (values, basis)]
+                yield pa.RecordBatch.from_arrays(columns, ["lengths", "basis"])
+
+    one = spark.createDataFrame([(bytearray(np.ascontiguousarray(covariance).tobytes()),)], "matrix binary")
+    row = one.mapInArrow(run, "lengths binary, basis binary").first()
+    values = np.frombuffer(bytes(row["lengths"]))
+    return values, np.frombuffer(bytes(row["basis"])).reshape(width, len(values))
+
+
 def _symmetric(a: np.ndarray) -> np.ndarray:
     return (a + a.T) / 2
 
@@ -263,7 +280,7 @@ def whitened(
         return nothing
     centre = np.array([(2 * s + n) // (2 * n) for s in sums], np.int64)
     covariance = _covariance(rows, n, sums, centre, width, scale, shift)
-    values, basis = principal_components(covariance, components)
+    values, basis = _components_in_task(vectors.sparkSession, covariance, components)
     kept = (values > NO_VARIANCE * values[:1].max(initial=0)) & (values > 0)
     values, basis = values[kept], basis[:, kept]
     count = len(values)
