@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basketry.runtime import cut
+from basketry.runtime import cut, unused
 
 
 def _known(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -185,18 +185,15 @@ def sorted_index(df: DataFrame, order: Sequence[str | Column], index: str = "ind
     its own. The sorted rows are checkpointed once, so both reads see the same partitions.
     """
     names = df.columns
-    numbered = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    number, own, earlier, count = (unused(df, n) for n in ("_id", "_p", "_before", "_rows"))
+    numbered = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(number, F.monotonically_increasing_id()))
+    part = F.shiftright(number, 33)
+    sizes = numbered.groupBy(part.alias(own)).agg(F.count(F.lit(1)).alias(count))
     # One row per partition of the sorted table, so this window is bounded by the number of tasks.
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
-    offsets = sizes.select(
-        F.col("_part").alias("_p"), (F.sum("_rows").over(before) - F.col("_rows")).alias("_before")
-    )
-    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.join(F.broadcast(offsets), part == F.col("_p")).select(
-        *names, (F.col("_before") + place).alias(index)
-    )
+    before = W.orderBy(own).rowsBetween(W.unboundedPreceding, W.currentRow)
+    offsets = sizes.select(own, (F.sum(count).over(before) - F.col(count)).alias(earlier))
+    place = F.col(number).bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.join(F.broadcast(offsets), part == F.col(own)).select(*names, (F.col(earlier) + place).alias(index))
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
