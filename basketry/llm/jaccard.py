@@ -13,7 +13,8 @@ First each list's classes are compared with its least class; the links found joi
 classes of a list are compared that are still in different components. No link between components is lost, and a group of
 thousands of near copies costs a comparison or so for each, not one for each pair. Sets that share a list but differ in too
 much are told by parity sketches before they are compared: the sketches of two sets differ in no more bits than the sets do
-in shingles, so a pair whose sketches differ in more than a link allows is surely none.
+in shingles, so a pair whose sketches differ in more than a link allows is surely none. Sketches grow with the differences
+that a link allows, four bits for each, so they tell long texts as well as short ones.
 
 Shingles are compared by 64-bit hashes. ``n_shingles`` and links refer to distinct shingles.
 
@@ -36,12 +37,14 @@ from pyspark.sql import functions as F
 from basketry.llm.common import LOWER, U64, Hasher, mix, slices, stored, word_bounds
 from basketry.llm.components import components
 from basketry.operators.distributed import sorted_index
+from basketry.runtime import unused
 
 GROWTH = 1.3
 # Levels fit into six bits of a key; the last number marks keys of light sets.
 LIGHT = 63
 SKETCH_LONGS = 8
 SKETCH = [f"s{n}" for n in range(SKETCH_LONGS)]
+BITS_PER_DIFFERENCE = 4
 STEP = U64(0x9E3779B97F4A7C15)
 BITMAP_WORDS = 1 << 21
 # Labels of classes without doc_id lie above this one.
@@ -152,12 +155,25 @@ def class_keys(shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[end - size]) * STEP + size.astype(np.uint64)).astype(np.int64)
 
 
-def sketches(shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each set the parity of its shingles in each of 64 * SKETCH_LONGS buckets, as numbers of 64 bits."""
-    bits = 64 * SKETCH_LONGS
+def sketches(shingles: np.ndarray, size: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
+    """For each set the parity of its shingles in each of 64 * longs buckets, as numbers of 64 bits."""
+    bits = 64 * longs
     cell = np.repeat(np.arange(len(size)), size) * bits + (mix(shingles ^ U64(0x9FB21C651E98DF25)) % U64(bits)).astype(np.int64)
     odd = (np.bincount(cell, minlength=len(size) * bits) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).reshape(len(size), SKETCH_LONGS)
+    return np.packbits(odd).view(np.int64).reshape(len(size), longs)
+
+
+def long_sketches(scheme: Scheme, shingles: np.ndarray, size: np.ndarray) -> list[np.ndarray | None]:
+    """Sketches of sets that may differ in so many shingles that the short sketch cannot tell: ``BITS_PER_DIFFERENCE`` bits for each.
+
+    Lengths are powers of two, so that a longer one folds into a shorter one.
+    """
+    out: list[np.ndarray | None] = [None] * len(size)
+    first = np.cumsum(size) - size
+    for n in np.flatnonzero(BITS_PER_DIFFERENCE * scheme.differences(size) > 64 * SKETCH_LONGS).tolist():
+        longs = 1 << (BITS_PER_DIFFERENCE * scheme.differences(int(size[n])) // 64).bit_length()
+        out[n] = sketches(shingles[first[n] : first[n] + size[n]], size[n : n + 1], longs)[0]
+    return out
 
 
 def light_keys(scheme: Scheme, shingles: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,11 +257,12 @@ def _marked(df: DataFrame, words: int, num: int, den: int) -> DataFrame:
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(key[order].astype(np.int64))),
                         pa.array(scheme.agreeing(size).astype(np.int32)),
                         *(pa.array(sketch[:, n]) for n in range(SKETCH_LONGS)),
+                        pa.array(long_sketches(scheme, shingles, size), pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "class", "keys", "agreeing", *SKETCH],
+                    ["doc_id", "n_shingles", "class", "keys", "agreeing", *SKETCH, "wide"],
                 )
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, keys array<long>, agreeing int" + "".join(f", {s} long" for s in SKETCH))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, keys array<long>, agreeing int" + "".join(f", {s} long" for s in SKETCH) + ", wide array<long>")
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
@@ -286,7 +303,7 @@ class _Join:
         self.marked = stored(_marked(df, words, num, den), "marked")
         # Sent by doc_id, so that roots are the smallest ones; classes without any get a label above all of them.
         label = F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1) - F.pmod("class", F.lit(1 << 40)))
-        self.classes = stored(self.marked.filter("n_shingles > 0").groupBy("class").agg(label.alias("label"), F.first("n_shingles").alias("n"), F.first("agreeing").alias("agreeing"), *(F.first(s).alias(s) for s in SKETCH)), "classes")
+        self.classes = stored(self.marked.filter("n_shingles > 0").groupBy("class").agg(label.alias("label"), F.first("n_shingles").alias("n"), F.first("agreeing").alias("agreeing"), *(F.first(s).alias(s) for s in (*SKETCH, "wide"))), "classes")
 
     def near(self, a: str, b: str):
         return (F.col(a) * self.den >= F.col(b) * self.num) & (F.col(b) * self.den >= F.col(a) * self.num)
@@ -299,7 +316,11 @@ class _Join:
     def may_link(self):
         """Whether the sketches a and b differ in no more bits than linked sets of their sizes may."""
         bits = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in SKETCH), F.lit(0))
-        return bits <= self.differences()
+        # The sizes of linked sets are so close that the longer sketch is at most twice as long as the other.
+        folded = lambda x, y: F.when(F.size(x) == 2 * F.size(y), F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+        each = F.zip_with(folded("wide_a", "wide_b"), folded("wide_b", "wide_a"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        wide = F.aggregate(each, F.lit(0), lambda total, n: total + n)
+        return (bits <= self.differences()) & (F.col("wide_a").isNull() | F.col("wide_b").isNull() | (wide <= self.differences()))
 
     def shares_enough(self):
         """Whether a pair is together in as many lists as a linked pair is."""
@@ -347,7 +368,7 @@ class _Join:
 
     def _sketched(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, lists) of classes that are likely linked, by their sizes, sketches and, for sets as large as a sketch, lists."""
-        side = lambda x: self.classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "agreeing", *SKETCH)))
+        side = lambda x: self.classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "agreeing", *SKETCH, "wide")))
         both = pairs.join(side("a"), F.col("a") == F.col("class_a")).join(side("b"), F.col("b") == F.col("class_b"))
         return both.filter(self.near("n_a", "n_b") & self.may_link() & (self.shares_enough() | (F.greatest("n_a", "n_b") <= 64 * SKETCH_LONGS))).select("a", "b")
 
@@ -366,8 +387,8 @@ class _Join:
         now = stored(members.drop("first").join(placed, "class"), "placed")
         open_keys = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
         rest = stored(now.join(stored(open_keys, "open"), "key"), "rest")
-        rest = stored(rest.join(self.classes.select("class", "agreeing", *SKETCH), "class"), "sketched")
-        side = lambda x: rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "root", "agreeing", *SKETCH)))
+        rest = stored(rest.join(self.classes.select("class", "agreeing", *SKETCH, "wide"), "class"), "sketched")
+        side = lambda x: rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "root", "agreeing", *SKETCH, "wide")))
         pairs = side("a").join(side("b"), "key").filter((F.col("root_a") > F.col("root_b")) & self.near("n_a", "n_b") & self.may_link())
         # Two classes of different components have all their common lists here.
         pair = [F.greatest("class_a", "class_b").alias("a"), F.least("class_a", "class_b").alias("b")]
@@ -400,9 +421,12 @@ def one_of_each_group(df: DataFrame, words: int, num: int, den: int) -> DataFram
     their text, and the numbers stand for ids. So a row goes only if one of its own group stays, and rows without words stay.
     """
     ids = df.groupBy(F.col("doc_id").cast("long").alias("_id")).count()
-    rows, key = df, "doc_id"
+    rows, key, copy = df, "doc_id", unused(df, "_copy")
     if not ids.filter("count > 1 or _id is null").isEmpty():
-        rows, key = sorted_index(df, [F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64("text")], "_row"), "_row"
+        # Drawn, so that equal texts without id are dealt out.
+        key, draw = unused(df, "_row"), unused(df, "_draw")
+        drawn = stored(df.withColumn(draw, F.rand(7)), "drawn")
+        rows = sorted_index(drawn, [F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64("text"), F.col(draw)], key)
     groups = stored(jaccard_groups(rows.select(F.col(key).alias("doc_id"), "text"), words, num, den), "groups")
-    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy"))
-    return rows.join(copies, rows[key].cast("long") == F.col("_copy"), "left_anti").select(*df.columns)
+    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(copy))
+    return rows.join(copies, rows[key].cast("long") == F.col(copy), "left_anti").select(*df.columns)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import IS_SPACE, LOWER, NO_LETTER, U64, Hasher, mix, slices, stored, word_bounds
+from basketry.runtime import unused
 
 COMMON_WORDS = 64
 LEAST_WORDS = 30
@@ -217,9 +218,10 @@ def references(df: DataFrame) -> DataFrame:
     return stored(rows.groupBy("lang").applyInArrow(_reference, "_lang string, _reference binary"), "quality-references")
 
 
-def with_references(df: DataFrame) -> DataFrame:
-    """``df`` with ``_reference`` of its language, null where there is none. Runs jobs."""
-    return df.join(references(df), df["lang"].cast("string") == F.col("_lang"), "left").drop("_lang")
+def with_references(df: DataFrame, name: str = "_reference") -> DataFrame:
+    """``df`` with the reference of its language as column ``name``, null where there is none. Runs jobs."""
+    lang = unused(df, "_lang")
+    return df.join(references(df).toDF(lang, name), df["lang"].cast("string") == F.col(lang), "left").drop(lang)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -313,11 +315,11 @@ def keep_good(df: DataFrame, limits: Limits) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measurer = Measurer()
         for batch in batches:
-            known = _column(batch, "_reference")
+            known = _column(batch, name)
             batch = batch.select(columns)
             for first, end, data, offsets in slices(batch):
                 _, kept = limits.judge(measurer.measure(known[first:end], data, offsets))
                 yield batch.slice(first, end - first).filter(pa.array(kept))
 
-    columns = df.columns
-    return with_references(df).mapInArrow(run, df.schema)
+    columns, name = df.columns, unused(df, "_reference")
+    return with_references(df, name).mapInArrow(run, df.schema)

@@ -320,3 +320,62 @@ def test_queries_equal_their_sql(spark, sf, key):
 
     ok, text, _, _ = compare(spark, sf, QUERIES[key], ORACLES[key], database(sf))
     assert ok, text
+
+
+def test_long_texts_that_share_a_passage_are_told_by_sketches(spark, monkeypatch):
+    """500 unlinked texts of 3,000 words with a common passage, and near copies of a few of them."""
+    import numpy as np
+
+    from basketry.llm import jaccard
+
+    draw = np.random.default_rng(8)
+    passage = [f"p{n}" for n in range(1500)]
+    texts = [" ".join(passage + [f"w{n}" for n in draw.integers(0, 10**9, 1500)]) for _ in range(500)]
+    near = [" ".join([*texts[n].split()[:2990], *"changed at the very end".split()]) for n in (3, 77, 499)]
+    rows = spark.createDataFrame(list(enumerate([*texts, *near])), "doc_id long, text string").repartition(8)
+    seen = []
+    links = jaccard._Join.links
+    monkeypatch.setattr(jaccard._Join, "links", lambda self, pairs: seen.append(pairs.count()) or links(self, pairs))
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(rows, 3, 90, 100).collect()}
+    assert found == {**{n: n for n in range(500)}, 500: 3, 501: 77, 502: 499}
+    # Next to no other pair is compared on whole sets.
+    assert sum(seen) < 50
+
+
+def test_sketches_of_linked_sets_never_differ_too_much():
+    import numpy as np
+
+    from basketry.llm import jaccard
+
+    draw = np.random.default_rng(4)
+    scheme = jaccard.Scheme(90, 100)
+    for n in (100, 2400, 9000):
+        a = np.unique(draw.integers(0, 1 << 60, n).astype(np.uint64))
+        b = np.concatenate([a[: -n // 25], draw.integers(0, 1 << 60, n // 25).astype(np.uint64)])
+        c = draw.integers(0, 1 << 60, n).astype(np.uint64)
+        wide = [jaccard.long_sketches(scheme, s, np.array([len(s)]))[0] for s in (a, b, c)]
+        if wide[0] is None:
+            assert n == 100
+            continue
+        bits = lambda x, y: int(sum(int(p ^ q).bit_count() for p, q in zip(x.view(np.uint64).tolist(), y.view(np.uint64).tolist())))
+        assert bits(wide[0], wide[1]) <= 2 * (n // 25) <= scheme.differences(n) < bits(wide[0], wide[2])
+        half = wide[0].reshape(2, -1)
+        assert (half[0] ^ half[1] == jaccard.sketches(a, np.array([len(a)]), len(half[0]))[0]).all()
+
+
+AWKWARD_NAMES = ["_id", "_lang", "_reference", "_copy", "_row", "_p", "_band", "_draw", "_before"]
+
+
+def test_any_column_name_passes_through_the_stages(spark):
+    from basketry.llm.jaccard import one_of_each_group
+    from basketry.llm.quality import Limits, keep_good
+
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, text), (2, text), (2, "other words " + text), (None, text), (None, text + " more"), (5, "")]
+    values = [100 * n for n in range(len(rows))]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"{c} long" for c in AWKWARD_NAMES)
+    df = spark.createDataFrame([(i, t, "en", *[v + k for k in range(len(AWKWARD_NAMES))]) for (i, t), v in zip(rows, values)], schema)
+    before = {tuple(r) for r in df.collect()}
+    for kept in (one_of_each_group(df, 5, 80, 100), keep_good(df, Limits(2.0, 2.0)), one_of_each_group(df.filter("doc_id in (1, 5)"), 5, 80, 100)):
+        assert kept.columns == df.columns and {tuple(r) for r in kept.collect()} <= before
+    assert one_of_each_group(df, 5, 80, 100).count() == 2 and keep_good(df, Limits(2.0, 2.0)).count() == 5
