@@ -85,26 +85,8 @@ def _masks(excluded: pa.Table, queries: np.ndarray, candidates: np.ndarray) -> t
     return at[same][order], to[same][order]
 
 
-def sparse_top(
-    queries: DataFrame, candidates: DataFrame, n: int, exclude: DataFrame | None = None, block: int = BLOCK, least: float | None = 0.0
-) -> DataFrame:
-    """Best ``n`` candidates of each query: ``(query_id, candidate_id, score, rank)``.
-
-    ``queries`` is ``(query_id, dim, w)`` and ``candidates`` is ``(candidate_id, dim, w)``, both stored; ``exclude`` lists
-    pairs. Only pairs with a common dimension and a score above ``least`` count. Runs two counts.
-    """
-    require_positive(n=n, block=block)
-    q_blocks, c_blocks = block_count(queries, "query_id", block, ENTRIES), block_count(candidates, "candidate_id", block, ENTRIES)
-    q_kind, c_kind = queries.schema["query_id"].dataType, candidates.schema["candidate_id"].dataType
-    nothing = {"dim": F.lit(None).cast(queries.schema["dim"].dataType), "w": F.lit(None).cast("double")}
-    weights = {"dim": F.col("dim"), "w": F.col("w").cast("double")}
-    no_query, no_candidate = {"query_id": F.lit(None).cast(q_kind)}, {"candidate_id": F.lit(None).cast(c_kind)}
-    parts = [
-        _dealt(queries, QUERY, {"query_id": F.col("query_id"), **no_candidate, **weights}, "_q", q_blocks, "_c", c_blocks),
-        _dealt(candidates, CANDIDATE, {**no_query, "candidate_id": F.col("candidate_id"), **weights}, "_c", c_blocks, "_q", q_blocks),
-    ]
-    if exclude is not None:
-        parts.append(_dealt(exclude, EXCLUDED, {"query_id": F.col("query_id"), "candidate_id": F.col("candidate_id"), **nothing}, "_q", q_blocks, "_c", c_blocks))
+def sparse_task(n: int, least: float | None) -> Callable[[pa.Table], pa.Table]:
+    """What a task does with queries, candidates and excluded pairs ``(kind, query_id, candidate_id, dim, w)``: the best ``n`` of each query."""
 
     def task(group: pa.Table) -> pa.Table:
         kind = _values(group, "kind")
@@ -148,7 +130,31 @@ def sparse_top(
                 target.append(part)
         return _found(*out, group.schema)
 
-    return _blocks_of(parts, task, n)
+    return task
+
+
+def sparse_top(
+    queries: DataFrame, candidates: DataFrame, n: int, exclude: DataFrame | None = None, block: int = BLOCK, least: float | None = 0.0
+) -> DataFrame:
+    """Best ``n`` candidates of each query: ``(query_id, candidate_id, score, rank)``.
+
+    ``queries`` is ``(query_id, dim, w)`` and ``candidates`` is ``(candidate_id, dim, w)``, both stored; ``exclude`` lists
+    pairs. Only pairs with a common dimension and a score above ``least`` count. Runs two counts.
+    """
+    require_positive(n=n, block=block)
+    q_blocks, c_blocks = block_count(queries, "query_id", block, ENTRIES), block_count(candidates, "candidate_id", block, ENTRIES)
+    q_kind, c_kind = queries.schema["query_id"].dataType, candidates.schema["candidate_id"].dataType
+    nothing = {"dim": F.lit(None).cast(queries.schema["dim"].dataType), "w": F.lit(None).cast("double")}
+    weights = {"dim": F.col("dim"), "w": F.col("w").cast("double")}
+    no_query, no_candidate = {"query_id": F.lit(None).cast(q_kind)}, {"candidate_id": F.lit(None).cast(c_kind)}
+    parts = [
+        _dealt(queries, QUERY, {"query_id": F.col("query_id"), **no_candidate, **weights}, "_q", q_blocks, "_c", c_blocks),
+        _dealt(candidates, CANDIDATE, {**no_query, "candidate_id": F.col("candidate_id"), **weights}, "_c", c_blocks, "_q", q_blocks),
+    ]
+    if exclude is not None:
+        parts.append(_dealt(exclude, EXCLUDED, {"query_id": F.col("query_id"), "candidate_id": F.col("candidate_id"), **nothing}, "_q", q_blocks, "_c", c_blocks))
+
+    return _blocks_of(parts, sparse_task(n, least), n)
 
 
 def dense_top(queries: DataFrame, candidates: DataFrame, n: int, exclude: DataFrame | None = None, block: int = BLOCK, tile: int = TILE) -> DataFrame:

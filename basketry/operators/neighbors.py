@@ -3,8 +3,8 @@
 Vectors are long tables ``(user_id, item_id, weight)`` with positive weights. Similarity is the cosine.
 
 Users with identical vectors are searched once; only the first k+1 of them (by id) can be anybody's neighbours. Distinct
-vectors meet block against block (see ``blocks``): products are added up inside one task, and each pair of blocks hands on
-no more than the best k+1 of every vector.
+vectors are dealt into blocks of like ones. Each is searched in its own block, and then only in blocks whose bound reaches its k-th
+similarity; products are added up inside one task, which hands on no more than the best k+1 of every vector.
 """
 
 from __future__ import annotations
@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basketry.operators.blocks import BLOCK, sparse_top
-from basketry.operators.distributed import top_rows
+from basketry.operators.blocks import CANDIDATE, ENTRIES, QUERY, sparse_task
+from basketry.operators.distributed import sorted_index, top_rows
 from basketry.runtime import cut, require_positive
 
 
+# Vectors in a block; smaller blocks have closer bounds, larger ones fewer of them.
+BLOCK = 2048
+
+
 def unit_vectors(vec: DataFrame, dim: str = "item_id") -> DataFrame:
     """Weights divided by the length of the user's vector, to 12 places; users without weight have no rows."""
     positive = vec.filter(F.col("weight") > 0)
@@ -42,12 +46,57 @@ def identical_groups(unit: DataFrame) -> DataFrame:
     return marks.join(reps, key).select("user_id", "rep")
 
 
+def dealt_blocks(unit: DataFrame, block: int) -> DataFrame:
+    """``(user_id, dim, w, block)``: vectors in blocks of ``block``, those with the same largest dimensions next to each other.
+
+    Blocks are smaller where vectors are so long that one would have more than ``ENTRIES`` entries. Runs a count.
+    """
+    n, rows = unit.agg(F.countDistinct("user_id"), F.count(F.lit(1))).first()
+    block = max(1, min(block, ENTRIES * n // max(1, rows)))
+    entry = F.struct((-F.col("w")).alias("w"), "dim")
+    leads = unit.groupBy("user_id").agg(F.min(entry).alias("lead")).select("user_id", F.col("lead.dim").alias("lead"), F.col("lead.w").alias("heavy"))
+    placed = sorted_index(leads, ["lead", "heavy", "user_id"], "place").select("user_id", F.floor(F.col("place") / block).cast("int").alias("block"))
+    return unit.join(placed, "user_id")
+
+
+def reachable_blocks(dealt: DataFrame, least: DataFrame) -> DataFrame:
+    """``(user_id, target)``: the other blocks that may hold a vector with a similarity of the user's ``least`` or more.
+
+    A block is known by the largest weight of each of its dimensions. No vector of it can be closer to a user than the product with these
+    weights, nor, as vectors have length one, than the length of the user's vector on the block's dimensions.
+    """
+    tops = dealt.groupBy("block", "dim").agg(F.max("w").alias("top"))
+    met = dealt.select("user_id", "dim", "w", F.col("block").alias("own")).join(tops, "dim").filter(F.col("own") != F.col("block"))
+    bounds = met.groupBy("user_id", "block").agg(F.sum(F.col("w") * F.col("top")).alias("by_top"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("by_length"))
+    # Similarities are rounded to nine places.
+    enough = F.least("by_top", "by_length") + 2e-9 >= F.coalesce(F.col("least"), F.lit(0.0))
+    return bounds.join(least, "user_id", "left").filter(enough).select("user_id", F.col("block").alias("target"))
+
+
 def similar_vectors(unit: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """Exact best ``k`` vectors (itself included) for each vector: ``(user_id, other, sim, place)``. Runs jobs."""
+    """Exact best ``k`` vectors (itself included) for each vector: ``(user_id, other, sim, place)``. Runs jobs.
+
+    A vector is searched in its own block first. Its k-th similarity there says which other blocks it need be sent to; the rest, all
+    of whose vectors are farther, are skipped.
+    """
     require_positive(k=k, block=block)
-    unit = cut(unit)
-    queries = unit.select(F.col("user_id").alias("query_id"), "dim", "w")
-    best = sparse_top(queries, queries.withColumnRenamed("query_id", "candidate_id"), k, block=block)
+    dealt = cut(dealt_blocks(cut(unit), block))
+    kind, task = dealt.schema["user_id"].dataType.simpleString(), sparse_task(k, 0.0)
+    none = F.lit(None).cast(kind)
+    query = lambda df, *at: df.select(F.lit(QUERY).alias("kind"), F.col("user_id").alias("query_id"), none.alias("candidate_id"), "dim", "w", *at)
+    candidate = lambda df, *at: df.select(F.lit(CANDIDATE).alias("kind"), none.alias("query_id"), F.col("user_id").alias("candidate_id"), "dim", "w", *at)
+    found = f"query_id {kind}, candidate_id {kind}, score double"
+    own = cut(query(dealt, "block").unionByName(candidate(dealt, "block")).groupBy("block").applyInArrow(task, found))
+    if (dealt.agg(F.max("block")).first()[0] or 0) > 0:
+        least = top_rows(own, ["query_id"], [F.desc("score"), F.asc("candidate_id")], k).filter(F.col("rank") == k)
+        targets = cut(reachable_blocks(dealt, least.select(F.col("query_id").alias("user_id"), F.col("score").alias("least"))))
+        # A block that many vectors are sent to meets them in groups of about a block.
+        groups = targets.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("groups"))
+        sent = dealt.drop("block").join(targets, "user_id").join(groups, "target").withColumn("part", F.pmod(F.xxhash64("user_id"), "groups").cast("int"))
+        offered = dealt.join(groups, F.col("block") == F.col("target")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        others = query(sent, "target", "part").unionByName(candidate(offered, "target", "part")).groupBy("target", "part").applyInArrow(task, found)
+        own = own.unionByName(others)
+    best = top_rows(own, ["query_id"], [F.desc("score"), F.asc("candidate_id")], k)
     return best.select(F.col("query_id").alias("user_id"), F.col("candidate_id").alias("other"), F.col("score").alias("sim"), F.col("rank").alias("place"))
 
 

@@ -49,6 +49,27 @@ def test_user_knn_is_exact(spark, vectors_with_copies, k, block):
         assert np.allclose([s for _, s in got.get(user, [])], [s for _, s in expected])
 
 
+def test_far_blocks_are_skipped(spark):
+    """Users of 20 tastes: a block of one taste is not sent to blocks of others, and nothing is lost."""
+    rng = np.random.default_rng(11)
+    n, tastes, wide = 400, 20, 8
+    x = np.zeros((n, tastes * wide + 1))
+    for user in range(n):
+        taste = user % tastes
+        x[user, taste * wide : (taste + 1) * wide] = rng.integers(1, 9, wide)
+        x[user, -1] = 0.5  # Something that everybody has, so that every pair is similar to a degree.
+    rows = pd.DataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], columns=["user_id", "item_id", "weight"])
+    unit = neighbors.unit_vectors(spark.createDataFrame(rows)).cache()
+    dealt = neighbors.dealt_blocks(unit, 20).cache()
+    blocks = dealt.select("block").distinct().count()
+    sims = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
+    least = spark.createDataFrame([(u, float(np.sort(sims[u])[-5])) for u in range(n)], "user_id long, least double")
+    looked_at = neighbors.reachable_blocks(dealt, least).count()
+    assert blocks == n // 20 and looked_at < 0.35 * n * (blocks - 1)
+    got = collected(neighbors.unit_knn(unit, 4, block=20))
+    assert all([m for m, _ in got[u]] == [m for m, _ in want] for u, want in brute(x, np.arange(n), 4).items())
+
+
 def test_profile_knn_is_exact(spark, vectors_with_copies):
     x, ids, rows = vectors_with_copies
     unit = neighbors.unit_vectors(spark.createDataFrame(rows).withColumn("dim", F.concat(F.lit("d"), "item_id")), "dim")
