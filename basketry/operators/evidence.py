@@ -177,12 +177,31 @@ def _support(value: Column, kind: T.DataType) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def quoted(text: Column) -> Column:
+    """A text between single quotes, or double ones if only the single ones occur in it."""
+    mark = F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')), F.lit('"')).otherwise(F.lit("'"))
+    return F.concat(mark, text, mark)
+
+
+def _shown(value: Column, kind: T.DataType) -> Column:
+    """A value as failures name it."""
+    if isinstance(kind, T.BooleanType):
+        text = F.when(value, F.lit("True")).otherwise(F.lit("False"))
+    elif isinstance(kind, T.StringType):
+        text = quoted(value)
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value.cast("array<string>"), quoted), ", "), F.lit("]"))
+    else:
+        text = value.cast("string")
+    return F.when(value.isNull(), F.lit("None")).otherwise(text)
+
+
 def support_maps(rows: DataFrame) -> DataFrame:
-    """Per recommendation two maps from key to flag: whether the value supports a claim, and whether it is a true flag.
+    """Per recommendation three maps by key: whether the value supports a claim, whether it is a true flag, and the value as text.
 
     The maps have one entry per field of the schema, so claims can be checked row by row without unpivoting.
     """
-    supported, is_true = [], []
+    supported, is_true, shown = [], [], []
     for part, prefix in (("user_context", "user_context"), ("signals", "signals"), (None, "recommendation")):
         fields = rows.schema[part].dataType.fields if part else [rows.schema[c] for c in ITEM_FIELDS]
         for f in fields:
@@ -190,12 +209,14 @@ def support_maps(rows: DataFrame) -> DataFrame:
             flag = _support(value, f.dataType)
             supported.append((f"{prefix}.{f.name}", flag))
             is_true.append(flag if isinstance(f.dataType, T.BooleanType) else F.lit(False))
+            shown.append(_shown(value, f.dataType))
     keys = F.array(*[F.lit(k) for k, _ in supported])
     return rows.select(
         "user_id",
         "item_id",
         F.map_from_arrays(keys, F.array(*[flag for _, flag in supported])).alias("supported"),
         F.map_from_arrays(keys, F.array(*is_true)).alias("is_true"),
+        F.map_from_arrays(keys, F.array(*shown)).alias("shown"),
     )
 
 

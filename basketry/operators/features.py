@@ -25,6 +25,7 @@ def _latest(df: DataFrame) -> Column:
 
 
 GRAIN = ["user_id", "item_id", "brand", "category_code"]
+KINDS = ("view", "cart", "purchase")
 
 
 def event_grain(df: DataFrame) -> DataFrame:
@@ -45,42 +46,56 @@ def event_grain(df: DataFrame) -> DataFrame:
 
 
 def _counts(prefix: str, total: str) -> list[Column]:
-    return [F.sum("events").alias(total), *(F.sum(kind).alias(f"{prefix}_{kind}") for kind in ("view", "cart", "purchase"))]
+    return [F.sum("events").alias(total), *(F.sum(kind).alias(f"{prefix}_{kind}") for kind in KINDS)]
 
 
 def item_popularity(train: DataFrame) -> DataFrame:
-    """Per item: event counts, distinct users, days since first and last event, mean price and logs of the counts."""
-    return _item_popularity(event_grain(train))
+    """Per item: event counts, distinct users, days since first and last event, mean price and logs of the counts.
 
+    Straight from the log, which is read once more for its latest time; partial counts keep a hot item small.
+    """
+    counts = [F.count(F.lit(1)).alias("item_total_events"), *(count_of(kind).alias(f"item_{kind}") for kind in KINDS)]
+    return _item_popularity(train, counts, "event_time", "event_time", F.avg("price"), _latest(train))
 
-def _item_popularity(grain: DataFrame) -> DataFrame:
-    latest = scalar(grain, F.max("last_time"))
-    counts = grain.groupBy("item_id").agg(
-        *_counts("item", "item_total_events"),
+
+def _item_popularity(rows: DataFrame, counts: list[Column], first: str, last: str, price: Column, latest: Column) -> DataFrame:
+    found = rows.groupBy("item_id").agg(
+        *counts,
         F.countDistinct("user_id").alias("item_unique_users"),
-        age_in_days(F.min("first_time"), latest).alias("item_days_since_first"),
-        age_in_days(F.max("last_time"), latest).alias("item_days_since_last"),
-        (F.sum("price_sum") / F.nullif(F.sum("prices"), F.lit(0))).alias("item_avg_price"),
+        age_in_days(F.min(first), latest).alias("item_days_since_first"),
+        age_in_days(F.max(last), latest).alias("item_days_since_last"),
+        price.alias("item_avg_price"),
     )
     logged = ["item_total_events", "item_view", "item_cart", "item_purchase", "item_unique_users"]
-    return counts.select("*", *log1p_counts(logged))
+    return found.select("*", *log1p_counts(logged))
+
+
+def _item_popularity_of(grain: DataFrame) -> DataFrame:
+    """The same from a stored ``event_grain``."""
+    price = F.sum("price_sum") / F.nullif(F.sum("prices"), F.lit(0))
+    return _item_popularity(grain, _counts("item", "item_total_events"), "first_time", "last_time", price, scalar(grain, F.max("last_time")))
 
 
 def user_activity(train: DataFrame) -> DataFrame:
     """Per user: event counts, distinct items, days since first and last event, ratios and logs of the counts."""
-    return _user_activity(event_grain(train))
+    counts = [F.count(F.lit(1)).alias("user_total_events"), *(count_of(kind).alias(f"user_{kind}") for kind in KINDS)]
+    return _user_activity(train, counts, "event_time", "event_time", _latest(train))
 
 
-def _user_activity(grain: DataFrame) -> DataFrame:
-    latest = scalar(grain, F.max("last_time"))
-    counts = grain.groupBy("user_id").agg(
-        *_counts("user", "user_total_events"),
+def _user_activity_of(grain: DataFrame) -> DataFrame:
+    """The same from a stored ``event_grain``."""
+    return _user_activity(grain, _counts("user", "user_total_events"), "first_time", "last_time", scalar(grain, F.max("last_time")))
+
+
+def _user_activity(rows: DataFrame, counts: list[Column], first: str, last: str, latest: Column) -> DataFrame:
+    found = rows.groupBy("user_id").agg(
+        *counts,
         F.countDistinct("item_id").alias("user_distinct_items"),
-        age_in_days(F.min("first_time"), latest).alias("user_days_since_first"),
-        age_in_days(F.max("last_time"), latest).alias("user_days_recency"),
+        age_in_days(F.min(first), latest).alias("user_days_since_first"),
+        age_in_days(F.max(last), latest).alias("user_days_recency"),
     )
     logged = ["user_total_events", "user_distinct_items", "user_view", "user_cart", "user_purchase"]
-    return counts.select(
+    return found.select(
         "*",
         repeat_ratio(F.col("user_distinct_items"), F.col("user_total_events")).alias("user_repeat_ratio"),
         ratio(F.col("user_cart"), F.col("user_view")).alias("user_cart_view_ratio"),
@@ -264,9 +279,9 @@ def candidate_features(
     grain = cut(event_grain(train))
     user_affinity, item_affinity = _affinity_top1(grain)
     by_pair = attach_label_and_history(attach_model_scores(preds, models, top_k), _user_item_history(grain), truth)
-    item_side = _item_popularity(grain).join(item_affinity, "item_id", "left")
+    item_side = _item_popularity_of(grain).join(item_affinity, "item_id", "left")
     flags = users.select("user_id").distinct().withColumn("is_eval_user", F.lit(1))
-    user_side = _user_activity(grain).join(user_affinity, "user_id", "left")
+    user_side = _user_activity_of(grain).join(user_affinity, "user_id", "left")
     out = by_pair.join(broadcast_if_small(item_side), "item_id", "left").join(user_side, "user_id", "left").join(
         flags, "user_id", "left"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.scalars import apply_temperature
 from basketry.functions.text import looks_negated
-from basketry.operators.evidence import support_maps
+from basketry.operators.evidence import quoted, support_maps
 from basketry.runtime import scalar
 
 # Limits of a response.
@@ -65,7 +65,7 @@ def hard_gate(responses: DataFrame, rows: DataFrame) -> DataFrame:
     rows. A response meets one evidence row, and all of its claims are checked inside that row.
     """
     maps = support_maps(rows).select(
-        F.col("user_id").alias("pack_user_id"), "item_id", F.col("supported").alias("_supported"), F.col("is_true").alias("_true")
+        F.col("user_id").alias("pack_user_id"), "item_id", F.col("supported").alias("_supported"), F.col("is_true").alias("_true"), F.col("shown").alias("_shown")
     )
     joined = responses.join(maps, ["pack_user_id", "item_id"], "left")
 
@@ -83,18 +83,22 @@ def hard_gate(responses: DataFrame, rows: DataFrame) -> DataFrame:
     def check(claim: Column, i: Column) -> Column:
         key = claim["evidence_ref"]
         where = F.concat(F.lit("claim["), i.cast("string"), F.lit("] "))
+        value = F.concat(F.lit(": value="), F.col("_shown")[key])
         return (
             F.when(
                 ~F.coalesce(F.map_contains_key("_supported", key), F.lit(False)),
                 F.concat(where, F.lit("evidence_ref not in whitelist: "), key),
             )
-            .when(~F.col("_supported")[key], F.concat(where, F.lit("evidence is empty/false at "), key))
-            .when(F.col("_true")[key] & looks_negated(claim["text"]), F.concat(where, F.lit("text contradicts "), key))
+            .when(~F.col("_supported")[key], F.concat(where, F.lit("evidence is empty/false at "), key, value))
+            .when(
+                F.col("_true")[key] & looks_negated(claim["text"]),
+                F.concat(where, F.lit("text contradicts "), key, value, F.lit(", text="), quoted(claim["text"])),
+            )
         )
 
     claims = F.when(F.col("_supported").isNotNull(), F.transform("claims", check)).otherwise(F.array().cast("array<string>"))
     failures = F.array_compact(F.concat(F.array(mismatch, unknown), claims))
-    checked = joined.withColumn("failures", failures).drop("_supported", "_true")
+    checked = joined.withColumn("failures", failures).drop("_supported", "_true", "_shown")
     passed = F.size("failures") == 0
     rejected = F.concat(
         F.lit("[검증 실패] "), F.col("summary"), F.lit("\n오류: "), F.array_join(F.slice("failures", 1, 2), "; ")

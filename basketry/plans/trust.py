@@ -100,14 +100,17 @@ BOOLS = [c for c in E.SIGNAL_FIELDS if c.endswith(("_before", "_affinity", "_boo
 TEXTS = ["models_recommending", "ranks", "last_event_type", "category_code", "category_l2", "brand", "top_categories", "top_brands", "carted_brands", "purchased_brands"]
 
 
-def support_sql() -> str:
+def support_sql(with_value: bool = False) -> str:
     lines = []
     for key in E.key_names():
         part, name = key.split(".")
         column = f"c.{name}" if part == "user_context" else f"e.{name}"
         test = column if name in BOOLS else f"length({column})>0" if name in TEXTS else f"{column}>0"
         true = f"coalesce({column},false)" if name in BOOLS else "false"
-        lines.append(f"SELECT e.user_id, e.item_id, '{key}' AS key, coalesce({test},false) AS supported, {true} AS is_true FROM ev e JOIN ctx c USING (user_id)")
+        # Only values that support nothing are shown, and true flags.
+        shown = f"CASE WHEN {column} THEN 'True' ELSE 'False' END" if name in BOOLS else f"CASE WHEN typeof({column}) LIKE '%[]' THEN '[]' ELSE chr(39)||chr(39) END" if name in TEXTS else f"CAST({column} AS VARCHAR)"
+        value = f", CASE WHEN {column} IS NULL THEN 'None' ELSE {shown} END AS shown" if with_value else ""
+        lines.append(f"SELECT e.user_id, e.item_id, '{key}' AS key, coalesce({test},false) AS supported, {true} AS is_true{value} FROM ev e JOIN ctx c USING (user_id)")
     return "val AS (" + " UNION ALL ".join(lines) + ")"
 
 
@@ -240,8 +243,8 @@ def faulty_responses(rows):
     )
 
 
-GATE = """chk AS (SELECT r.pack_user_id, r.rank, i, c.evidence_ref AS ref, CASE WHEN v.key IS NULL THEN 'claim['||(i-1)||'] evidence_ref not in whitelist: '||c.evidence_ref WHEN NOT v.supported THEN 'claim['||(i-1)||'] evidence is empty/false at '||c.evidence_ref
-    WHEN v.is_true AND regexp_matches(c."text",'(?i)없|아니|\\b(not|no|never)\\b') THEN 'claim['||(i-1)||'] text contradicts '||c.evidence_ref END AS f
+GATE = """chk AS (SELECT r.pack_user_id, r.rank, i, c.evidence_ref AS ref, CASE WHEN v.key IS NULL THEN 'claim['||(i-1)||'] evidence_ref not in whitelist: '||c.evidence_ref WHEN NOT v.supported THEN 'claim['||(i-1)||'] evidence is empty/false at '||c.evidence_ref||': value='||v.shown
+    WHEN v.is_true AND regexp_matches(c."text",'(?i)없|아니|\\b(not|no|never)\\b') THEN 'claim['||(i-1)||'] text contradicts '||c.evidence_ref||': value='||v.shown||', text='||CASE WHEN contains(c."text", chr(39)) AND NOT contains(c."text", chr(34)) THEN chr(34)||c."text"||chr(34) ELSE chr(39)||c."text"||chr(39) END END AS f
    FROM (SELECT *, unnest(range(1,len(claims)+1)) AS i, claims[i] AS c FROM resp) r LEFT JOIN val v ON v.user_id=r.pack_user_id AND v.item_id=r.item_id AND v.key=c.evidence_ref
    WHERE EXISTS (SELECT 1 FROM ev e WHERE e.user_id=r.pack_user_id AND e.item_id=r.item_id)),
  fl AS (SELECT pack_user_id, rank, -2 AS o, 'user_id mismatch: '||user_id||' != '||pack_user_id AS f FROM resp WHERE user_id<>pack_user_id
@@ -252,7 +255,7 @@ GATE = """chk AS (SELECT r.pack_user_id, r.rank, i, c.evidence_ref AS ref, CASE
    CASE WHEN fs IS NULL THEN summary ELSE '[검증 실패] '||summary||chr(10)||'오류: '||array_to_string(fs[1:2],'; ') END AS response_text FROM resp r LEFT JOIN fa USING (pack_user_id, rank))"""
 
 
-@query("hard_gate", on_evidence("SELECT * FROM gate", CLAIMS, RESPONSE, FAULTY, support_sql(), GATE))
+@query("hard_gate", on_evidence("SELECT * FROM gate", CLAIMS, RESPONSE, FAULTY, support_sql(True), GATE))
 def hard_gate(spark, sf):
     rows = stored_evidence(spark, sf)
     checked = G.hard_gate(faulty_responses(rows), rows)

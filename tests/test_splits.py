@@ -98,3 +98,28 @@ def test_profiles_are_upserted(spark, tmp_path):
     assert tables.load_profile(spark, path, 2).first().note == "c"
     with pytest.raises(FileNotFoundError):
         tables.load_profiles(spark, str(tmp_path / "none"))
+
+
+def test_profiles_rewrite_touched_buckets_and_admit_one_writer(spark, tmp_path, monkeypatch):
+    path = tmp_path / "profiles"
+    rows = lambda ids, note: spark.createDataFrame([(i, note) for i in ids], "user_id long, note string")
+    tables.save_profiles(rows(range(200), "a"), str(path), buckets=8)
+    folders = lambda: {p.name for p in path.iterdir() if p.name.startswith("data-")}
+    (first,) = folders()
+    state = tables._manifest(spark, str(path))
+    tables.save_profiles(rows([7], "b"), str(path))
+    (second,) = folders() - {first}
+    assert len([p for p in (path / second).iterdir() if p.name.startswith(tables.BUCKET)]) == 1
+    # A writer that began from the first state fails and leaves everything as it is.
+    before, found = folders(), {r.user_id: r.note for r in tables.load_profiles(spark, str(path)).collect()}
+    with monkeypatch.context() as patched:
+        patched.setattr(tables, "_manifest", lambda *_: state)
+        with pytest.raises(FileExistsError):
+            tables.save_profiles(rows([7, 8], "c"), str(path))
+    assert folders() == before and {r.user_id: r.note for r in tables.load_profiles(spark, str(path)).collect()} == found
+    assert found == {i: "b" if i == 7 else "a" for i in range(200)}
+    # What neither of the last two states names is removed.
+    for note in "def":
+        tables.save_profiles(rows(range(200), note), str(path))
+    assert len(folders()) == 2 and first not in folders() and len(list(path.glob("manifest-*"))) == 2
+    assert tables.load_profile(spark, str(path), 7).first().note == "f" and tables.load_profiles(spark, str(path)).count() == 200
