@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,3 +44,35 @@ def als_recommend(
     )
     seen = inter.select(F.col("user_id").alias("query_id"), "item_id") if filter_seen else None
     return embedding_topn(queries, items, n, exclude=seen).withColumnRenamed("query_id", "user_id")
+
+
+def user_equations(
+    inter: DataFrame, model: ALSModel, users: DataFrame, items: DataFrame, reg: float = 0.001, alpha: float = 10.0
+) -> DataFrame:
+    """How far each user's factors are from solving their least-squares system: ``(user_id, residual)``, relative to its right side.
+
+    With item factors y the factors x of a user solve ``(sum over all items of y yT + sum over own items of alpha w y yT + reg n I) x = sum
+    over own items of (1 + alpha w) y``. The sum over all items is a rank x rank matrix; a user's own systems are built where the user's
+    items are.
+    """
+    y = F.col("features").cast("array<double>")
+    width = model.rank
+    cells = model.itemFactors.select(y.alias("y")).select(F.posexplode("y").alias("i", "a"), "y").select("i", "a", F.posexplode("y").alias("j", "b"))
+    gram = np.zeros((width, width))
+    for r in cells.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v")).collect():  # rank * rank rows
+        gram[r["i"], r["j"]] = r["v"]
+    factors = model.itemFactors.join(items, F.col("id") == F.col("item_idx")).select("item_id", y.alias("y"))
+    own = model.userFactors.join(users, F.col("id") == F.col("user_idx")).select("user_id", y.alias("x"))
+    rows = inter.select("user_id", "item_id", F.col("weight").cast("float").cast("double").alias("w")).join(factors, "item_id").join(own, "user_id")
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        factors, x = np.stack(pdf["y"].to_numpy()), np.asarray(pdf["x"].iloc[0])
+        weight = alpha * np.abs(pdf["w"].to_numpy())
+        positive = pdf["w"].to_numpy() > 0
+        # The products with x come first, so that no rank x rank matrix is built for a user.
+        left = gram @ x + factors.T @ (weight * (factors @ x)) + reg * positive.sum() * x
+        right = factors.T @ np.where(positive, 1 + weight, 0.0)
+        return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "residual": [np.linalg.norm(left - right) / max(np.linalg.norm(right), 1e-12)]})
+
+    kind = inter.schema["user_id"].dataType.simpleString()
+    return rows.groupBy("user_id").applyInPandas(check, f"user_id {kind}, residual double")

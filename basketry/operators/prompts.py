@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.scalars import age_in_days
 from basketry.operators.evidence import key_names
+from basketry.operators.metrics import ndcg_at_k, recall_at_k
 from basketry.operators.windows import last_n_events
 from basketry.runtime import scalar
 
@@ -158,3 +159,15 @@ def rerank_cost(log: DataFrame, per_thousand_in: float = 0.0001, per_thousand_ou
     cost = F.col("input_tokens") / 1000 * per_thousand_in + F.col("output_tokens") / 1000 * per_thousand_out
     share = F.col("n_fallback") / F.nullif(F.col("n_users"), F.lit(0))
     return totals.select("*", share.alias("fallback_share"), cost.alias("cost"))
+
+
+def rerank_summary(log: DataFrame, reranked: DataFrame, base: DataFrame, gt: DataFrame, k: int = 10) -> DataFrame:
+    """``rerank_cost`` of a run with the NDCG and recall of its lists, those of the base lists of the same users, and the differences. One row."""
+    truth = gt.join(log.select("user_id").distinct(), "user_id", "left_semi")
+    measures = {
+        f"{side}{name}": measure(lists, truth, k).select(name).scalar()
+        for side, lists in (("", reranked), ("base_", base))
+        for name, measure in (("ndcg", ndcg_at_k), ("recall", recall_at_k))
+    }
+    differences = {f"{name}_delta": F.col(name) - F.col(f"base_{name}") for name in ("ndcg", "recall")}
+    return rerank_cost(log).withColumns(measures).withColumns(differences)

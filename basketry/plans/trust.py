@@ -13,6 +13,7 @@ from basketry.operators.splits import time_based_split
 from basketry.plans.carousel import REVISIT
 from basketry.plans.common import one_model, parts, preds, rounded
 from basketry.plans.features import CONTEXT, SIGNALS
+from basketry.plans.ranking import DCG
 from basketry.plans.registry import query
 from basketry.plans.sqlbase import SHOP, cnt, mode_of, on_preds, on_split
 from basketry.runtime import cut, scratch_path
@@ -459,3 +460,32 @@ def rerank_cost(spark, sf):
         F.length("text").alias("input_tokens"), (F.col("turn") * 7).alias("output_tokens"),
     )
     return rounded(P.rerank_cost(log))
+
+
+# A run over the users of ``answers``: users without a usable list fell back, tokens follow from the lists.
+SUMMARY = [
+    "lg AS (SELECT user_id, user_id NOT IN (SELECT user_id FROM lst) AS fallback, len(c) AS tin, user_id%5 AS tout FROM ans)",
+    "rr AS (SELECT user_id, item AS item_id, r AS rank FROM rk WHERE r<=10 UNION ALL SELECT user_id, item_id, rank FROM preds WHERE model='freq' AND rank<=10 AND user_id NOT IN (SELECT user_id FROM lst))",
+    "fr AS (SELECT 'rr' AS model, user_id, item_id, rank FROM rr UNION ALL SELECT model, user_id, item_id, rank FROM preds WHERE model='freq')",
+    DCG.replace("FROM preds", "FROM fr"),
+    "q AS (SELECT model, avg(ndcg) AS ndcg, avg(recall) AS recall FROM usr WHERE user_id IN (SELECT user_id FROM lg) GROUP BY 1)",
+]
+
+
+@query(
+    "rerank_summary",
+    on_preds(
+        """SELECT n_users, n_fallback, input_tokens, output_tokens, round(n_fallback*1.0/n_users,6) AS fallback_share, round(input_tokens/1000.0*0.0001+output_tokens/1000.0*0.0001,6) AS cost,
+  round(a.ndcg,6) AS ndcg, round(a.recall,6) AS recall, round(b.ndcg,6) AS base_ndcg, round(b.recall,6) AS base_recall, round(a.ndcg-b.ndcg,6) AS ndcg_delta, round(a.recall-b.recall,6) AS recall_delta
+  FROM (SELECT count(*) AS n_users, count(*) FILTER (WHERE fallback) AS n_fallback, CAST(sum(tin) AS BIGINT) AS input_tokens, CAST(sum(tout) AS BIGINT) AS output_tokens FROM lg),
+   (SELECT * FROM q WHERE model='rr') a, (SELECT * FROM q WHERE model='freq') b""",
+        ANSWERS,
+        *SUMMARY,
+    ),
+)
+def rerank_summary(spark, sf):
+    base, parsed = answers(spark, sf)
+    log = parsed.select(
+        "user_id", F.col("items").isNull().alias("fallback"), F.size("candidates").alias("input_tokens"), (F.col("user_id") % 5).alias("output_tokens")
+    )
+    return rounded(P.rerank_summary(log, P.apply_rerank_lists(parsed, base), base, parts(spark, sf).gt))
