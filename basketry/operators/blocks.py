@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.operators.distributed import top_rows
-from basketry.runtime import require_positive, union_all
+from basketry.operators.distributed import sorted_index, top_rows
+from basketry.runtime import cut, require_positive, union_all
 
 DIGITS = 9
 TILE = 256
@@ -157,19 +157,8 @@ def sparse_top(
     return _blocks_of(parts, sparse_task(n, least), n)
 
 
-def dense_top(queries: DataFrame, candidates: DataFrame, n: int, exclude: DataFrame | None = None, block: int = BLOCK, tile: int = TILE) -> DataFrame:
-    """As ``sparse_top`` for ``(query_id, vector)`` and ``(candidate_id, vector)`` with vectors of one length; every pair counts."""
-    require_positive(n=n, block=block, tile=tile)
-    q_blocks, c_blocks = block_count(queries, "query_id", block), block_count(candidates, "candidate_id", block)
-    q_kind, c_kind = queries.schema["query_id"].dataType, candidates.schema["candidate_id"].dataType
-    vector = F.col("vector").cast("array<double>")
-    none = F.lit(None).cast("array<double>")
-    parts = [
-        _dealt(queries, QUERY, {"query_id": F.col("query_id"), "candidate_id": F.lit(None).cast(c_kind), "vector": vector}, "_q", q_blocks, "_c", c_blocks),
-        _dealt(candidates, CANDIDATE, {"query_id": F.lit(None).cast(q_kind), "candidate_id": F.col("candidate_id"), "vector": vector}, "_c", c_blocks, "_q", q_blocks),
-    ]
-    if exclude is not None:
-        parts.append(_dealt(exclude, EXCLUDED, {"query_id": F.col("query_id"), "candidate_id": F.col("candidate_id"), "vector": none}, "_q", q_blocks, "_c", c_blocks))
+def dense_task(n: int, tile: int) -> Callable[[pa.Table], pa.Table]:
+    """As ``sparse_task`` for ``(kind, query_id, candidate_id, vector)``; every pair counts."""
 
     def task(group: pa.Table) -> pa.Table:
         kind = _values(group, "kind")
@@ -196,5 +185,58 @@ def dense_top(queries: DataFrame, candidates: DataFrame, n: int, exclude: DataFr
                 target.append(part)
         return _found(*out, group.schema)
 
-    return _blocks_of(parts, task, n)
+    return task
+
 
+def _lengths(vector: str = "vector") -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
+
+
+def dense_top(queries: DataFrame, candidates: DataFrame, n: int, exclude: DataFrame | None = None, block: int = BLOCK, tile: int = TILE) -> DataFrame:
+    """As ``sparse_top`` for ``(query_id, vector)`` and ``(candidate_id, vector)`` with vectors of one length; every pair counts.
+
+    Candidates are dealt into blocks from the longest to the shortest. All queries meet the first block; its n-th score says how far down
+    the others a query has to go, as no product exceeds the product of the two lengths. Runs counts.
+    """
+    require_positive(n=n, block=block, tile=tile)
+    q_blocks = block_count(queries, "query_id", block)
+    vector = F.col("vector").cast("array<double>")
+    asked = queries.select("query_id", vector.alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("_q"))
+    sized = candidates.select("candidate_id", vector.alias("vector")).withColumn("_length", _lengths())
+    placed = cut(sorted_index(sized, [F.desc("_length"), "candidate_id"], "_place").withColumn("_c", F.floor(F.col("_place") / block).cast("int")))
+    # One number per block.
+    longest = [r[1] for r in placed.groupBy("_c").agg(F.max("_length")).orderBy("_c").collect()]
+    q_kind, c_kind = queries.schema["query_id"].dataType, candidates.schema["candidate_id"].dataType
+    found = f"query_id {q_kind.simpleString()}, candidate_id {c_kind.simpleString()}, score double"
+    no_query, no_candidate, none = F.lit(None).cast(q_kind), F.lit(None).cast(c_kind), F.lit(None).cast("array<double>")
+    columns = lambda kind, q, c, v: [F.lit(kind).alias("kind"), q.alias("query_id"), c.alias("candidate_id"), v.alias("vector"), "_q", "_c"]
+    hidden = None if exclude is None else exclude.join(asked.select("query_id", "_q"), "query_id").join(placed.select("candidate_id", "_c"), "candidate_id")
+
+    def met(wanted: DataFrame) -> DataFrame:
+        """The best of the pairs of blocks in ``wanted`` (query_id, vector, _q, _c)."""
+        pairs = wanted.select("_q", "_c").distinct()
+        parts = [
+            wanted.select(*columns(QUERY, F.col("query_id"), no_candidate, F.col("vector"))),
+            placed.join(pairs, "_c").select(*columns(CANDIDATE, no_query, F.col("candidate_id"), F.col("vector"))),
+        ]
+        if hidden is not None:
+            parts.append(hidden.join(wanted.select("query_id", "_c"), ["query_id", "_c"], "left_semi").select(*columns(EXCLUDED, F.col("query_id"), F.col("candidate_id"), none)))
+        return union_all(parts).groupBy("_q", "_c").applyInArrow(dense_task(n, tile), found)
+
+    first = met(asked.withColumn("_c", F.lit(0)))
+    if len(longest) > 1:
+        first = cut(first)
+        wanted = asked.join(blocks_within_reach(asked, first, longest, n), "query_id")
+        first = first.unionByName(met(wanted))
+    return top_rows(first, ["query_id"], [F.desc("score"), F.asc("candidate_id")], n)
+
+
+def blocks_within_reach(asked: DataFrame, first: DataFrame, longest: list[float], n: int) -> DataFrame:
+    """``(query_id, _c)``: blocks after the first that may hold one of a query's best ``n``, given those of the first block."""
+    least = top_rows(first, ["query_id"], [F.desc("score"), F.asc("candidate_id")], n).filter(F.col("rank") == n).select("query_id", F.col("score").alias("_least"))
+    reach = F.array(*[F.lit(float(x)) for x in longest[1:]])
+    # Scores are rounded to nine places, and lengths to doubles.
+    near = lambda x: x * F.col("_own") * (1 + 1e-12) + 2e-9 >= F.col("_least")
+    last = F.when(F.col("_least").isNull(), F.lit(len(longest) - 1)).otherwise(F.size(F.filter(reach, near)))
+    bounded = asked.select("query_id", _lengths().alias("_own")).join(least, "query_id", "left").withColumn("_last", last)
+    return bounded.filter(F.col("_last") > 0).select("query_id", F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("_c"))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.operators import carousel, neighbors, vectors
+from basketry.operators import blocks, carousel, neighbors, vectors
 
 
 def brute(x, ids, k):
@@ -93,6 +93,26 @@ def test_embedding_topn(spark, block, tile):
         assert got[got.query_id == n].sort_values("rank").item_id.tolist() == want
 
 
+def test_short_items_are_skipped(spark):
+    """Items of very uneven length: most queries stop after the block of the longest."""
+    rng = np.random.default_rng(12)
+    q, i = rng.standard_normal((40, 5)), rng.standard_normal((300, 5)) * np.geomspace(10, 0.01, 300)[:, None]
+    queries = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(q)], "query_id long, vector array<double>")
+    order = rng.permutation(300)
+    items = spark.createDataFrame([(int(n), i[n].tolist()) for n in order], "item_id long, vector array<double>")
+    got = vectors.embedding_topn(queries, items, 4, block=30).toPandas()
+    scores = np.round(q @ i.T, 9)
+    for n in range(40):
+        assert got[got.query_id == n].sort_values("rank").item_id.tolist() == sorted(range(300), key=lambda m: (-scores[n, m], m))[:4]
+    lengths = np.sort(np.linalg.norm(i, axis=1))[::-1]
+    best = [(n, int(m), float(scores[n, m])) for n in range(40) for m in np.argsort(-np.linalg.norm(i, axis=1))[:30]]
+    first = spark.createDataFrame(best, "query_id long, candidate_id long, score double")
+    looked_at = blocks.blocks_within_reach(queries, first, lengths[::30].tolist(), 4).count()
+    assert looked_at < 0.35 * 40 * 9
+    # With fewer items than asked for, nothing may be skipped.
+    assert vectors.embedding_topn(queries, items.filter("item_id > 292"), 9, block=3).count() == 40 * 7
+
+
 def test_content_candidates_with_fallback(spark):
     catalog = spark.createDataFrame(
         [(i, f"c.{i % 4}", f"b{i % 5}", float(i)) for i in range(40)], "item_id long, category_l2 string, brand string, price double"
