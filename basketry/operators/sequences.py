@@ -62,8 +62,9 @@ def behavior_sequences(df: DataFrame, items: DataFrame, n: int = 50, pad: int =
 
 
 def _draw(seed: int, *parts: Column) -> Column:
-    """Pseudo-random number in [0, 1) that depends only on the seed and the row."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 40)) / float(1 << 40)
+    """Pseudo-random number in [0, 1) that depends only on the seed and the row: the first 40 bits of an md5, which SQL engines share."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 10), 16, 10).cast("double") / float(1 << 40)
 
 
 def augment_sequences(df: DataFrame, kind: str, ratio: float, n_items: int, seed: int = 42, pad: int = 0) -> DataFrame:
@@ -78,7 +79,7 @@ def augment_sequences(df: DataFrame, kind: str, ratio: float, n_items: int, seed
     # Bound to columns first: expressions inside array functions then read plain values.
     rows = df.withColumns(
         {
-            "_user": F.xxhash64("user_id"),
+            "_user": F.col("user_id").cast("string"),
             "_n": F.size("sequence"),
             "_items": F.slice("sequence", 1, F.col("length")),
             "_keep": F.greatest(F.lit(1), F.floor(F.col("length") * F.lit(1 - ratio)).cast("int")),
