@@ -115,7 +115,8 @@ def _documents(batch: pa.RecordBatch, hasher: Hasher) -> Iterator[Document]:
         edges = np.searchsorted(owner, np.arange(end - first + 1))
         for n in np.unique(owner):
             mine = slice(edges[n], edges[n + 1])
-            yield Document(ids[first + n], int(counts[mine].sum()), value[mine], counts[mine])
+            # Copies, as a document that waits for its block would keep the whole slice.
+            yield Document(ids[first + n], int(counts[mine].sum()), value[mine].copy(), counts[mine].astype(np.uint32))
 
 
 def _row_bits(document: Document) -> int:
