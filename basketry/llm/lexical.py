@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basketry.llm.common import LOWER, NO_LETTER, U64, Hasher, mix, slices, word_bounds
+from basketry.llm.common import LOWER, NO_LETTER, U64, Hasher, mix, slices, stored, word_bounds
 from basketry.runtime import scratch_path
 
 # Frequencies at which a level begins, and the largest of each level; what lies beyond is bounded by the document's length.
@@ -47,7 +48,8 @@ BLOCK_DOCUMENTS = 1024
 BLOCK_BYTES = 1 << 20
 ITEMS = 512
 FIRST_SHARE = 64  # One block in so many is searched first.
-PAIRS = 1 << 16  # Documents scored at a time.
+PAIRS = 1 << 13  # Documents scored at a time.
+BATCH_BLOCKS = 4  # Rows of the index, of up to a few MB each, that are sent to a Python worker at a time.
 TERMS = 2048  # Bitmaps of terms summed at a time.
 
 INDEX = "ids array<long>, lengths array<long>, row_bits int, slices binary, bounds binary, hashes binary, counts binary, mark long"
@@ -329,23 +331,37 @@ def _ranked(tops: DataFrame, k: int) -> DataFrame:
     return tops.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+@contextmanager
+def small_batches_of_blocks(spark: SparkSession) -> Iterator[None]:
+    """Few rows of the index at a time for the jobs that run inside; the session's setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BLOCKS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def search_block(index: DataFrame, ids: list, texts: list[str], k: int, id_column: str, kind: str) -> DataFrame | None:
     """Top lists of some items; None if no item has a term."""
     spark = index.sparkSession
     items = items_of(texts)
     if not len(items.hashes):
         return None
-    documents, terms, found = _document_counts(index, items.hashes)
-    if not documents:
-        return None
-    weights = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * int(df) + 1))) for df in found], np.int64)
-    none = np.zeros(items.size, np.int64)
-    drawn = index.filter(F.pmod("mark", F.lit(FIRST_SHARE)) == 0)
-    first = _ranked(_tops(drawn, items, weights, documents, terms, k, none), k).filter(F.col("rank") == k).select("item", "score").collect()
-    for r in first:
-        none[r["item"]] = r["score"]
+    with small_batches_of_blocks(spark):
+        documents, terms, found = _document_counts(index, items.hashes)
+        if not documents:
+            return None
+        weights = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * int(df) + 1))) for df in found], np.int64)
+        none = np.zeros(items.size, np.int64)
+        drawn = index.filter(F.pmod("mark", F.lit(FIRST_SHARE)) == 0)
+        first = _ranked(_tops(drawn, items, weights, documents, terms, k, none), k).filter(F.col("rank") == k).select("item", "score").collect()
+        for r in first:
+            none[r["item"]] = r["score"]
+        tops = stored(_tops(index, items, weights, documents, terms, k, none), "lexical-tops")
     names = spark.createDataFrame([(n, i) for n, i in enumerate(ids)], f"item long, item_id {kind}")
-    ranked = _ranked(_tops(index, items, weights, documents, terms, k, none), k)
+    ranked = _ranked(tops, k)
     found_id = F.when(F.col("id") != NO_ID, F.col("id")).alias(id_column)
     # One row per item of this block.
     return ranked.join(F.broadcast(names), "item").select("item_id", "rank", found_id, "score")
